@@ -84,8 +84,8 @@ def advisory_scores(df: DataFrame) -> DataFrame:
     """One row per score of each advisory."""
     scores = df.select("cve", F.posexplode(_scores(F.col("advisory"))).alias("place", "s"))
     return scores.select(
-        "cve", "place", "s.version", "s.type", "s.source", "s.severity", F.col("s.score").cast("double"),
-        F.col("s.exploitability").cast("double"), F.col("s.impact").cast("double"), "s.vector")
+        "cve", "place", "s.version", "s.type", "s.source", "s.severity",
+        *[F.col(f"s.{c}").cast("double").alias(c) for c in ("score", "exploitability", "impact")], "s.vector")
 
 
 def advisory_weaknesses(df: DataFrame) -> DataFrame:

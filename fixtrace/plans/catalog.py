@@ -5,6 +5,7 @@ from fixtrace.plans import (  # noqa: F401
     preparation_queries,
     retrieval_queries,
     text_queries,
+    verdict_queries,
 )
 from fixtrace.plans.registry import ORACLES, QUERIES
 
