@@ -248,10 +248,16 @@ def fit_budget(parts: list[Column | str], context: Column | str,
     return F.when(total < budget, as_col(context)).otherwise(F.lit(""))
 
 
+def _one_json(text: Column) -> Column:
+    """Whether the text is one JSON value and nothing else; parsers stop after the first value."""
+    length = F.json_array_length(F.concat(F.lit("["), text, F.lit("]")))
+    return F.coalesce((length == 1) & F.try_parse_json(text).isNotNull(), F.lit(False))
+
+
 def json_in_text(text: Column | str, schema: str) -> Column:
     """Struct (value, error): the text from the first ``{`` to the last ``}`` read as ``schema``."""
     found = F.regexp_extract(as_col(text), K.JSON_OBJECT, 1)
-    valid = F.try_parse_json(found).isNotNull()
+    valid = _one_json(found)
     return F.struct(
         F.when(valid, F.from_json(found, schema)).alias("value"),
         F.when(found == "", F.lit(K.NO_JSON)).when(~valid, F.lit(K.BAD_JSON)).alias("error"),
@@ -264,7 +270,7 @@ def validate_verdict(record: Column | str) -> Column:
     The answer has to be a boolean (0 and 1 count as one), the confidence an integer from 1 to 5, the
     explanation a non-empty string. The first broken rule gives the error. A bad confidence turns null.
     """
-    value = F.try_parse_json(as_col(record))
+    value = F.when(_one_json(as_col(record)), F.try_parse_json(as_col(record)))
 
     def kind(path):
         return F.schema_of_variant(F.variant_get(value, path, "variant"))

@@ -75,6 +75,9 @@ def nearest_history(queries: DataFrame, store: DataFrame, k: int = 1) -> DataFra
     """
     columns = ["id", "key", F.col("vector").cast("array<double>").alias("vector")]
     queries, store = queries.select(*columns), store.select(*columns)
+    if k == 1:
+        # Of equal vectors with one key only the smallest id can win.
+        store = store.groupBy("vector", "key").agg(F.min("id").alias("id")).select("id", "key", "vector")
     rows = store.count()
     wanted = int(min(MAX_PIVOTS, max(1, round(rows ** 0.5))))
     chosen = store.orderBy(F.md5(F.col("id").cast("string")), "id").limit(wanted).collect()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fixtrace.functions import text as X
-from fixtrace.operators.ordering import top_k
+from fixtrace.operators.ordering import join_small, top_k
 
 
 def prune(df: DataFrame, *columns: str) -> DataFrame:
@@ -105,7 +105,7 @@ def group_advisories_by_repo(ground_truth: DataFrame) -> DataFrame:
         .filter(F.col("repo") != "")
     )
     sizes = placed.groupBy("repo").agg(F.count(F.lit(1)).alias("repo_cves"))
-    return placed.join(sizes, "repo").select("repo", "cve", "repo_cves")
+    return join_small(placed, sizes, ["repo"]).select("repo", "cve", "repo_cves")
 
 
 def partitioned_label_maps(df: DataFrame, order: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Many searches at once over a table of source lines or file paths.
 
-A list of searches is short (what callers ask), the corpus is large: each line is read once and tested
-against all searches of a batch inside its row. Nothing is joined with the corpus and only hits move.
+A list of searches is short, the corpus is large: each line is read once and tested against the searches
+inside its row. Nothing is joined with the corpus and only hits move. A table of searches too long for that
+is joined by a piece of text that a hit has to contain.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from fixtrace.functions.text import explode_once
 from fixtrace.operators.ordering import join_small
 
 BATCH = 256
+LISTED = 1024
+PIECE = 16
 
 
 def _matches(corpus: DataFrame, queries: list[tuple], test: Callable[[Column, int], Column]) -> DataFrame:
@@ -40,30 +43,55 @@ def _answers(hits: DataFrame, queries: DataFrame, cap: int, too_many: str, none:
     return shown.select("query", "answer").unionByName(rest)
 
 
-def _line_search(lines: DataFrame, queries: list[tuple[str, str | None]], cap: int, too_many: str,
-                 test: Callable[[str], Column]) -> DataFrame:
+def _hit() -> Column:
+    return F.concat_ws(":", "path", F.col("line_no").cast("string"), "line").alias("answer")
+
+
+def _listed(lines: DataFrame, queries: list[tuple[str, str | None]], test: Callable[[str], Column]) -> DataFrame:
     def matches(query):
         text, path = query
         return test(text) if path is None else test(text) & (F.col("path") == path)
 
-    hits = _matches(lines, queries, matches).select(
-        "query", F.concat_ws(":", "path", F.col("line_no").cast("string"), "line").alias("answer"))
-    asked = lines.sparkSession.createDataFrame([(q[0],) for q in queries], "query string").distinct()
-    return _answers(hits, asked, cap, too_many, K.SEARCH_NONE)
+    return _matches(lines, queries, matches).select("query", _hit())
 
 
-def code_search(lines: DataFrame, queries: list[tuple[str, str | None]], cap: int = K.SEARCH_CAP) -> DataFrame:
+def _by_first_piece(lines: DataFrame, queries: DataFrame) -> DataFrame:
+    """Hits of a long table of searches: lines meet a search where they hold its first characters.
+
+    The piece is no longer than the shortest search, so none is missed; then the whole text is compared.
+    Only places and pieces move to the searches, and only lines that met one are compared.
+    """
+    size = min(PIECE, queries.agg(F.min(F.length("query"))).first()[0])
+    last = F.length("line") - size + 1
+    pieces = F.array_distinct(F.transform(
+        F.sequence(F.lit(1), last), lambda at: F.substr("line", at, F.lit(size))))
+    cut = explode_once(lines.filter(last >= 1), ["path", "line_no"], pieces, "piece")
+    first = queries.select("query", F.col("path").alias("only"), F.left("query", F.lit(size)).alias("piece"))
+    met = cut.join(first, "piece").filter(F.col("only").isNull() | (F.col("only") == F.col("path")))
+    compared = met.select("path", "line_no", "query").distinct().join(lines, ["path", "line_no"])
+    return compared.filter(F.contains("line", F.col("query"))).select("query", _hit())
+
+
+def code_search(lines: DataFrame, queries: DataFrame, cap: int = K.SEARCH_CAP, listed: int = LISTED) -> DataFrame:
     """Lines holding a fixed text (case counts), each search optionally in one file only.
 
-    ``lines`` has path, line_no, line. Answers read ``path:line:content``. More than ``cap`` hits give one
-    line saying so, as does no hit.
+    ``lines`` has path, line_no, line; ``queries`` has query (not empty) and path (null for all files).
+    Answers read ``path:line:content``. More than ``cap`` hits give one line saying so, as does no hit.
     """
-    return _line_search(lines, queries, cap, K.SEARCH_TOO_MANY, lambda text: F.contains(F.col("line"), F.lit(text)))
+    queries = queries.select("query", "path").distinct()
+    if queries.count() <= listed:
+        rows = [(row["query"], row["path"]) for row in queries.collect()]
+        hits = _listed(lines, rows, lambda text: F.contains(F.col("line"), F.lit(text)))
+    else:
+        hits = _by_first_piece(lines, queries)
+    return _answers(hits, queries.select("query").distinct(), cap, K.SEARCH_TOO_MANY, K.SEARCH_NONE)
 
 
 def grep(lines: DataFrame, queries: list[tuple[str, str | None]], cap: int = K.SEARCH_CAP) -> DataFrame:
-    """As ``code_search`` with regular expressions."""
-    return _line_search(lines, queries, cap, K.GREP_TOO_MANY, lambda text: F.col("line").rlike(text))
+    """As ``code_search`` with a list of (regular expression, path or None)."""
+    hits = _listed(lines, queries, lambda pattern: F.col("line").rlike(pattern))
+    asked = lines.sparkSession.createDataFrame([(q[0],) for q in queries], "query string").distinct()
+    return _answers(hits, asked, cap, K.GREP_TOO_MANY, K.SEARCH_NONE)
 
 
 def parse_hits(answer: Column | str) -> Column:

@@ -66,7 +66,7 @@ def tfidf_similarity(mapping: DataFrame, advisory: DataFrame, commits: DataFrame
     asked = advisory.select("cve", F.inline_outer(term_counts(desc))).withColumnRenamed("tf", "asked_tf")
     idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
     vocabulary = (
-        frequencies.join(sizes, "cve").join(asked, ["cve", "term"], "left")
+        join_small(frequencies, sizes, ["cve"]).join(asked, ["cve", "term"], "left")
         .select("cve", "term", idf.alias("idf"),
                 (F.coalesce("asked_tf", F.lit(0)) * idf).alias("asked_weight"), shares.alias("shares"))
     )

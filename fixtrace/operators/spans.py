@@ -44,11 +44,11 @@ def call_context(calls: DataFrame, lines: DataFrame, spans: DataFrame, before: i
     every function has no context.
     """
     placed = lines_in_functions(calls, spans)
-    windows = placed.select(
+    windows = placed.filter("start is not null").select(
         *FILE, F.col("line_no").alias("call_line"),
         F.greatest(F.col("line_no") - before, F.col("start")).alias("from_line"),
         F.least(F.col("line_no") + after - 1, F.col("end")).alias("to_line"))
-    listed = _in_blocks(windows.filter("from_line is not null"), "from_line", "to_line")
+    listed = _in_blocks(windows, "from_line", "to_line")
     texts = lines.select(*FILE, "line_no", "line", F.floor(F.col("line_no") / BLOCK).alias("_block"))
     around = (
         listed.join(texts, [*FILE, "_block"])

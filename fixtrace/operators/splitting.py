@@ -29,7 +29,31 @@ def reservoir_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFra
     rows = df.count()
     if rows < n:
         raise ValueError(f"Requested {n} rows, but the table only has {rows}.")
-    return df.orderBy(shuffle_key(seed, key), F.col(key)).limit(n)
+    keyed, bins = _hash_bins(df, key, seed)
+    # Only rows up to the bin that holds the n-th one are moved.
+    last = bins.filter(F.col("before") + F.col("n") >= n).agg(F.min("_bin")).scalar()
+    picked = keyed.filter(F.col("_bin") <= last)
+    return _numbered(picked, bins, key).filter(F.col("_no") <= n).select(*df.columns)
+
+
+def _hash_bins(df: DataFrame, key: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with a random order by hash and the bins of that order: rows in each, before it and in all.
+
+    At most 16**3 bins, whatever the number of rows; hashing makes them equally large.
+    """
+    keyed = df.withColumn("_random", shuffle_key(seed, key)).withColumn("_bin", F.substring("_random", 1, 3))
+    everything = Window.partitionBy(F.lit(0))
+    earlier = everything.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = keyed.groupBy("_bin").agg(F.count(F.lit(1)).alias("n")).select(
+        "_bin", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
+        F.sum("n").over(everything).alias("total"))
+    return keyed, bins
+
+
+def _numbered(keyed: DataFrame, bins: DataFrame, key: str) -> DataFrame:
+    """Rows with their place in the random order, found bin by bin."""
+    inside = Window.partitionBy("_bin").orderBy("_random", key)
+    return keyed.join(bins, "_bin").withColumn("_no", F.row_number().over(inside) + F.col("before"))
 
 
 def _fill_sides(batches: Iterator[pd.DataFrame], p_train: float, p_test: float) -> Iterator[pd.DataFrame]:
@@ -119,17 +143,7 @@ def random_group_split(df: DataFrame, key: str, p_train: float = 0.8, p_validate
 
     The random order is cut by leading hash digits, so numbering the groups needs no single sorted list.
     """
-    groups = df.select(key).distinct().withColumn("_random", shuffle_key(seed, key))
-    binned = groups.withColumn("_bin", F.substring("_random", 1, 3))
-    # At most 16**3 bins, whatever the number of groups; hashing makes them equally large.
-    everything = Window.partitionBy(F.lit(0))
-    earlier = everything.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("n")).select(
-        "_bin", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
-        F.sum("n").over(everything).alias("total"))
-    inside = Window.partitionBy("_bin").orderBy("_random", key)
-    number = F.row_number().over(inside) + F.col("before")
-    placed = binned.join(bins, "_bin").select(key, "total", number.alias("_no"))
+    placed = _numbered(*_hash_bins(df.select(key).distinct(), key, seed), key)
     n_train = F.floor(F.col("total") * p_train)
     n_validate = F.floor(F.col("total") * p_validate)
     return placed.select(

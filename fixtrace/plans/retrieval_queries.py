@@ -137,7 +137,7 @@ def lines_in_functions(spark, sf):
 
 @query(f"""WITH {T.LINES_SQL}, {T.SPANS_SQL}, calls AS (SELECT repo, path, line_no FROM code_lines WHERE length(line) % 7 = 0),
 placed AS (SELECT c.*, f.s, f.e, f.name FROM calls c LEFT JOIN function_spans f ON f.repo = c.repo AND f.path = c.path AND c.line_no BETWEEN f.s AND f.e),
-ctx AS (SELECT p.repo, p.path, p.line_no, string_agg(l.line, chr(10) ORDER BY l.line_no) AS t FROM placed p JOIN code_lines l ON l.repo = p.repo AND l.path = p.path
+ctx AS (SELECT p.repo, p.path, p.line_no, string_agg(l.line, chr(10) ORDER BY l.line_no) AS t FROM placed p JOIN code_lines l ON p.s IS NOT NULL AND l.repo = p.repo AND l.path = p.path
   AND l.line_no BETWEEN greatest(p.line_no - 3, p.s) AND least(p.line_no + 9, p.e) GROUP BY ALL)
 SELECT repo, path, line_no, coalesce(name, 'NULL') AS name, coalesce(md5(t), 'none') AS context FROM placed LEFT JOIN ctx USING (repo, path, line_no)""")
 def call_context(spark, sf):

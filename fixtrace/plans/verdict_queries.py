@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 
 import pandas as pd
@@ -27,33 +26,43 @@ def _folder(spark, name):
 # --- search -----------------------------------------------------------------------
 
 
-def _asked(spark, sf, chars):
-    """Searches: the beginnings of the benchmark texts, a short list that callers would type."""
-    rows = T.table(spark, sf, "benchmark").select(F.left("text", F.lit(chars)).alias("q")).distinct().orderBy("q").collect()
-    return [(row["q"], None) for row in rows]
+def _asked(spark, sf):
+    """Searches: the beginnings of the benchmark texts."""
+    return T.table(spark, sf, "benchmark").select(F.left("text", F.lit(60)).alias("query"), F.lit(None).cast("string").alias("path"))
 
 
 SEARCHED = T.LINES_SQL + """,
-asked AS (SELECT DISTINCT substr(text, 1, {chars}) AS query FROM benchmark),
+asked AS ({asked}),
 hits AS (SELECT query, path || ':' || line_no || ':' || line AS answer FROM code_lines JOIN asked ON {test}),
 sizes AS (SELECT query, count(answer) AS n FROM asked LEFT JOIN hits USING (query) GROUP BY query)
 SELECT query, answer FROM hits JOIN sizes USING (query) WHERE n <= {cap}
 UNION ALL SELECT query, CASE WHEN n = 0 THEN 'No matches found for ''' || query || '''.' ELSE '{many}' END FROM sizes WHERE n = 0 OR n > {cap}"""
 
 
-@query("WITH " + SEARCHED.format(chars=60, test="contains(line, query)", cap=100, many="Too many results found. Please be more specific."))
+CODE_SEARCH = SEARCHED.format(
+    asked="SELECT DISTINCT substr(text, 1, 60) AS query FROM benchmark", test="contains(line, query)", cap=100,
+    many="Too many results found. Please be more specific.")
+
+
+@query("WITH " + CODE_SEARCH)
 def code_search(spark, sf):
-    return Q.code_search(T.code_lines(spark, sf), _asked(spark, sf, 60))
+    return Q.code_search(T.code_lines(spark, sf), _asked(spark, sf))
+
+
+@query("WITH " + CODE_SEARCH)
+def code_search_joined(spark, sf):
+    """The way for tables of searches too long for a list."""
+    return Q.code_search(T.code_lines(spark, sf), _asked(spark, sf), listed=0)
 
 
-GREPPED = SEARCHED.format(chars=4, test="regexp_matches(line, query)", cap=100, many="Too many files found. Please be more specific.").replace(
-    "substr(text, 1, 4)", "'^' || regexp_replace(substr(text, 1, 4), '[^A-Za-z]', '.', 'g') || '[a-z ]'")
+PATTERNS = [r"^[A-Z][a-z]+ [a-z]+ing ", r"[0-9]{3}-[0-9]{4}", r"[a-f0-9]{40}", r"@[a-z]+[.](com|org)", r"^(The|Le|El|Der) ", r"nowhere.*to.*be.*found"]
 
 
-@query("WITH " + GREPPED)
+@query("WITH " + SEARCHED.format(
+    asked="SELECT unnest([" + ", ".join(f"'{p}'" for p in PATTERNS) + "]) AS query", test="regexp_matches(line, query)", cap=100,
+    many="Too many files found. Please be more specific."))
 def grep(spark, sf):
-    asked = [("^" + re.sub("[^A-Za-z]", ".", text) + "[a-z ]", None) for text, _ in _asked(spark, sf, 4)]
-    return Q.grep(T.code_lines(spark, sf), sorted(set(asked)))
+    return Q.grep(T.code_lines(spark, sf), [(pattern, None) for pattern in PATTERNS])
 
 
 @query(f"""WITH {T.LINES_SQL}, h AS (SELECT path || ':' || line_no || ':' || line AS t FROM code_lines)
