@@ -151,5 +151,5 @@ def explode_ground_truth(df: DataFrame, column: str = "advisories") -> DataFrame
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """(cve, urls) from JSON files: one advisory dictionary per line or per file."""
-    texts = spark.read.option("wholetext", path.endswith(".json")).text(path)
+    texts = spark.read.text(path, wholetext=path.endswith(".json"))
     return explode_ground_truth(texts.select(F.from_json("value", S.GROUND_TRUTH).alias("advisories")))
