@@ -1,8 +1,7 @@
 """Many searches at once over a table of source lines or file paths.
 
-A list of searches is short, the corpus is large: each line is read once and tested against the searches
-inside its row. Nothing is joined with the corpus and only hits move. A table of searches too long for that
-is joined by a piece of text that a hit has to contain.
+A list of searches is short, the corpus is large: each line is read once and tested inside its row, and only
+hits move. Fixed texts may also come as a table of any length.
 """
 
 from __future__ import annotations
@@ -15,10 +14,10 @@ from pyspark.sql import functions as F
 
 from fixtrace import constants as K
 from fixtrace.functions.text import explode_once
-from fixtrace.operators.ordering import join_small
+from fixtrace.operators.ordering import join_small, top_k
 
 BATCH = 256
-LISTED = 1024
+LISTED = 4096
 PIECE = 16
 
 
@@ -33,43 +32,49 @@ def _matches(corpus: DataFrame, queries: list[tuple], test: Callable[[Column, in
 
 
 def _answers(hits: DataFrame, queries: DataFrame, cap: int, too_many: str, none: str) -> DataFrame:
-    """(query, answer): the hits of a search, or one line saying there are too many or none."""
-    sizes = queries.join(hits.groupBy("query").agg(F.count(F.lit(1)).alias("n")), "query", "left").fillna(0, ["n"])
-    shown = join_small(hits, sizes.filter(F.col("n").between(1, cap)).select("query"), ["query"])
+    """(query, answer): the hits of a search, or one line saying there are too many or none.
+
+    One hit over the cap is enough to know, so each task passes on at most ``cap + 1`` per search.
+    """
+    few = top_k(hits, ["query"], [F.col("answer")], cap + 1)
+    lists = few.groupBy("query").agg(F.collect_list("answer").alias("answers"))
     before, after = none.split("%s")
-    rest = sizes.filter(~F.col("n").between(1, cap)).select(
-        "query", F.when(F.col("n") == 0, F.concat(F.lit(before), "query", F.lit(after)))
-        .otherwise(F.lit(too_many)).alias("answer"))
-    return shown.select("query", "answer").unionByName(rest)
+    shown = (
+        F.when(F.col("answers").isNull(), F.array(F.concat(F.lit(before), "query", F.lit(after))))
+        .when(F.size("answers") > cap, F.array(F.lit(too_many)))
+        .otherwise(F.col("answers")))
+    return queries.join(lists, "query", "left").select("query", F.explode(shown).alias("answer"))
 
 
 def _hit() -> Column:
     return F.concat_ws(":", "path", F.col("line_no").cast("string"), "line").alias("answer")
 
 
-def _listed(lines: DataFrame, queries: list[tuple[str, str | None]], test: Callable[[str], Column]) -> DataFrame:
-    def matches(query):
-        text, path = query
-        return test(text) if path is None else test(text) & (F.col("path") == path)
-
-    return _matches(lines, queries, matches).select("query", _hit())
+def _pieces(size: int) -> Column:
+    """All runs of ``size`` characters of the line."""
+    return F.regexp_extract_all(F.col("line"), F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
-def _by_first_piece(lines: DataFrame, queries: DataFrame) -> DataFrame:
-    """Hits of a long table of searches: lines meet a search where they hold its first characters.
+def _holding(lines: DataFrame, queries: DataFrame, listed: int) -> DataFrame:
+    """Hits of a table of fixed texts. A line can only hold a text if it holds the text's first piece.
 
-    The piece is no longer than the shortest search, so none is missed; then the whole text is compared.
-    Only places and pieces move to the searches, and only lines that met one are compared.
+    The piece is no longer than the shortest text, so none is missed; what met is compared as a whole. A
+    line is cut up once, whatever the number of texts. The pieces of up to ``listed`` texts are a constant
+    set that each line is looked up in; those of more are joined, for which only places and pieces move.
     """
     size = min(PIECE, queries.agg(F.min(F.length("query"))).first()[0])
-    last = F.length("line") - size + 1
-    pieces = F.array_distinct(F.transform(
-        F.sequence(F.lit(1), last), lambda at: F.substr("line", at, F.lit(size))))
-    cut = explode_once(lines.filter(last >= 1), ["path", "line_no"], pieces, "piece")
     first = queries.select("query", F.col("path").alias("only"), F.left("query", F.lit(size)).alias("piece"))
-    met = cut.join(first, "piece").filter(F.col("only").isNull() | (F.col("only") == F.col("path")))
-    compared = met.select("path", "line_no", "query").distinct().join(lines, ["path", "line_no"])
-    return compared.filter(F.contains("line", F.col("query"))).select("query", _hit())
+    short = first.select("piece").distinct().limit(listed + 1).collect()
+    if len(short) <= listed:
+        known = [row["piece"] for row in short]
+        pieces = F.array_distinct(F.filter(_pieces(size), lambda piece: piece.isin(known)))
+        met = explode_once(lines, ["path", "line_no", "line"], pieces, "piece").join(first, "piece")
+    else:
+        cut = explode_once(lines, ["path", "line_no"], F.array_distinct(_pieces(size)), "piece")
+        places = cut.join(first, "piece").select("path", "line_no", "query", "only").distinct()
+        met = places.join(lines, ["path", "line_no"])
+    hit = F.contains("line", F.col("query")) & (F.col("only").isNull() | (F.col("only") == F.col("path")))
+    return met.filter(hit).select("query", _hit())
 
 
 def code_search(lines: DataFrame, queries: DataFrame, cap: int = K.SEARCH_CAP, listed: int = LISTED) -> DataFrame:
@@ -79,17 +84,18 @@ def code_search(lines: DataFrame, queries: DataFrame, cap: int = K.SEARCH_CAP, l
     Answers read ``path:line:content``. More than ``cap`` hits give one line saying so, as does no hit.
     """
     queries = queries.select("query", "path").distinct()
-    if queries.count() <= listed:
-        rows = [(row["query"], row["path"]) for row in queries.collect()]
-        hits = _listed(lines, rows, lambda text: F.contains(F.col("line"), F.lit(text)))
-    else:
-        hits = _by_first_piece(lines, queries)
+    hits = _holding(lines, queries, listed)
     return _answers(hits, queries.select("query").distinct(), cap, K.SEARCH_TOO_MANY, K.SEARCH_NONE)
 
 
 def grep(lines: DataFrame, queries: list[tuple[str, str | None]], cap: int = K.SEARCH_CAP) -> DataFrame:
     """As ``code_search`` with a list of (regular expression, path or None)."""
-    hits = _listed(lines, queries, lambda pattern: F.col("line").rlike(pattern))
+    def matches(query):
+        pattern, path = query
+        hit = F.col("line").rlike(pattern)
+        return hit if path is None else hit & (F.col("path") == path)
+
+    hits = _matches(lines, queries, matches).select("query", _hit())
     asked = lines.sparkSession.createDataFrame([(q[0],) for q in queries], "query string").distinct()
     return _answers(hits, asked, cap, K.GREP_TOO_MANY, K.SEARCH_NONE)
 

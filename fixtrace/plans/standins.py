@@ -136,7 +136,7 @@ ranked AS (
 
 def code_lines(spark: SparkSession, sf: str) -> DataFrame:
     """repo, path, line_no (from 1), line."""
-    lines = table(spark, sf, "documents").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = texts(spark, sf).select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     return lines.select(F.col("source").alias("repo"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"),
                         (F.col("at") + 1).cast("bigint").alias("line_no"), "line")
 

@@ -14,7 +14,7 @@ from fixtrace.operators import traces as R
 from fixtrace.operators import verdicts as V
 from fixtrace.plans import standins as T
 from fixtrace.plans.registry import query
-from fixtrace.session import shared_folder
+from fixtrace.session import shared_folder, spread
 from fixtrace.sources import files as IO
 from fixtrace.streaming import feeds as S
 
@@ -212,7 +212,7 @@ def traces_by_project(spark, sf):
 
 def _payloads(spark, sf):
     """An advisory record per order: scores, weaknesses, references and configurations from its few lines."""
-    line = T.table(spark, sf, "lineitem")
+    line = spread(T.table(spark, sf, "lineitem"), "l_orderkey")
 
     def scores(flag, old=False):
         base = F.concat(F.lit("S"), F.col("l_linenumber").cast("string"))
@@ -254,7 +254,8 @@ def _payloads(spark, sf):
 
 
 def _advisories(spark, sf):
-    return N.parse_advisories(_payloads(spark, sf))
+    """Payloads are stored first, as a feed of records would be."""
+    return N.parse_advisories(IO.save_stage(_payloads(spark, sf), _folder(spark, "payloads")))
 
 
 LINES = "l AS (SELECT l.* FROM lineitem l JOIN orders o ON l_orderkey = o_orderkey)"

@@ -39,8 +39,8 @@ def test_code_search(spark, lines, listed):
 
 def test_search_in_batches(spark, lines, monkeypatch):
     monkeypatch.setattr(Q, "BATCH", 2)
-    asked = spark.createDataFrame([(f"many {i}", None) for i in range(101, 106)], "query string, path string")
-    assert answers(Q.code_search(lines, asked)) == {f"many {i}": [f"b.c:{i}:many {i}"] for i in range(101, 106)}
+    asked = [(f"many {i}", None) for i in range(101, 106)]
+    assert answers(Q.grep(lines, asked)) == {f"many {i}": [f"b.c:{i}:many {i}"] for i in range(101, 106)}
 
 
 def test_grep(lines):
