@@ -132,7 +132,12 @@ def _judge(rows: pd.DataFrame) -> pd.DataFrame:
         for s in rows["history_document"]]})
 
 
-@query()
+@query(f"""WITH {T.COMMITS_SQL}, {T.MAPPING_SQL},
+e AS (SELECT cve, commit_id, label, substr(diff, 1, 200) AS s, list_transform(string_split('aeinorst', ''), lambda c:
+  (length(substr(diff, 1, 200)) - length(replace(lower(substr(diff, 1, 200)), c, ''))) / 10.0::DOUBLE) AS v FROM mapping JOIN commits USING (commit_id)),
+p AS (SELECT q.cve, q.commit_id, s.commit_id AS sid, s.cve AS history_cve, s.s AS doc,
+  round(list_sum(list_transform(range(1, 9), lambda i: (q.v[i] - s.v[i]) * (q.v[i] - s.v[i]))), 9) AS d FROM e q JOIN e s ON s.label = 1 AND q.cve != s.cve)
+SELECT cve, commit_id, arg_min(history_cve, (d, sid)) AS history_cve, length(arg_min(doc, (d, sid))) % 2 = 1 AS vulnerability_fix FROM p GROUP BY cve, commit_id""")
 def three_stage(spark, sf):
     """Summaries, nearest past fix and verdicts with stubs for the models; past fixes are the positives."""
     commits = T.commits(spark, sf).select("commit_id", "diff")
@@ -141,7 +146,7 @@ def three_stage(spark, sf):
     store = fixes.select(F.col("commit_id").alias("id"), F.col("cve").alias("key"), F.col("embedding").alias("vector"), F.col("summary").alias("document"))
     judged = V.three_stage(candidates.select("cve", "commit_id", "diff"), store, T.advisory(spark, sf), _summarise, _embed, _judge)
     read = json_in_text("answer", "analysis string, vulnerability_fix boolean")
-    return judged.select("cve", "commit_id", "history_cve", read["value"]["vulnerability_fix"].alias("vulnerability_fix"), read["error"].alias("error"))
+    return judged.select("cve", "commit_id", "history_cve", read["value"]["vulnerability_fix"].alias("vulnerability_fix"))
 
 
 @query("""WITH f AS (SELECT l_orderkey AS commit_id, 'f' || l_linenumber AS path, CASE WHEN l_quantity > 35 THEN 1 ELSE 0 END AS relevant FROM lineitem),
