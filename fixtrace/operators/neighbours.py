@@ -71,7 +71,7 @@ def nearest_history(queries: DataFrame, store: DataFrame, k: int = 1) -> DataFra
     """(id, neighbour, distance, place): the k nearest stored vectors whose key differs from the query's.
 
     Both tables have the columns id, key and vector. The distance is squared Euclidean. Ties go to the
-    smaller id. All distances are exact.
+    smaller id. All distances are exact. Both tables are read several times, so give stored ones.
     """
     columns = ["id", "key", F.col("vector").cast("array<double>").alias("vector")]
     queries, store = queries.select(*columns), store.select(*columns)

@@ -27,6 +27,10 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return sizes.agg(F.max("n")).first()[0] or 0
 
 
+def _fits(sizes: DataFrame, keys: list[str], hot_rows: int) -> bool:
+    return bool(keys and hot_rows) and largest_group(sizes, keys) <= hot_rows
+
+
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
                salts: int = SALTS, spread_by: list[str] | None = None) -> DataFrame:
     """Join a large table, possibly with hot keys, to a table with one row per key.
@@ -49,7 +53,7 @@ def running_values(df: DataFrame, keys: list[str], order: list[Column],
     ``order`` has to be total within a group. ``sizes`` is a cheaper table with the same group sizes.
     Without keys, or with a group over ``hot_rows``, the rows are cut into slices.
     """
-    if keys and hot_rows and largest_group(df if sizes is None else sizes, keys) <= hot_rows:
+    if _fits(df if sizes is None else sizes, keys, hot_rows):
         before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.select("*", *[AGGREGATES[agg](expr).over(before).alias(name)
                                 for name, (agg, expr) in measures.items()])
@@ -87,7 +91,10 @@ def running_values(df: DataFrame, keys: list[str], order: list[Column],
 def rank_within(df: DataFrame, keys: list[str], order: list[Column], rank: str = "rank",
                 sizes: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Ordinal rank per group, best = 1. The last column of ``order`` has to break all ties."""
-    counted = running_values(df, keys, order, {rank: ("sum", F.lit(1).cast("bigint"))}, sizes, hot_rows)
+    if _fits(df if sizes is None else sizes, keys, hot_rows):
+        # In this form a later filter on small ranks prunes each task's rows before the shuffle.
+        return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    counted = running_values(df, keys, order, {rank: ("sum", F.lit(1).cast("bigint"))}, hot_rows=0)
     return counted.withColumn(rank, (F.coalesce(rank, F.lit(0)) + 1).cast("int"))
 
 

@@ -155,7 +155,7 @@ def page_lines(lines: DataFrame, start: Column | int, size: int = K.PAGE_SIZE) -
     head = F.concat(F.lit(one), F.col("first").cast("string"), F.lit(two), last.cast("string"),
                     F.lit(three), F.col("n").cast("string"), F.lit(":"))
     pages = sizes.filter(~bad).select("path", "first", last.alias("last"), head.alias("header"))
-    shown = join_small(lines, pages, ["path"]).filter(F.col("line_no").between(F.col("first"), F.col("last")))
+    shown = join_small(lines, pages, ["path"], spread_by=["line_no"]).filter(F.col("line_no").between(F.col("first"), F.col("last")))
     sorry = K.PAGE_INVALID.split("%s")
     errors = sizes.filter(bad).select(
         "path", F.lit(None).cast("bigint").alias("line_no"), F.lit(None).cast("string").alias("line"),

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from fixtrace.functions.text import asbool
 from fixtrace.operators.joins import join_small
 from fixtrace.operators.neighbours import history_for_verdicts
+from fixtrace.session import reliable
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -62,10 +63,11 @@ def three_stage(candidates: DataFrame, store: DataFrame, advisory: DataFrame, su
     """Summarise each candidate, embed the summary, fetch the nearest past fix, judge.
 
     ``candidates`` has cve, commit_id, diff; ``store`` id, key, vector, document. ``summarise`` adds
-    summary, ``embed`` embedding, ``judge`` answer. Rows that fail leave the chain at their stage.
+    summary, ``embed`` embedding, ``judge`` answer. Rows that fail leave the chain at their stage. The
+    embedded rows are written down before the search reads them again and again: each model is called once.
     """
     summed = score_with(candidates, summarise, "summary string").filter("summary is not null")
-    embedded = score_with(summed, embed, "embedding array<double>").filter("embedding is not null")
+    embedded = reliable(score_with(summed, embed, "embedding array<double>").filter("embedding is not null"))
     pair = F.concat_ws("|", "cve", "commit_id")
     queries = embedded.select(pair.alias("id"), F.col("cve").alias("key"), F.col("embedding").alias("vector"))
     history = history_for_verdicts(queries, store, advisory).drop("distance", "place")

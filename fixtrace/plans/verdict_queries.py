@@ -14,7 +14,7 @@ from fixtrace.operators import traces as R
 from fixtrace.operators import verdicts as V
 from fixtrace.plans import standins as T
 from fixtrace.plans.registry import query
-from fixtrace.session import shared_folder, spread
+from fixtrace.session import reliable, shared_folder, spread
 from fixtrace.sources import files as IO
 from fixtrace.streaming import feeds as S
 
@@ -143,7 +143,7 @@ def three_stage(spark, sf):
     commits = T.commits(spark, sf).select("commit_id", "diff")
     candidates = T.mapping(spark, sf).join(commits, "commit_id")
     fixes = V.score_with(V.score_with(candidates.filter("label = 1"), _summarise, "summary string"), _embed, "embedding array<double>")
-    store = fixes.select(F.col("commit_id").alias("id"), F.col("cve").alias("key"), F.col("embedding").alias("vector"), F.col("summary").alias("document"))
+    store = reliable(fixes).select(F.col("commit_id").alias("id"), F.col("cve").alias("key"), F.col("embedding").alias("vector"), F.col("summary").alias("document"))
     judged = V.three_stage(candidates.select("cve", "commit_id", "diff"), store, T.advisory(spark, sf), _summarise, _embed, _judge)
     read = json_in_text("answer", "analysis string, vulnerability_fix boolean")
     return judged.select("cve", "commit_id", "history_cve", read["value"]["vulnerability_fix"].alias("vulnerability_fix"))

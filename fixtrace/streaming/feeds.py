@@ -46,7 +46,10 @@ def stream_verdicts(candidates: DataFrame, judge: Callable[[DataFrame], DataFram
 
 
 def stream_traces(spans: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Distinct spans (trace_id, span_id) of all traces as they arrive. The state is kept per span."""
+    """Distinct spans (trace_id, span_id) of all traces as they arrive. The state is kept per span.
+
+    A span that comes again after more than ``late`` is passed on again.
+    """
     return (spans.withWatermark("start", late).dropDuplicatesWithinWatermark(["trace_id", "span_id"])
             .select("trace_id", "span_id", "start"))
 
