@@ -115,8 +115,10 @@ def commit_texts(spark: SparkSession, sf: str) -> DataFrame:
 def items(spark: SparkSession, sf: str) -> DataFrame:
     """Ranking input: cve, commit_id, repo, label, score, similarity, f1 and more, about 600 rows per group."""
     line = table(spark, sf, "lineitem")
+    # Order, line and part alone come twice now and then.
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string")
     return line.select(
-        F.col("l_suppkey").cast("string").alias("cve"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("commit_id"),
+        F.col("l_suppkey").cast("string").alias("cve"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", cents).alias("commit_id"),
         F.concat(F.lit("acme/r"), (F.col("l_suppkey") % 7).cast("string")).alias("repo"),
         F.when(F.col("l_partkey") % 211 == 0, 1).otherwise(0).alias("label"),
         F.col("l_extendedprice").alias("score"), (F.col("l_extendedprice") / 100000.0).alias("similarity"),
@@ -126,7 +128,7 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
 
 ITEMS_SQL = """
 items AS (
-  SELECT l_suppkey::VARCHAR AS cve, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS commit_id,
+  SELECT l_suppkey::VARCHAR AS cve, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || round(l_extendedprice * 100)::BIGINT AS commit_id,
     'acme/r' || (l_suppkey % 7) AS repo, CASE WHEN l_partkey % 211 = 0 THEN 1 ELSE 0 END AS label,
     l_extendedprice AS score, l_extendedprice / 100000.0::DOUBLE AS similarity, l_quantity / 50.0::DOUBLE AS f1
   FROM lineitem),
