@@ -323,7 +323,25 @@ def render_prompt(template: str, slots: dict[str, Column | str]) -> Column:
 
 
 def format_metric(value: Column | str) -> Column:
-    return F.format_string("%.2f", as_col(value))
+    """Two decimals, rounded by the exact binary value and half to even, unlike ``format_string``."""
+    value = as_col(value).cast("double")
+
+    def cents(x):
+        # The factor splits a double into two halves whose products with 100 are exact.
+        shifted = x * F.lit(134217729.0)
+        high = shifted - (shifted - x)
+        return F.struct((high * 100).alias("high"), ((x - high) * 100).alias("low"))
+
+    def rounded(s):
+        total = s["high"] + s["low"]
+        below = F.floor(total)
+        over = (total - below - 0.5) + ((s["high"] - total) + s["low"])
+        return below + F.when((over > 0) | ((over == 0) & (below % 2 == 1)), 1).otherwise(0)
+
+    number = let(let(F.abs(value), cents), rounded)
+    sign = F.when((value < 0) & (number > 0), "-").otherwise("")
+    return F.when(value.isNotNull(), F.concat(
+        sign, F.format_string("%d.%02d", F.floor(number / 100), number % 100)))
 
 
 def escape_markup(text: Column | str) -> Column:

@@ -92,7 +92,16 @@ def test_texts(one):
     assert one(X.head_lines, "a\nb\nc", n=2) == "a\nb"
     assert one(X.nonblank_lines, "a\n \n\tb", sep="|") == ["|a", "|\tb"]
     assert one(X.escape_markup, "a_b %&$") == "a\\_b \\%\\&\\$"
-    assert one(lambda c: X.format_metric(c.cast("double")), "0.6666") == "0.67"
+
+
+def test_format_metric(spark):
+    import random
+    rng = random.Random(7)
+    values = [0.0, 1.0, 0.125, 0.375, 0.625, 0.155, 1.005, 2.675, 0.145, 0.285, 0.995, -0.125, -1.5, 12345.675, 99.995]
+    values += [i / 8 for i in range(40)] + [i / 1000 for i in range(1000)] + [rng.random() * 100 for _ in range(500)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", X.format_metric("v").alias("t")).collect()
+    assert [(r["v"], r["t"]) for r in rows if r["t"] != f"{r['v']:.2f}"] == []
+    assert spark.range(1).select(X.format_metric(F.lit(None).cast("double"))).first()[0] is None
 
 
 def test_fit_budget(spark):
