@@ -15,11 +15,15 @@ from fixtrace.operators.ordering import rank_within, top_k
 
 def sample_negatives(commits: DataFrame, patches: DataFrame, n: int = K.NEGATIVES_PER_REPO,
                      seed: int = 42) -> DataFrame:
-    """Up to n random commits per repository that are not fixes themselves."""
-    others = commits.join(patches.select("commit_id").distinct(), "commit_id", "left_anti")
+    """Up to n random commits per repository that are not fixes themselves.
+
+    Ids are picked first, so the diffs move once, or not at all where the picks are few.
+    """
+    ids = commits.select("repo", "commit_id")
+    others = ids.join(patches.select("commit_id").distinct(), "commit_id", "left_anti")
     keyed = others.withColumn("_random", shuffle_key(seed, "commit_id"))
-    order = [F.col("_random"), F.col("commit_id")]
-    return top_k(keyed, ["repo"], order, n, rank="_pick").drop("_random", "_pick")
+    picked = top_k(keyed, ["repo"], [F.col("_random"), F.col("commit_id")], n, rank="_pick")
+    return commits.join(picked.select("repo", "commit_id"), ["repo", "commit_id"], "left_semi")
 
 
 def reservoir_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
