@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -28,7 +29,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
     spark = build_session(f"local[{cores}]", "bench", **{
-        "spark.sql.shuffle.partitions": cores, "spark.driver.memory": "16g", "spark.ui.enabled": "false",
+        "spark.sql.shuffle.partitions": cores, "spark.checkpoint.dir": tempfile.mkdtemp(prefix="fixtrace-bench-"), "spark.driver.memory": "16g", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}

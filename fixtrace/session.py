@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,15 +29,31 @@ def build_session(master: str | None = None, app: str = "fixtrace", **conf) -> S
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for checkpoints and stages: the one the cluster names, a scratch one only if none is set."""
+    """Folder for checkpoints and stages that the driver and all executors share.
+
+    The one that ``spark.checkpoint.dir`` names. Where that is unset, a folder beside the tables of the
+    warehouse, which all machines of a cluster share as well.
+    """
     folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="fixtrace-")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one, for the intermediate tables of one run."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """Write the rows as a Parquet table in the shared folder and go on from there."""
+    path = f"{folder}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def reliable(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there, so that they never change again."""
     shared_folder(df.sparkSession)

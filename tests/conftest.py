@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import duckdb
 import pytest
@@ -16,7 +17,7 @@ DATA = os.environ.get("FIXTRACE_TEST_DATA", "/root/testdata/sf0.001")
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("local[*]", "fixtrace-tests", **{
-        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false",
+        "spark.sql.shuffle.partitions": "8", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="fixtrace-tests-"), "spark.driver.memory": "8g", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
