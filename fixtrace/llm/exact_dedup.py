@@ -54,8 +54,8 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     a chain: they are grouped by their bytes, so that different texts with equal keys stay apart. Of equal texts the
     row with the largest doc_id stays.
 
-    Only keys and counts are shuffled for all rows. Texts move only where a key occurs twice, and each task
-    first merges its own copies, so a text that is a third of all rows arrives once per task.
+    Each task merges its own copies before the shuffle, so a text that is a third of all rows arrives once per
+    task; after it, only keys and digests move.
 
     A null text counts as empty. Rows with a null doc_id are grouped like others and never stay beside rows with
     an id; where all ids of a group are null, keep_id is null and none is marked kept except a group of one row.
@@ -67,22 +67,15 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = own.withColumn("key", F.xxhash64("text"))
     rows = staged(own.select("doc_id", "key", F.sha2("text", 256).alias("text_sha256")), folder, "rows")
-    counts = staged(rows.groupBy("key").agg(F.count("*").alias("rows"), F.max("doc_id").alias("last")), folder, "counts")
-    slots, depth = directory(counts, folder, capacity)
-
-    # Texts that may have a copy, chained under their key; the hash aggregate compares them byte by byte.
-    repeated = counts.filter("rows > 1").select("key")
-    chains = (own.join(repeated, "key").groupBy("key", "text")
-              .agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
-              .select("key", F.sha2("text", 256).alias("text_sha256"), "group_size", "keep_id"))
-    single = counts.filter("rows = 1").select("key", F.col("last").alias("keep_id"))
-    entries = chains.select("key", "text_sha256", "group_size", "keep_id").unionByName(
-        single.select("key", F.lit(None).cast("string").alias("text_sha256"), F.lit(1).cast("bigint").alias("group_size"), "keep_id"))
+    slots, depth = directory(staged(rows.select("key").distinct(), folder, "keys"), folder, capacity)
+
+    # Texts chained under their key; the hash aggregate compares them byte by byte.
+    entries = (own.groupBy("key", "text").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
+               .select("key", F.sha2("text", 256).alias("text_sha256"), "group_size", "keep_id"))
     index = (entries.withColumn("slot", _prefix("key", depth)).join(slots, "slot")
              .select("bucket", "key", "text_sha256", "group_size", "keep_id"))
     index = staged(index.repartition("bucket").sortWithinPartitions("bucket", "key", "keep_id"), folder, "index")
 
-    found = rows.join(index.select("key", F.col("text_sha256").alias("chained"), "group_size", "keep_id"), "key")
-    found = found.filter(F.col("chained").isNull() | (F.col("chained") == F.col("text_sha256")))
+    found = rows.join(index.select("key", "text_sha256", "group_size", "keep_id"), ["key", "text_sha256"])
     return found.select("doc_id", "keep_id", "group_size",
                         F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("group_size") == 1).alias("kept"), "text_sha256")
