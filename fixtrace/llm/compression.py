@@ -41,14 +41,14 @@ class SizeMeter:
     whole text at once.
     """
 
-    def __init__(self, contents: list[bytes], level: int, piece: int):
+    def __init__(self, contents: list[bytes], level: int, piece: int, **settings):
         self.piece, self.coders = piece, []
+        how = zstandard.ZstdCompressionParameters.from_level(
+            level, write_content_size=False, write_checksum=False, write_dict_id=False, **settings)
         for content in contents:
-            known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if content else None
-            if known:
-                known.precompute_compress(level=level)
-            self.coders.append(zstandard.ZstdCompressor(level=level, dict_data=known, write_checksum=False,
-                                                        write_content_size=False))
+            known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            known.precompute_compress(compression_params=how)
+            self.coders.append(zstandard.ZstdCompressor(dict_data=known, compression_params=how))
         self.empty = [len(c.compress(b"")) for c in self.coders]
 
     def sizes(self, raw: bytes) -> np.ndarray:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,16 @@ from fixtrace.llm.compression import SizeMeter, dictionary, excerpts
 from fixtrace.llm.learning import labelled_sample
 
 UNKNOWN = "und"
-LEVEL = 3
+#: Bytes of a piece; texts of fewer bytes than SHORT get a more thorough search for matches.
 PIECE = 1024
+SHORT = 512
+
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> bytes:
+    """The words of a text in lower case, one space between them: signs and case say little about the language."""
+    return (" " + _OTHER.sub(" ", text.lower()).strip() + " ").encode("utf-8", "surrogatepass")
 
 
 class LanguageModel:
@@ -22,18 +32,20 @@ class LanguageModel:
 
     def __init__(self, contents: dict[str, bytes], sharpness: float = 40.0):
         self.names = sorted(n for n, c in contents.items() if c)
-        self.contents, self.sharpness, self.meter = [contents[n] for n in self.names], sharpness, None
+        self.contents, self.sharpness, self.meters = [contents[n] for n in self.names], sharpness, None
 
     def __getstate__(self):  # compressors are built where they are used
-        return self.__dict__ | {"meter": None}
+        return self.__dict__ | {"meters": None}
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Best language, its score and its margin: the share of bytes it saves against the next best."""
         if not text or not self.names or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, 0.0
-        if self.meter is None:
-            self.meter = SizeMeter(self.contents, LEVEL, PIECE)
-        sizes = np.maximum(self.meter.sizes(text.encode("utf-8", "surrogatepass")), 1.0)
+        if self.meters is None:
+            self.meters = (SizeMeter(self.contents, 13, PIECE),
+                           SizeMeter(self.contents, 3, PIECE, min_match=3, strategy=zstandard.STRATEGY_LAZY2))
+        raw = letters(text)
+        sizes = np.maximum(self.meters[len(raw) >= SHORT].sizes(raw), 1.0)
         best = int(np.argmin(sizes))  # of equal sizes the first by name
         rest = np.delete(sizes, best)
         margin = float(1 - sizes[best] / rest.min()) if len(rest) else 1.0
@@ -52,7 +64,9 @@ def fit_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", la
     parts: dict[str, list] = {}
     for row in excerpts(sample, "lang", excerpt).collect():
         parts.setdefault(row["value"], []).append((row["doc_id"], row["excerpt"]))
-    return LanguageModel({name: dictionary((e for _, e in sorted(found)), dictionary_bytes) for name, found in parts.items()})
+    return LanguageModel({
+        name: dictionary((letters(e).decode("utf-8", "surrogatepass") for _, e in sorted(found)), dictionary_bytes) 
+        for name, found in parts.items()})
 
 
 def identify_language(docs: DataFrame, model: LanguageModel, text: str = "text", margin: float = 0.0) -> DataFrame:
@@ -64,9 +78,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, text: str = "text",
     four names are replaced.
     """
     @F.pandas_udf("lang_pred string, lang_score double, lang_margin double")
-    def predict(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = [model.predict(t if isinstance(t, str) else None) for t in texts]
             yield pd.DataFrame(rows, columns=["lang_pred", "lang_score", "lang_margin"])

@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from fixtrace.llm.compression import SizeMeter, dictionary, excerpts
 from fixtrace.llm.learning import Logistic, labelled_sample
 
-#: zstandard level and the pieces, in bytes, in which a text is compressed; 0 is the whole text.
-LEVEL = 6
-PIECES = (256, 0)
+#: The pieces, in bytes, in which a text is compressed, with zstandard's level; 0 is the whole text.
+PIECES = ((256, 6), (0, 3))
 
 
 class QualityModel:
@@ -30,7 +29,7 @@ class QualityModel:
     def features(self, text: str | None) -> list[float]:
         """Normalised size differences, by piece size, and the logarithm of the compression ratio."""
         if self.meters is None:
-            self.meters = [SizeMeter(self.contents, LEVEL, piece) for piece in PIECES]
+            self.meters = [SizeMeter(self.contents, level, piece) for piece, level in PIECES]
         raw = (text or "").encode("utf-8", "surrogatepass")
         found = []
         for meter in self.meters:

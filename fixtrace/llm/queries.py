@@ -2,17 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fixtrace.llm.exact_dedup import exact_duplicates
+from fixtrace.llm.language import fit_language, identify_language
+from fixtrace.llm.learning import remainder
 from fixtrace.llm.near_dedup import near_duplicates
+from fixtrace.llm.quality import fit_quality, score_quality
 from fixtrace.llm.registry import query
+from fixtrace.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _labelled(spark: SparkSession, sf_dir: str, label: str, parts: int, held: int) -> DataFrame:
+    """Texts with their labels, without the held-out ones; equal labels of one document count once."""
+    labels = (_table(spark, sf_dir, "labels").filter(F.col(label).isNotNull() & (remainder("doc_id", parts) != held))
+              .select("doc_id", label).distinct())
+    return _table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+
+
+def _held_out(parts: int, held: int) -> Column:
+    return F.coalesce(remainder("doc_id", parts) == held, F.lit(False)).alias("held_out")
+
+
+def _verdict(score: str = "score") -> Column:
+    return F.when(F.col(score) >= 0.3, 1).otherwise(0).alias("predicted")
+
+
 @query(oracle="""
 WITH RECURSIVE w AS (
     SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -42,3 +62,25 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""")
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = fit_toxicity(_labelled(spark, sf_dir, "toxic", 4, 2))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, model).select("doc_id", _held_out(4, 2), "score", _verdict())
+
+
+@query()
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_language(docs.filter(remainder("doc_id", 5) != 0))
+    return (identify_language(docs.select("doc_id", "text"), model, margin=0.01)
+            .select("doc_id", _held_out(5, 0), "lang_pred", F.col("lang_score").alias("score"), "lang_margin", "lang_rejected"))
+
+
+@query()
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = fit_quality(_labelled(spark, sf_dir, "quality", 5, 0))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, model).select("doc_id", _held_out(5, 0), "score", _verdict())
