@@ -16,6 +16,8 @@ from fixtrace.session import run_folder, staged
 
 #: Documents whose shingles are held together in a task while they are hashed.
 GROUP_SHINGLES = 1 << 18
+#: Shingles in a block of texts that meets other blocks of its group.
+BLOCK_SHINGLES = 1 << 17
 
 
 def bands_needed(percent: int, rows: int, miss: float) -> int:
@@ -100,6 +102,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return shared.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
+def _linker(percent: int):
+    """Task function: links between the texts of two blocks, as many as it takes to connect what is similar.
+
+    ``alone`` shingles of one text are in no other, which bounds what two texts can share; pairs beyond the bound
+    and pairs that are connected already are not compared.
+    """
+    def run(table: pa.Table) -> pa.Table:
+        mine = table.column("mine").to_numpy()
+        first, last = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        names = table.column("node").to_pylist()
+        n, alone = table.column("n").to_numpy(), table.column("alone").to_numpy()
+        sets = [s.values.to_numpy().view(np.uint64) for s in table.column("shingles")]
+        owns = table.column("own").to_pylist()
+        numbers = {own: k for k, own in enumerate(dict.fromkeys(owns))}
+        group = np.array([numbers[own] for own in owns])
+        left, right = np.flatnonzero(mine == first), np.flatnonzero(mine == last)
+        links: tuple[list, list] = ([], [])
+        for x in left:
+            most = np.minimum(n[x] - alone[x], n[right] - alone[right])
+            least = np.maximum(n[x] + alone[right], n[right] + alone[x])
+            for y in right[(100 * most >= percent * least) & (group[right] != group[x])]:
+                if group[x] == group[y] or (first == last and y < x):
+                    continue
+                at = np.minimum(np.searchsorted(sets[y], sets[x]), len(sets[y]) - 1)
+                both = int((sets[y][at] == sets[x]).sum())
+                if 100 * both >= percent * (int(n[x]) + int(n[y]) - both):
+                    links[0].append(names[x])
+                    links[1].append(names[y])
+                    group[group == group[y]] = group[x]
+        return pa.table({"a": pa.array(links[0], pa.binary()), "b": pa.array(links[1], pa.binary())})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80,
                     rows: int = 4, miss: float = 1e-5) -> DataFrame:
     """Groups of texts whose word shingles overlap: doc_id, n_shingles, component_id, kept.
@@ -114,13 +150,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     * Only bands that two nodes share are combined into keys. A node most of whose shingles occur in no other
       candidate cannot reach the threshold with any and is left out; this is exact.
     * In each bucket every node is compared to one leader, the node with the smallest share of such shingles.
-      Buckets that then still hold several groups have the nodes outside their largest group compared to
-      those of all other groups, so no link is lost to the choice of leaders, and no group is paired out.
+      Where buckets then still hold several groups, the texts that such buckets connect are dealt into blocks, and
+      each two blocks meet in one task, which compares texts of different groups only and returns no more links than
+      connect them. So no link is lost to the choice of leaders, and no pairs are written out.
     * Every link is confirmed on the full sets, of which 64-bit hashes are held.
 
     A text without words, empty or null has no shingles, is linked with nothing and kept. Rows that repeat a
     doc_id share its group. A null doc_id never names a group: a set that only such rows have is linked with
-    nothing, and its rows are kept with a null group. An empty table gives an empty result. Columns other than the two named are not read.
+    nothing, and its rows are kept with a null group. An empty table gives an empty result. Columns other than the
+    two named are not read.
     """
     spark = docs.sparkSession
     folder = run_folder(spark, "near")
@@ -129,8 +167,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sketch = staged(own.mapInArrow(_sketcher(width, bands, rows),
                                    "doc_id bigint, node binary, n bigint, a array<bigint>, b array<bigint>"),
                     folder, "sketch")
-    nodes = (sketch.filter("node is not null").groupBy("node")
-             .agg(F.min("doc_id").alias("lead"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")))
+    nodes = staged(sketch.filter("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("lead"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")),
+        folder, "nodes")
 
     # Bands that more than one node has, by side.
     bits = staged(nodes.select("node", F.posexplode(F.concat("a", "b")).alias("band", "key")), folder, "bands")
@@ -142,15 +181,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .filter((F.col("low") < bands) & (F.col("high") >= bands)).select("node", "bits"), folder, "candidates")
 
     # Their full sets, from the texts.
-    leads = sketch.join(candidates.select("node"), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = staged(own.join(leads, "doc_id").select("node", "text").mapInArrow(_set_maker(width), "node binary, shingles array<bigint>")
+    leads = nodes.join(candidates.select("node"), "node").select("node", F.col("lead").alias("doc_id"))
+    sets = staged(own.join(leads, "doc_id").select("node", "text")
+                  .mapInArrow(_set_maker(width), "node binary, shingles array<bigint>")
                   .filter(F.size("shingles") > 0), folder, "sets")
     alone = (sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle")
              .agg(F.count("*").alias("times"), F.min("node").alias("node")).filter("times = 1")
              .groupBy("node").agg(F.count("*").alias("alone")))
-    alive = (sets.select("node", F.size("shingles").cast("bigint").alias("n")).join(alone, "node", "left")
-             .select("node", "n", F.coalesce("alone", F.lit(0)).alias("alone"))
-             .filter(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))).dropDuplicates(["node"])
+    alive = staged(
+        sets.select("node", F.size("shingles").cast("bigint").alias("n")).join(alone, "node", "left")
+        .select("node", "n", F.coalesce("alone", F.lit(0)).alias("alone"))
+        .filter(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")).dropDuplicates(["node"]), folder, "alive")
+
     # Table keys: a band of either side.
     def side(first):
         return F.filter("bits", lambda x: (x["band"] < bands) if first else (x["band"] >= bands))
@@ -169,16 +211,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     groups = components(links, folder, "groups")
 
     # Buckets that hold several groups still.
-    placed = buckets.join(groups, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    parts = placed.groupBy("key", "label").agg(F.count("*").alias("members"))
-    mixed = (parts.groupBy("key").agg(F.count("*").alias("parts"),
-                                      F.max_by("label", F.struct("members", "label")).alias("largest")).filter("parts > 1"))
+    placed = (buckets.join(groups, "node", "left")
+              .select("key", "node", "leader", F.coalesce("label", "node").alias("label")))
+    mixed = (placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+             .select("key"))
     open_ = staged(placed.join(mixed, "key"), folder, "open")
-    rest, all_ = open_.filter("label != largest").alias("x"), open_.alias("y")
-    left = (rest.join(all_, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
-                      & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
-            .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-    more = staged(_verified(left, sets, percent), folder, "more_links")
+    near = components(open_.select(F.col("leader").alias("a"), F.col("node").alias("b")), folder, "near")
+    members = (open_.select("node", F.col("label").alias("own")).distinct().join(near, "node")
+               .select("node", "own", F.col("label").alias("near")).join(alive, "node"))
+    blocks = (members.groupBy("near").agg(F.sum("n").alias("total"), F.count_distinct("own").alias("parts")).filter("parts > 1")
+              .select("near", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks")))
+    dealt = (members.join(blocks, "near").join(sets, "node")
+             .select("near", "node", "own", "n", "alone", "shingles", "blocks",
+                     F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    met = dealt.select("near", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node",
+                       "own", "n", "alone", "shingles")
+    more = staged(met.groupBy("near", "i", "j").applyInArrow(_linker(percent), "a binary, b binary"), folder, "more_links")
     if not more.isEmpty():
         groups = components(links.union(more), folder, "all_groups")
 
