@@ -78,7 +78,8 @@ class PieceTransducer:
         self.trie = {t[:n]: -1 for t in usable for n in range(1, len(t))} | usable
         # Runs of gaps with signs or with other characters, and single line ends. Whether two neighbours part follows
         # from the two alone, so if no piece parts, no piece crosses a cut in any text.
-        signs = {c for t in self.ids for c in t if unicodedata.category(c)[0] in "PSCZ"} - {_GAP, "\n"}
+        signs = {c for t in self.ids for c in t if unicodedata.category(c)[0] in "PSCZ" or unicodedata.category(c) == "No"}
+        signs -= {_GAP, "\n"}
         sign = "".join(map(re.escape, sorted(signs))) or "\0"
         self.cut = re.compile(f"{_GAP}*[^{sign}{_GAP}\n]+|{_GAP}*[{sign}]+|{_GAP}+|\n")
         if any(self.cut.findall(t) != [t] for t in self.ids):

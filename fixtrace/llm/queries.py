@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from fixtrace.llm.exact_dedup import exact_duplicates
 from fixtrace.llm.language import fit_language, identify_language
 from fixtrace.llm.learning import remainder
 from fixtrace.llm.near_dedup import near_duplicates
+from fixtrace.llm.pieces import decode_pieces, encode_pieces
 from fixtrace.llm.quality import fit_quality, score_quality
 from fixtrace.llm.registry import query
+from fixtrace.llm.token_counts import count_tokens
 from fixtrace.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -18,6 +22,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file: in the folder FIXTRACE_TOKENIZERS names, or where its package has it."""
+    folder = os.environ.get("FIXTRACE_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _labelled(spark: SparkSession, sf_dir: str, label: str, parts: int, held: int) -> DataFrame:
     """Texts with their labels, without the held-out ones; equal labels of one document count once."""
     labels = (_table(spark, sf_dir, "labels").filter(F.col(label).isNotNull() & (remainder("doc_id", parts) != held))
@@ -84,3 +98,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_quality(_labelled(spark, sf_dir, "quality", 5, 0))
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_quality(docs, model).select("doc_id", _held_out(5, 0), "score", _verdict())
+
+
+@query()
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("piece_bpe_32k.model")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return (decode_pieces(encode_pieces(docs, path), path)
+            .select("doc_id", "piece_ids", F.size("piece_ids").cast("bigint").alias("n_pieces"),
+                    F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip")))
+
+
+@query()
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return (count_tokens(docs, tokenizer_path("word_bpe_49k.json"))
+            .select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), "n_tokens",
+                    (F.col("n_tokens") > 2048).alias("over_limit")))
