@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -256,8 +257,6 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text", ids: str = "p
 
 def decode_pieces(docs: DataFrame, model: str, ids: str = "piece_ids", name: str = "decoded") -> DataFrame:
     """All columns of ``docs`` and the text that piece ids stand for; null for null. ``name`` is replaced."""
-    import pandas as pd
-
     coder = PieceTransducer(model)
 
     @F.pandas_udf("string")
