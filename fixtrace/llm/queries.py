@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fixtrace.llm.exact_dedup import exact_duplicates
 from fixtrace.llm.language import fit_language, identify_language
 from fixtrace.llm.learning import remainder
+from fixtrace.llm.mixing import mix_sources, word_count
 from fixtrace.llm.near_dedup import near_duplicates
 from fixtrace.llm.pieces import decode_pieces, encode_pieces
 from fixtrace.llm.quality import fit_quality, score_quality
@@ -115,3 +116,38 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (count_tokens(docs, tokenizer_path("word_bpe_49k.json"))
             .select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), "n_tokens",
                     (F.col("n_tokens") > 2048).alias("over_limit")))
+
+
+@query(oracle="""
+WITH own AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS source_size FROM own GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight,
+    source_size * 2.0::DOUBLE AS cap FROM src),
+f AS (SELECT *, 1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER before, 0) AS rest,
+    sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS open_ FROM w
+    WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lv AS (SELECT *, max(CASE WHEN cap / weight >= rest / open_ THEN rest / open_ END) OVER () AS level FROM f),
+t AS (SELECT source, source_size, least(cap, coalesce(weight * level, cap)) AS target,
+    ceil(source_size / 128.0::DOUBLE)::BIGINT AS blocks FROM lv),
+n AS (SELECT source, blocks, round(target * blocks / source_size)::BIGINT AS need FROM t WHERE source_size > 0),
+u AS (SELECT *, sum(need) OVER (ORDER BY source NULLS LAST) AS upto, sum(need) OVER () AS total FROM n WHERE need > 0),
+p AS (SELECT *, floor((upto - need)::DOUBLE / total * 4294967296.0::DOUBLE)::BIGINT AS low,
+    floor(upto::DOUBLE / total * 4294967296.0::DOUBLE)::BIGINT AS high FROM u),
+slots AS (SELECT i AS slot, (i::HUGEINT * 2654435769) % 4294967296 AS point
+    FROM generate_series(0, (SELECT (any_value(total) + any_value(total) // 50 + 8 * count(*))::BIGINT - 1 FROM p)) g(i)),
+k AS (SELECT source, blocks, need, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS k
+    FROM slots JOIN p ON point >= low AND point < high),
+b AS (SELECT source, k % blocks AS block, count(*) AS times FROM k WHERE k < need GROUP BY ALL),
+line AS (SELECT doc_id, source, size, source_size, blocks, sum(size) OVER (PARTITION BY source ORDER BY md5('0|' || doc_id), doc_id
+    ROWS UNBOUNDED PRECEDING) AS fin FROM own JOIN t USING (source) WHERE size > 0),
+cut AS (SELECT source, x.range AS block, x.range * (source_size // blocks) + least(x.range, source_size % blocks) AS lo,
+    (x.range + 1) * (source_size // blocks) + least(x.range + 1, source_size % blocks) AS hi
+    FROM t, LATERAL (SELECT unnest(range(blocks)) AS range) x),
+g AS (SELECT doc_id, sum((least(fin, hi) - greatest(fin - size, lo)) * times) AS taken
+    FROM line JOIN cut ON line.source = cut.source AND lo < fin AND hi > fin - size
+    JOIN b ON b.source = cut.source AND b.block = cut.block GROUP BY doc_id)
+SELECT doc_id, size::BIGINT AS size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
+FROM own JOIN t USING (source) LEFT JOIN g USING (doc_id)""")
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size"))
+    return mix_sources(docs, "size")[0]
