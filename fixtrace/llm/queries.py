@@ -17,6 +17,7 @@ from fixtrace.llm.quality import fit_quality, score_quality
 from fixtrace.llm.registry import query
 from fixtrace.llm.token_counts import count_tokens
 from fixtrace.llm.toxicity import fit_toxicity, score_toxicity
+from fixtrace.llm.warc import round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -151,3 +152,14 @@ FROM own JOIN t USING (source) LEFT JOIN g USING (doc_id)""")
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size"))
     return mix_sources(docs, "size")[0]
+
+
+@query(oracle="""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+    CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM w""")
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "pages"))
