@@ -12,6 +12,7 @@ from fixtrace.llm.language import fit_language, identify_language
 from fixtrace.llm.learning import remainder
 from fixtrace.llm.mixing import mix_sources, word_count
 from fixtrace.llm.near_dedup import near_duplicates
+from fixtrace.llm.permutation_index import nearest
 from fixtrace.llm.pieces import decode_pieces, encode_pieces
 from fixtrace.llm.quality import fit_quality, score_quality
 from fixtrace.llm.registry import query
@@ -163,3 +164,16 @@ SELECT page_id, n::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
 FROM w""")
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages"))
+
+
+@query(oracle="""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL is the exact search, which the index equals on tables of up to 1,000 vectors."""
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
