@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixtrace.llm.compression import SizeMeter, dictionary, excerpts
-from fixtrace.llm.learning import labelled_sample
+from fixtrace.llm.learning import class_counts, labelled_sample
 
 UNKNOWN = "und"
 #: Bytes of a piece; texts of fewer bytes than SHORT get a more thorough search for matches.
@@ -60,7 +60,8 @@ def fit_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", la
     The sample is about ``2 * dictionary_bytes / excerpt`` texts of each language, chosen by a hash of the id.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sample = labelled_sample(rows, "lang", 2 * dictionary_bytes // excerpt, 3)
+    rows = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
+    sample = labelled_sample(rows, "lang", class_counts(rows.select("lang"), "lang"), 2 * dictionary_bytes // excerpt, 3)
     parts: dict[str, list] = {}
     for row in excerpts(sample, "lang", excerpt).collect():
         parts.setdefault(row["value"], []).append((row["doc_id"], row["excerpt"]))

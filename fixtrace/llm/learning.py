@@ -16,17 +16,27 @@ def remainder(doc_id: Column | str, parts: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % parts
 
 
-def labelled_sample(docs: DataFrame, label: str, per_class: int, seed: int = 0) -> DataFrame:
+def class_counts(rows: DataFrame, label: str) -> dict:
+    """Rows of each label value, of the 1,000 most common values."""
+    counts = rows.groupBy(F.col(label).alias("value")).agg(F.count("*").alias("rows"))
+    return {r["value"]: r["rows"] for r in counts.orderBy(F.desc("rows"), "value").limit(1000).collect()}
+
+
+def labelled_sample(rows: DataFrame, label: str, counts: dict, per_class: int, seed: int = 0) -> DataFrame:
     """About ``per_class`` rows of each label value: those whose id hashes low enough for the size of their class.
 
-    ``docs`` has doc_id, text and the label; rows where one of the three is null are left out. The counts cover all
-    rows; the expected number of rows kept is ``per_class`` for each value, or all rows of a smaller class.
+    ``counts`` covers all rows, as ``class_counts`` gives them. The expected number of rows kept is ``per_class`` for
+    each value, or all rows of a smaller class. Nothing is shuffled.
     """
-    known = docs.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy(F.col(label).alias("value")).agg(F.count("*").alias("rows"))
-    place = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(_HASH_RANGE))
-    return (known.join(F.broadcast(counts), F.col(label) == F.col("value"))
-            .filter(place * F.col("rows") < F.lit(float(per_class) * _HASH_RANGE)).drop("value", "rows"))
+    rates = [F.when(F.col(label) == value, F.lit(per_class / n)) for value, n in counts.items()]
+    place = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(_HASH_RANGE)) / _HASH_RANGE
+    return rows.filter(place < F.coalesce(*rates, F.lit(0.0)) if rates else F.lit(False))
+
+
+def with_texts(docs: DataFrame, sample: DataFrame, most: int) -> DataFrame:
+    """Texts of sampled labels; ``most`` is the bound on the sample, which is broadcast. Null texts are left out."""
+    few = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(few), "doc_id")
 
 
 class Logistic:

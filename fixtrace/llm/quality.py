@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixtrace.llm.compression import SizeMeter, dictionary, excerpts
-from fixtrace.llm.learning import Logistic, labelled_sample
+from fixtrace.llm.learning import Logistic, class_counts, labelled_sample, with_texts
 
 #: The pieces, in bytes, in which a text is compressed, with zstandard's level; 0 is the whole text.
 PIECES = ((256, 6), (0, 3))
@@ -52,34 +52,41 @@ def _feature_rows(model: QualityModel):
     return run
 
 
-def fit_quality(labelled: DataFrame, dictionary_bytes: int = 131072, excerpt: int = 600, fit_rows: int = 4000) -> QualityModel:
-    """Learn from (doc_id, text, quality): 1 is good, 0 is bad, other labels and nulls are left out.
+def fit_quality(docs: DataFrame, labels: DataFrame, dictionary_bytes: int = 131072, excerpt: int = 600,
+                fit_rows: int = 4000) -> QualityModel:
+    """Learn from docs (doc_id, text) and labels (doc_id, quality): 1 is good, 0 is bad, others and nulls are left out.
 
     The dictionaries are excerpts of a bounded sample of each class; the calibration is a logistic regression on
-    about ``fit_rows`` other rows of each class, whose features are computed on the executors. Without rows of
-    both classes the model gives every text the smoothed share of good rows.
+    about ``fit_rows`` other rows of each class, whose features are computed on the executors. Labels are
+    counted and sampled before they meet the texts, so no text is shuffled. Without rows of both classes the model
+    gives every text the smoothed share of good rows.
     """
-    rows = labelled.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).filter("quality IN (0, 1)")
+    rows = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IN (0, 1)").distinct()
+    counts = class_counts(rows, "quality")
     side = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(2))
     per_class = 2 * dictionary_bytes // excerpt
-    parts = excerpts(labelled_sample(rows.filter(side == 0), "quality", per_class, 1), "quality", excerpt).collect()
+    known = labelled_sample(rows.filter(side == 0), "quality", _half(counts), per_class, 1)
+    parts = excerpts(with_texts(docs, known, 4 * per_class), "quality", excerpt).collect()
     parts.sort(key=lambda r: (r["doc_id"], r["excerpt"]))
     contents = [dictionary((r["excerpt"] for r in parts if r["value"] == q), dictionary_bytes) for q in (0, 1)]
     model = QualityModel(*contents)
-    sample = labelled_sample(rows.filter(side == 1), "quality", fit_rows, 2)
+    sample = with_texts(docs, labelled_sample(rows.filter(side == 1), "quality", _half(counts), fit_rows, 2), 4 * fit_rows)
     found = sample.select("text", "quality").mapInArrow(_feature_rows(model), "x array<double>, y int").toPandas()
-    labels = found["y"].to_numpy(dtype=float)
-    model.prior = float((labels.sum() + 1) / (len(labels) + 2))
-    if contents[0] and contents[1] and 0 < labels.sum() < len(labels):
-        counts = {r["quality"]: r["n"] for r in rows.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-        model.fit = Logistic(np.array(found["x"].tolist(), dtype=float), labels)
-        # The sample holds both classes in other shares than the labelled rows do: move the intercept accordingly.
-        own = np.log(labels.sum() / (len(labels) - labels.sum()))
-        model.prior = counts[1] / (counts[0] + counts[1])
-        model.fit.weights[-1] += np.log(counts[1] / counts[0]) - own
+    found = found.sort_values("x", key=lambda c: c.map(tuple))  # tasks end in any order, sums should not
+    labels_ = found["y"].to_numpy(dtype=float)
+    bad, good = counts.get(0, 0), counts.get(1, 0)
+    model.prior = float((good + 1) / (good + bad + 2))
+    if contents[0] and contents[1] and 0 < labels_.sum() < len(labels_):
+        model.fit = Logistic(np.array(found["x"].tolist(), dtype=float), labels_)
+        # The sample holds the classes in other shares than the labels do: move the intercept accordingly.
+        model.fit.weights[-1] += np.log(good / bad) - np.log(labels_.sum() / (len(labels_) - labels_.sum()))
     return model
 
 
+def _half(counts: dict) -> dict:
+    return {value: max(1, n // 2) for value, n in counts.items()}
+
+
 def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", name: str = "score") -> DataFrame:
     """All columns of ``docs`` and the chance that the text is good, from 0 to 1.
 

@@ -35,11 +35,9 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _labelled(spark: SparkSession, sf_dir: str, label: str, parts: int, held: int) -> DataFrame:
-    """Texts with their labels, without the held-out ones; equal labels of one document count once."""
-    labels = (_table(spark, sf_dir, "labels").filter(F.col(label).isNotNull() & (remainder("doc_id", parts) != held))
-              .select("doc_id", label).distinct())
-    return _table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+def _labels(spark: SparkSession, sf_dir: str, label: str, parts: int, held: int) -> DataFrame:
+    """Labels of the documents that are not held out."""
+    return _table(spark, sf_dir, "labels").filter(remainder("doc_id", parts) != held).select("doc_id", label)
 
 
 def _held_out(parts: int, held: int) -> Column:
@@ -83,8 +81,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = fit_toxicity(_labelled(spark, sf_dir, "toxic", 4, 2))
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, _labels(spark, sf_dir, "toxic", 4, 2))
     return score_toxicity(docs, model).select("doc_id", _held_out(4, 2), "score", _verdict())
 
 
@@ -98,8 +96,8 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = fit_quality(_labelled(spark, sf_dir, "quality", 5, 0))
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, _labels(spark, sf_dir, "quality", 5, 0))
     return score_quality(docs, model).select("doc_id", _held_out(5, 0), "score", _verdict())
 
 

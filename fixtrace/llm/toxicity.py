@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fixtrace.llm.learning import Logistic, labelled_sample
+from fixtrace.llm.learning import Logistic, class_counts, labelled_sample, with_texts
 
 #: Letters that look like Latin ones, and what they are read as. Fixed values.
 HOMOGLYPHS = {
@@ -137,24 +137,27 @@ def _feature_rows(model: ToxicityModel):
     return run
 
 
-def fit_toxicity(labelled: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, sample_rows: int = 8000, words: int = 2000,
-                 at_least: int = 3) -> ToxicityModel:
-    """Learn lexicon and calibration from (doc_id, text, toxic); other labels than 0 and 1 and nulls are left out.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, sample_rows: int = 5000,
+                 words: int = 2000, at_least: int = 3) -> ToxicityModel:
+    """Learn from docs (doc_id, text) and labels (doc_id, toxic); other labels than 0 and 1 and nulls are left out.
 
-    Both come from bounded samples of about ``sample_rows`` rows of each class: three quarters of the labelled
-    rows give the words, the others the calibration. A word or word beginning enters the lexicon with its smoothed log-odds of toxic against other
-    texts if at least ``at_least`` toxic texts have it and the log-odds are at least 1.5 even at the lower end of
-    their error; the ``words`` strongest stay. A longer beginning that a shorter one already covers is dropped.
+    Both lexicon and calibration come from bounded samples of about ``sample_rows`` rows of each class: three quarters
+    of the labelled rows give the words, the others the calibration. Labels are counted and sampled before they
+    meet the texts, so no text is shuffled. A word or word beginning enters the lexicon with its smoothed log-odds of
+    toxic against other texts if at least ``at_least`` toxic texts have it and the log-odds are at least 1.5 even at the
+    lower end of their error; the ``words`` strongest stay. A longer beginning that a shorter one already covers is
+    dropped.
     """
-    rows = labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1)")
-    counts = {r["toxic"]: r["n"] for r in rows.filter("text IS NOT NULL").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)").distinct()
+    counts = class_counts(rows, "toxic")
     bad, good = counts.get(1, 0), counts.get(0, 0)
     prior = (bad + 1) / (bad + good + 20)
     if not bad or not good:
         return ToxicityModel({}, exceptions, prior)
     side = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(4))
-    known = labelled_sample(rows.filter(side < 3), "toxic", sample_rows, 5)
-    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    known = labelled_sample(rows.filter(side < 3), "toxic", {v: max(1, 3 * n // 4) for v, n in counts.items()}, sample_rows, 5)
+    known = with_texts(docs, known, 4 * sample_rows)
+    sizes = class_counts(known, "toxic")
     have = known.select("text", "toxic").mapInArrow(_word_counts(9), "word string, toxic bigint, other bigint")
     odds = (F.log((F.col("toxic") + 0.5) / (sizes.get(1, 0) - F.col("toxic") + 0.5))
             - F.log((F.col("other") + 0.5) / (sizes.get(0, 0) - F.col("other") + 0.5)))
@@ -169,13 +172,15 @@ def fit_toxicity(labelled: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS,
         if max(shorter, default=0.0) < row["weight"] - 1.0:
             weights[word] = row["weight"]
     model = ToxicityModel(weights, exceptions, prior)
-    sample = labelled_sample(rows.filter(side == 3), "toxic", sample_rows, 6)
+    sample = labelled_sample(rows.filter(side == 3), "toxic", {v: max(1, n // 4) for v, n in counts.items()}, sample_rows, 6)
+    sample = with_texts(docs, sample, 4 * sample_rows)
     made = sample.select("text", "toxic").mapInArrow(_feature_rows(model), "x array<double>, y int").toPandas()
-    labels = made["y"].to_numpy(dtype=float)
-    if 0 < labels.sum() < len(labels):
-        model.fit = Logistic(np.array(made["x"].tolist(), dtype=float), labels)
-        # The sample holds the classes in other shares than the labelled rows do: move the intercept accordingly.
-        model.fit.weights[-1] += np.log(bad / good) - np.log(labels.sum() / (len(labels) - labels.sum()))
+    made = made.sort_values("x", key=lambda c: c.map(tuple))  # tasks end in any order, sums should not
+    truth = made["y"].to_numpy(dtype=float)
+    if 0 < truth.sum() < len(truth):
+        model.fit = Logistic(np.array(made["x"].tolist(), dtype=float), truth)
+        # The sample holds the classes in other shares than the labels do: move the intercept accordingly.
+        model.fit.weights[-1] += np.log(bad / good) - np.log(truth.sum() / (len(truth) - truth.sum()))
     return model
 
 
