@@ -149,8 +149,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     * Equal sets become one node before anything else, so exact copies are neither hashed into tables nor paired.
     * Only bands that two nodes share are combined into keys. A node most of whose shingles occur in no other
       candidate cannot reach the threshold with any and is left out; this is exact.
-    * In each bucket every node is compared to one leader, the node with the smallest share of such shingles.
-      Where buckets then still hold several groups, the texts that such buckets connect are dealt into blocks, and
+    * Each bucket has a leader, the node with the smallest share of such shingles, and each node is compared to the
+      best leader of its buckets. Where buckets then still hold several groups, the texts that such buckets connect are dealt into blocks, and
       each two blocks meet in one task, which compares texts of different groups only and returns no more links than
       connect them. So no link is lost to the choice of leaders, and no pairs are written out.
     * Every link is confirmed on the full sets, of which 64-bit hashes are held.
@@ -198,27 +198,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return F.filter("bits", lambda x: (x["band"] < bands) if first else (x["band"] >= bands))
 
     keys = (candidates.join(alive, "node")
-            .select("node", "n", (F.col("alone") / F.col("n")).alias("apart"), F.explode(side(True)).alias("x"),
-                    side(False).alias("ys"))
-            .select("node", "n", "apart", "x", F.explode("ys").alias("y"))
-            .select("node", "n", "apart", F.xxhash64("x.band", "x.key", "y.band", "y.key").alias("key")))
+            .select("node", (F.col("alone") / F.col("n")).alias("apart"), F.explode(side(True)).alias("x"), side(False).alias("ys"))
+            .select("node", "apart", "x", F.explode("ys").alias("y"))
+            .select("node", "apart", F.xxhash64("x.band", "x.key", "y.band", "y.key").alias("key")))
     keys = staged(keys, folder, "keys")
-    tables = (keys.groupBy("key").agg(F.count("*").alias("size"), F.min_by("node", F.struct("apart", "node")).alias("leader"))
-              .filter("size > 1"))
-    buckets = staged(keys.join(tables, "key").select("key", "node", "n", "leader"), folder, "buckets")
-    starred = buckets.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    tables = (keys.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("apart", "node")).alias("lead"))
+              .filter("size > 1").select("key", "lead"))
+    buckets = staged(keys.join(tables, "key").select("key", "node", "lead"), folder, "buckets")
+    starred = (buckets.filter("node != lead.node").groupBy(F.col("node").alias("b")).agg(F.min("lead").alias("lead"))
+               .select(F.col("lead.node").alias("a"), "b"))
     links = staged(_verified(starred, sets, percent), folder, "links")
     groups = components(links, folder, "groups")
 
     # Buckets that hold several groups still.
     placed = (buckets.join(groups, "node", "left")
-              .select("key", "node", "leader", F.coalesce("label", "node").alias("label")))
-    mixed = (placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-             .select("key"))
-    open_ = staged(placed.join(mixed, "key"), folder, "open")
-    near = components(open_.select(F.col("leader").alias("a"), F.col("node").alias("b")), folder, "near")
-    members = (open_.select("node", F.col("label").alias("own")).distinct().join(near, "node")
-               .select("node", "own", F.col("label").alias("near")).join(alive, "node"))
+              .select("key", "node", F.coalesce("label", "node").alias("own")))
+    mixed = (placed.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low != high")
+             .select("key", "low"))
+    open_ = staged(placed.join(mixed, "key").select("node", "own", "low").distinct(), folder, "open")
+    near = components(open_.select(F.col("low").alias("a"), F.col("own").alias("b")), folder, "near")
+    members = (open_.select("node", "own").distinct()
+               .join(near.select(F.col("node").alias("own"), F.col("label").alias("near")), "own").join(alive, "node"))
     blocks = (members.groupBy("near").agg(F.sum("n").alias("total"), F.count_distinct("own").alias("parts")).filter("parts > 1")
               .select("near", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks")))
     dealt = (members.join(blocks, "near").join(sets, "node")
