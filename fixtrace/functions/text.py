@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -148,7 +148,7 @@ def combined_text(message: Column | str, diff: Column | str, nulls: str = "fill"
     raise ValueError(f"nulls must be 'fill' or 'blank', not {nulls!r}")
 
 
-def head_lines(text: Column | str, n: int = K.HEAD_LINES) -> Column:
+def head_lines(text: Column | str, n: int) -> Column:
     """The first ``n`` lines (part of the data preparation, not a safety cut)."""
     return F.array_join(F.slice(F.split(as_col(text), "\n"), 1, n), "\n")
 
@@ -239,8 +239,7 @@ def estimate_tokens(text: Column | str) -> Column:
     return F.length(as_col(text)) * F.lit(K.TOKENS_PER_CHAR)
 
 
-def fit_budget(parts: list[Column | str], context: Column | str,
-               budget: int = K.TOKEN_BUDGET) -> Column:
+def fit_budget(parts: list[Column | str], context: Column | str, budget: int) -> Column:
     """The context text, blanked when all parts with it are not below the token budget."""
     total = estimate_tokens(context)
     for part in parts:
@@ -248,6 +247,20 @@ def fit_budget(parts: list[Column | str], context: Column | str,
     return F.when(total < budget, as_col(context)).otherwise(F.lit(""))
 
 
+def running_budget(files: DataFrame, commit: str, order: str, patch: str, context: str, budget: int) -> DataFrame:
+    """Adds tokens_so_far and kept_context: the contexts of a commit's files in order, while there is budget.
+
+    The tokens of patches and contexts add up over the files of a commit; a file at which the sum reaches the budget, and
+    all after it, get an empty context. Nulls count as empty. Only keys and counts are sorted; the texts are joined back.
+    """
+    tokens = estimate_tokens(F.coalesce(F.col(patch), F.lit(""))) + estimate_tokens(F.coalesce(F.col(context), F.lit("")))
+    counted = files.select(commit, order, tokens.alias("_tokens"))
+    so_far = F.sum("_tokens").over(Window.partitionBy(commit).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    sums = counted.select(commit, order, so_far.alias("tokens_so_far"))
+    kept = F.when(F.col("tokens_so_far") < budget, F.coalesce(F.col(context), F.lit(""))).otherwise(F.lit(""))
+    return files.join(sums, [commit, order]).withColumn("kept_context", kept)
+
+
 def _one_json(text: Column) -> Column:
     """Whether the text is one JSON value and nothing else; parsers stop after the first value."""
     length = F.json_array_length(F.concat(F.lit("["), text, F.lit("]")))
@@ -267,8 +280,8 @@ def json_in_text(text: Column | str, schema: str) -> Column:
 def validate_verdict(record: Column | str) -> Column:
     """Struct (answer, confidence, explanation, error) of a verdict given as JSON text.
 
-    The answer has to be a boolean (0 and 1 count as one), the confidence an integer from 1 to 5, the
-    explanation a non-empty string. The first broken rule gives the error. A bad confidence turns null.
+    The answer has to be a boolean (0 and 1 count as one), the confidence an integer from 1 to 5 (true counts as
+    1), the explanation a non-empty string. The first broken rule gives the error. A bad confidence turns null.
     """
     value = F.when(_one_json(as_col(record)), F.try_parse_json(as_col(record)))
 
@@ -284,7 +297,10 @@ def validate_verdict(record: Column | str) -> Column:
         .when((kind("$.answer") != "STRING") & number.isin(0.0, 1.0), number == 1.0)
     )
     score = get("$.confidence", "bigint")
-    confidence = F.when((kind("$.confidence") == "BIGINT") & score.between(1, 5), score)
+    confidence = (
+        F.when((kind("$.confidence") == "BIGINT") & score.between(1, 5), score)
+        .when((kind("$.confidence") == "BOOLEAN") & get("$.confidence", "boolean"), F.lit(1).cast("bigint"))
+    )
     explanation = get("$.explanation", "string")
     worded = F.coalesce((kind("$.explanation") == "STRING") & (explanation != ""), F.lit(False))
     return F.struct(

@@ -69,7 +69,11 @@ def assemble_top(ranked: DataFrame, advisory: DataFrame, patches: DataFrame,
 
 
 def verdict_join(results: DataFrame, advisory: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Verdicts with description and candidate row; verdicts lacking either are dropped."""
+    """Verdicts with description and candidate row; verdicts lacking either are dropped.
+
+    Where candidates have a cve, a verdict meets its own pair only, so a commit of two advisories does not multiply.
+    """
     described = join_small(results, advisory, ["cve"], spread_by=["commit_id"])
-    extra = [c for c in candidates.columns if c not in described.columns or c == "commit_id"]
-    return described.join(candidates.select(*extra), "commit_id")
+    keys = ["cve", "commit_id"] if "cve" in candidates.columns else ["commit_id"]
+    extra = [c for c in candidates.columns if c not in described.columns or c in keys]
+    return described.join(candidates.select(*extra), keys)

@@ -1,18 +1,19 @@
-"""Exact nearest neighbours among stored vectors, without pairing every query with every vector.
+"""Nearest neighbours among stored vectors.
 
-A few stored vectors serve as pivots. Every stored vector belongs to the cell of its nearest pivot. A query
-looks only into the cells that the triangle inequality does not rule out. Queries and cells are packed into
-blocks, and one block meets another as one matrix product.
+``nearest_by_buckets`` finds candidates by hash tables of random hyperplanes and ranks them exactly: what is near
+is found with high probability, and few pairs are compared. ``nearest_history`` is the exact form. It compares blocks
+of queries with blocks of stored vectors: a few stored vectors serve as pivots of cells, and cells that the triangle
+inequality rules out are passed over. In many dimensions it rules out next to nothing, so count on all pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fixtrace.operators.ordering import top_k
@@ -70,8 +71,9 @@ def _blocks(df: DataFrame, sizes: np.ndarray) -> DataFrame:
 def nearest_history(queries: DataFrame, store: DataFrame, k: int = 1) -> DataFrame:
     """(id, neighbour, distance, place): the k nearest stored vectors whose key differs from the query's.
 
-    Both tables have the columns id, key and vector. The distance is squared Euclidean. Ties go to the
-    smaller id. All distances are exact. Both tables are read several times, so give stored ones.
+    Both tables have the columns id, key and vector. The distance is squared Euclidean, rounded to nine
+    digits. Ties go to the smaller id. The search is exact and compares up to all pairs. Both tables are read several
+    times, so give stored ones.
     """
     columns = ["id", "key", F.col("vector").cast("array<double>").alias("vector")]
     queries, store = queries.select(*columns), store.select(*columns)
@@ -143,13 +145,67 @@ def nearest_history(queries: DataFrame, store: DataFrame, k: int = 1) -> DataFra
     return top_k(candidates, ["id"], [F.col("distance"), F.col("neighbour")], k, rank="place")
 
 
-def history_for_verdicts(queries: DataFrame, store: DataFrame, advisory: DataFrame) -> DataFrame:
+def _bucket_codes(vectors: Column, tables: int, bits: int, seed: int) -> Column:
+    """One bucket per table: on which sides of ``bits`` random hyperplanes a vector lies."""
+    @F.pandas_udf("array<bigint>")
+    def codes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        planes: dict[int, np.ndarray] = {}
+        for batch in batches:
+            found = []
+            for vector in batch:
+                width = 0 if vector is None else len(vector)
+                if width not in planes:
+                    planes[width] = np.random.Generator(np.random.PCG64(seed)).normal(size=(max(1, width), tables * bits))
+                if not width:
+                    found.append(None)
+                    continue
+                sides = (np.asarray(vector, dtype=np.float64) @ planes[width] >= 0).reshape(tables, bits)
+                found.append((sides * (1 << np.arange(bits, dtype=np.int64))).sum(axis=1).tolist())
+            yield pd.Series(found, dtype=object)
+
+    return codes(vectors)
+
+
+def nearest_by_buckets(queries: DataFrame, store: DataFrame, k: int = 1, tables: int = 12, bits: int = 12,
+                       seed: int = 0) -> DataFrame:
+    """(id, neighbour, distance, place): of the stored vectors that share a bucket with the query the k nearest of other keys.
+
+    Approximate: a vector is met if it lies on the same side of all ``bits`` hyperplanes of one of ``tables`` tables.
+    Two vectors at an angle of t degrees miss each other with probability (1 - (1 - t / 180) ** bits) ** tables, 0.03
+    for 10 degrees. Queries that meet no vector of another key look again into buckets of half the bits. Distances
+    are squared Euclidean and computed by differences; ties go to the smaller id. No Spark job runs before an action;
+    a bucket that many vectors share is split by the adaptive join.
+    """
+    columns = ["id", "key", F.col("vector").cast("array<double>").alias("vector")]
+    queries, store = queries.select(*columns), store.select(*columns)
+    if k == 1:
+        # Of equal vectors with one key only the smallest id can win.
+        store = store.groupBy("vector", "key").agg(F.min("id").alias("id")).select("id", "key", "vector")
+
+    def met(asking: DataFrame, size: int) -> DataFrame:
+        left = asking.select("id", "key", "vector", F.posexplode(_bucket_codes(F.col("vector"), tables, size, seed)).alias("table", "bucket"))
+        right = store.select(F.col("id").alias("neighbour"), F.col("key").alias("_key"), F.col("vector").alias("_vector"),
+                             F.posexplode(_bucket_codes(F.col("vector"), tables, size, seed)).alias("table", "bucket"))
+        gaps = F.zip_with("vector", "_vector", lambda a, b: (a - b) * (a - b))
+        pairs = left.join(right, ["table", "bucket"]).filter(F.col("key") != F.col("_key"))
+        return pairs.select("id", "neighbour", F.round(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x), DIGITS).alias("distance"))
+
+    near = met(queries, bits)
+    rest = queries.join(near.select("id").distinct(), "id", "left_anti")
+    found = near.unionByName(met(rest, max(1, bits // 2))).distinct()
+    return top_k(found, ["id"], [F.col("distance"), F.col("neighbour")], k, rank="place")
+
+
+def history_for_verdicts(queries: DataFrame, store: DataFrame, advisory: DataFrame,
+                         search: Callable[[DataFrame, DataFrame], DataFrame] = nearest_history) -> DataFrame:
     """Per query the nearest stored fix of another advisory and that advisory's description.
 
+    ``search`` is ``nearest_history``, exact but for stores of moderate size, or ``nearest_by_buckets``.
+
     ``store`` has id, key (the advisory), vector and document. Queries whose neighbour's advisory is
     unknown are dropped.
     """
-    nearest = nearest_history(queries, store)
+    nearest = search(queries, store)
     documents = store.select(F.col("id").alias("neighbour"), F.col("key").alias("history_cve"),
                              F.col("document").alias("history_document"))
     described = advisory.select(F.col("cve").alias("history_cve"), F.col("desc").alias("history_desc"))

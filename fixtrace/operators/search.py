@@ -1,7 +1,7 @@
 """Many searches at once over a table of source lines or file paths.
 
 A list of searches is short, the corpus is large: each line is read once and tested inside its row, and only
-hits move. Fixed texts may also come as a table of any length.
+hits move. Fixed texts come as a table of any length.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from fixtrace.functions.text import explode_once
 from fixtrace.operators.ordering import join_small, top_k
 
 BATCH = 256
-LISTED = 4096
-PIECE = 16
+#: Lengths of the pieces of texts, longest first.
+PIECES = (16, 8, 4)
 
 
 def _matches(corpus: DataFrame, queries: list[tuple], test: Callable[[Column, int], Column]) -> DataFrame:
@@ -28,17 +28,23 @@ def _matches(corpus: DataFrame, queries: list[tuple], test: Callable[[Column, in
         batch = queries[at:at + BATCH]
         hits = F.array_compact(F.array(*[F.when(test(query), F.lit(query[0])) for query in batch]))
         parts.append(explode_once(corpus, corpus.columns, hits, "query"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    empty = corpus.withColumn("query", F.lit("")).filter(F.lit(False))
+    return reduce(lambda a, b: a.unionByName(b), parts, empty)
 
 
-def _answers(hits: DataFrame, queries: DataFrame, cap: int, too_many: str, none: str) -> DataFrame:
+def _answers(hits: DataFrame, queries: DataFrame, cap: int | None, too_many: str, none: str) -> DataFrame:
     """(query, answer): the hits of a search, or one line saying there are too many or none.
 
-    One hit over the cap is enough to know, so each task passes on at most ``cap + 1`` per search.
+    Without a cap all hits are given. With one, a hit over it is enough to know, so each task passes on at most
+    ``cap + 1`` per search.
     """
+    before, after = none.split("%s")
+    if cap is None:
+        found = queries.join(hits, "query", "left")
+        sorry = F.concat(F.lit(before), "query", F.lit(after))
+        return found.select("query", F.coalesce("answer", sorry).alias("answer"))
     few = top_k(hits, ["query"], [F.col("answer")], cap + 1)
     lists = few.groupBy("query").agg(F.collect_list("answer").alias("answers"))
-    before, after = none.split("%s")
     shown = (
         F.when(F.col("answers").isNull(), F.array(F.concat(F.lit(before), "query", F.lit(after))))
         .when(F.size("answers") > cap, F.array(F.lit(too_many)))
@@ -55,43 +61,86 @@ def _pieces(size: int) -> Column:
     return F.regexp_extract_all(F.col("line"), F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
-def _holding(lines: DataFrame, queries: DataFrame, listed: int) -> DataFrame:
-    """Hits of a table of fixed texts. A line can only hold a text if it holds the text's first piece.
+def _holding(lines: DataFrame, queries: DataFrame) -> DataFrame:
+    """Hits of a table of fixed texts. A line can only hold a text if it holds each piece of the text.
 
-    The piece is no longer than the shortest text, so none is missed; what met is compared as a whole. A
-    line is cut up once, whatever the number of texts. The pieces of up to ``listed`` texts are a constant
-    set that each line is looked up in; those of more are joined, for which only places and pieces move.
+    Texts are taken by length: those of a class share the length of their pieces, so a short text costs what it
+    matches and does not shorten the pieces of others. Of a text's pieces the one is looked for that the fewest lines
+    hold, so texts that begin alike do not meet. A line is cut up once per class; only places and pieces move,
+    and what met is compared as a whole. Texts shorter than the shortest piece are tested inside each row.
     """
-    size = min(PIECE, queries.agg(F.min(F.length("query"))).first()[0])
-    first = queries.select("query", F.col("path").alias("only"), F.left("query", F.lit(size)).alias("piece"))
-    short = first.select("piece").distinct().limit(listed + 1).collect()
-    if len(short) <= listed:
-        known = [row["piece"] for row in short]
-        pieces = F.array_distinct(F.filter(_pieces(size), lambda piece: piece.isin(known)))
-        met = explode_once(lines, ["path", "line_no", "line"], pieces, "piece").join(first, "piece")
-    else:
-        cut = explode_once(lines, ["path", "line_no"], F.array_distinct(_pieces(size)), "piece")
-        places = cut.join(first, "piece").select("path", "line_no", "query", "only").distinct()
-        met = places.join(lines, ["path", "line_no"])
     hit = F.contains("line", F.col("query")) & (F.col("only").isNull() | (F.col("only") == F.col("path")))
-    return met.filter(hit).select("query", _hit())
+    asked = queries.select("query", F.col("path").alias("only"))
+    parts = []
+    for at, size in enumerate(PIECES):
+        longer = PIECES[at - 1] if at else None
+        own = asked.filter(F.length("query") >= size)
+        if longer is not None:
+            own = own.filter(F.length("query") < longer)
+        grams = own.select("query", "only", F.explode(F.array_distinct(
+            F.regexp_extract_all("query", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))).alias("piece"))
+        wanted = grams.select("piece").distinct()
+        cut = explode_once(lines, ["path", "line_no"], F.array_distinct(_pieces(size)), "piece").join(wanted, "piece", "left_semi")
+        counts = cut.groupBy("piece").agg(F.count(F.lit(1)).alias("held"))
+        # A text one of whose pieces no line holds has no hit; the inner join with min over all pieces drops it.
+        rarest = (grams.join(counts, "piece", "left").groupBy("query", "only")
+                  .agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "piece")).alias("best"))
+                  .filter("best.held > 0").select("query", "only", F.col("best.piece").alias("piece")))
+        places = cut.join(rarest, "piece").select("path", "line_no", "query", "only").distinct()
+        parts.append(places.join(lines, ["path", "line_no"]).filter(hit).select("query", _hit()))
+    tiny = asked.filter((F.length("query") < PIECES[-1]) & (F.length("query") > 0))
+    symbols = tiny.select("query", "only", F.substring("query", 1, 1).alias("piece"))
+    first = explode_once(lines, ["path", "line_no", "line"], F.array_distinct(F.split("line", "")), "piece").join(symbols, "piece")
+    parts.append(first.filter(hit).select("query", _hit()))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def code_search(lines: DataFrame, queries: DataFrame, cap: int = K.SEARCH_CAP, listed: int = LISTED) -> DataFrame:
+def code_search(lines: DataFrame, queries: DataFrame, cap: int | None = None) -> DataFrame:
     """Lines holding a fixed text (case counts), each search optionally in one file only.
 
     ``lines`` has path, line_no, line; ``queries`` has query (not empty) and path (null for all files).
-    Answers read ``path:line:content``. More than ``cap`` hits give one line saying so, as does no hit.
+    Answers read ``path:line:content``; no hit gives one line saying so, as do more than ``cap`` hits if there is a cap.
     """
     queries = queries.select("query", "path").distinct()
-    hits = _holding(lines, queries, listed)
+    hits = _holding(lines, queries)
     return _answers(hits, queries.select("query").distinct(), cap, K.SEARCH_TOO_MANY, K.SEARCH_NONE)
 
 
-def grep(lines: DataFrame, queries: list[tuple[str, str | None]], cap: int = K.SEARCH_CAP) -> DataFrame:
-    """As ``code_search`` with a list of (regular expression, path or None)."""
+def basic_to_regex(pattern: str) -> str:
+    """The pattern of a POSIX basic expression, as line search tools read it by default, for ``rlike``.
+
+    There ``+ ? | ( ) { }`` are plain characters and their escaped forms are the operators.
+    """
+    out, i = [], 0
+    while i < len(pattern):
+        char = pattern[i]
+        if char == "[":
+            close = pattern.find("]", i + (3 if pattern[i + 1:i + 2] == "^" else 2))
+            if close > 0:
+                inside = pattern[i + 1:close].replace("\\", "\\\\").replace("[", "\\[").replace("&", "\\&")
+                out.append("[" + inside + "]")
+                i = close + 1
+                continue
+            out.append("\\[")
+        elif char == "\\" and i + 1 < len(pattern):
+            i += 1
+            out.append(pattern[i] if pattern[i] in "+?|(){}" else "\\" + pattern[i])
+        elif char in "+?|(){}" or char == "*" and not out:
+            out.append("\\" + char)
+        else:
+            out.append(char)
+        i += 1
+    return "".join(out)
+
+
+def grep(lines: DataFrame, queries: list[tuple[str, str | None]], cap: int | None = None, basic: bool = False) -> DataFrame:
+    """As ``code_search`` with a list of (regular expression, path or None).
+
+    Expressions are extended ones, as Spark reads them; with ``basic`` they are POSIX basic ones.
+    """
     def matches(query):
         pattern, path = query
+        pattern = basic_to_regex(pattern) if basic else pattern
         hit = F.col("line").rlike(pattern)
         return hit if path is None else hit & (F.col("path") == path)
 
@@ -108,19 +157,35 @@ def parse_hits(answer: Column | str) -> Column:
                     F.get(parts, F.lit(2)).alias("content"))
 
 
+def _glob_class(inside: str, negated: bool) -> str:
+    """Character class of a glob; a range that runs backwards holds nothing."""
+    parts, i = [], 0
+    while i < len(inside):
+        if i + 2 < len(inside) and inside[i + 1] == "-":
+            if inside[i] <= inside[i + 2]:
+                parts.append(f"\\x{{{ord(inside[i]):x}}}-\\x{{{ord(inside[i + 2]):x}}}")
+            i += 3
+        else:
+            parts.append(f"\\x{{{ord(inside[i]):x}}}")
+            i += 1
+    if not parts:
+        return "." if negated else "(?!)"
+    return ("[^" if negated else "[") + "".join(parts) + "]"
+
+
 def glob_to_regex(glob: str) -> str:
     """Regular expression for a glob over the whole path; ``*`` and ``?`` also match ``/``."""
     out, i = [], 0
     while i < len(glob):
         char = glob[i]
-        close = glob.find("]", i + 2) if char == "[" else -1
+        begin = i + 2 if glob[i + 1:i + 2] == "!" else i + 1
+        close = glob.find("]", begin + 1) if char == "[" else -1  # a bracket that comes first is a plain character
         if char == "*":
             out.append(".*")
         elif char == "?":
             out.append(".")
         elif close > 0:
-            inside = glob[i + 1:close].replace("\\", "\\\\").replace("[", "\\[").replace("&", "\\&")
-            out.append("[" + ("^" + inside[1:] if inside.startswith("!") else inside) + "]")
+            out.append(_glob_class(glob[begin:close], begin == i + 2))
             i = close
         else:
             out.append("\\" + char if not char.isalnum() and char != "_" and ord(char) < 128 else char)
@@ -128,8 +193,11 @@ def glob_to_regex(glob: str) -> str:
     return "(?s)^" + "".join(out) + r"\z"
 
 
-def file_search(paths: DataFrame, queries: list[str], cap: int = K.FILES_CAP) -> DataFrame:
-    """(query, answer): paths matching a glob, or, without glob characters, holding the text in any case."""
+def file_search(paths: DataFrame, queries: list[str], cap: int | None = None) -> DataFrame:
+    """(query, answer): paths matching a glob, or, without glob characters, holding the text in any case.
+
+    No hit gives one line saying so, as do more than ``cap`` hits if there is a cap.
+    """
     def matches(query):
         text = query[0]
         if any(char in text for char in K.GLOB_CHARS):
@@ -170,4 +238,4 @@ def scroll(start: Column | int, direction: str, size: int = K.PAGE_SIZE) -> Colu
         return F.greatest(start - size, F.lit(1))
     if direction == "down":
         return F.greatest(F.least(start + size, F.col("n") - size + 1), F.lit(1))
-    raise ValueError("Invalid direction. Use 'up' or 'down'.")
+    raise ValueError(f"pages go up or down, not {direction!r}")

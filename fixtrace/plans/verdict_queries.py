@@ -27,8 +27,10 @@ def _folder(spark, name):
 
 
 def _asked(spark, sf):
-    """Searches: the beginnings of the benchmark texts."""
-    return T.table(spark, sf, "benchmark").select(F.left("text", F.lit(60)).alias("query"), F.lit(None).cast("string").alias("path"))
+    """Searches: the lines and the first sentences of the benchmark texts, whole texts and some short ones."""
+    texts = T.table(spark, sf, "benchmark")
+    asked = texts.select(F.explode(F.array("text", F.get(F.split("text", "[.]"), F.lit(0)), F.left("text", F.lit(60)), F.right("text", F.lit(5)))).alias("query"))
+    return asked.filter("query <> ''").distinct().select("query", F.lit(None).cast("string").alias("path"))
 
 
 SEARCHED = T.LINES_SQL + """,
@@ -39,20 +41,20 @@ SELECT query, answer FROM hits JOIN sizes USING (query) WHERE n <= {cap}
 UNION ALL SELECT query, CASE WHEN n = 0 THEN 'No matches found for ''' || query || '''.' ELSE '{many}' END FROM sizes WHERE n = 0 OR n > {cap}"""
 
 
-CODE_SEARCH = SEARCHED.format(
-    asked="SELECT DISTINCT substr(text, 1, 60) AS query FROM benchmark", test="contains(line, query)", cap=100,
-    many="Too many results found. Please be more specific.")
+ASKED = """SELECT DISTINCT query FROM (SELECT unnest([text, split_part(text, '.', 1), left(text, 60), right(text, 5)]) AS query FROM benchmark) WHERE query <> ''"""
+CODE_SEARCH = SEARCHED.format(asked=ASKED, test="contains(line, query)", cap=100, many="Too many results found. Please be more specific.")
+CODE_SEARCH_ALL = SEARCHED.format(asked=ASKED, test="contains(line, query)", cap=1000000000, many="")
 
 
 @query("WITH " + CODE_SEARCH)
 def code_search(spark, sf):
-    return Q.code_search(T.code_lines(spark, sf), _asked(spark, sf))
+    return Q.code_search(T.code_lines(spark, sf), _asked(spark, sf), cap=100)
 
 
-@query("WITH " + CODE_SEARCH)
+@query("WITH " + CODE_SEARCH_ALL)
 def code_search_joined(spark, sf):
-    """The way for tables of searches too long for a list."""
-    return Q.code_search(T.code_lines(spark, sf), _asked(spark, sf), listed=0)
+    """All hits of every search."""
+    return Q.code_search(T.code_lines(spark, sf), _asked(spark, sf))
 
 
 PATTERNS = [r"^[A-Z][a-z]+ [a-z]+ing ", r"[0-9]{3}-[0-9]{4}", r"[a-f0-9]{40}", r"@[a-z]+[.](com|org)", r"^(The|Le|El|Der) ", r"nowhere.*to.*be.*found"]
@@ -62,7 +64,7 @@ PATTERNS = [r"^[A-Z][a-z]+ [a-z]+ing ", r"[0-9]{3}-[0-9]{4}", r"[a-f0-9]{40}", r
     asked="SELECT unnest([" + ", ".join(f"'{p}'" for p in PATTERNS) + "]) AS query", test="regexp_matches(line, query)", cap=100,
     many="Too many files found. Please be more specific."))
 def grep(spark, sf):
-    return Q.grep(T.code_lines(spark, sf), [(pattern, None) for pattern in PATTERNS])
+    return Q.grep(T.code_lines(spark, sf), [(pattern, None) for pattern in PATTERNS], cap=100)
 
 
 @query(f"""WITH {T.LINES_SQL}, h AS (SELECT path || ':' || line_no || ':' || line AS t FROM code_lines)
@@ -84,7 +86,7 @@ SELECT query, answer FROM hits JOIN sizes USING (query) WHERE n <= 50
 UNION ALL SELECT query, CASE WHEN n = 0 THEN 'No files found matching ''' || query || '''.' ELSE 'Too many files found (more than 50). Please refine your search query.' END
 FROM sizes WHERE n = 0 OR n > 50""".replace("\\\\", "\\"))
 def file_search(spark, sf):
-    return Q.file_search(T.table(spark, sf, "pages").select(F.col("url").alias("path")), FILE_QUERIES)
+    return Q.file_search(T.table(spark, sf, "pages").select(F.col("url").alias("path")), FILE_QUERIES, cap=50)
 
 
 @query(f"""WITH {T.LINES_SQL}, n AS (SELECT path, max(line_no) AS n FROM code_lines GROUP BY path)
@@ -118,7 +120,7 @@ def score_with(spark, sf):
 
 
 def _summarise(rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"summary": rows["diff"].str.slice(0, 200)})
+    return pd.DataFrame({"summary": rows["diff"]})
 
 
 def _embed(rows: pd.DataFrame) -> pd.DataFrame:
@@ -133,16 +135,16 @@ def _judge(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 @query(f"""WITH {T.COMMITS_SQL}, {T.MAPPING_SQL},
-e AS (SELECT cve, commit_id, label, substr(diff, 1, 200) AS s, list_transform(string_split('aeinorst', ''), lambda c:
-  (length(substr(diff, 1, 200)) - length(replace(lower(substr(diff, 1, 200)), c, ''))) / 10.0::DOUBLE) AS v FROM mapping JOIN commits USING (commit_id)),
+e AS (SELECT cve, commit_id, label, diff AS s, list_transform(string_split('aeinorst', ''), lambda c:
+  (length(diff) - length(replace(lower(diff), c, ''))) / 10.0::DOUBLE) AS v FROM mapping JOIN commits USING (commit_id)),
 p AS (SELECT q.cve, q.commit_id, s.commit_id AS sid, s.cve AS history_cve, s.s AS doc,
   round(list_sum(list_transform(range(1, 9), lambda i: (q.v[i] - s.v[i]) * (q.v[i] - s.v[i]))), 9) AS d FROM e q JOIN e s ON s.label = 1 AND q.cve != s.cve)
 SELECT cve, commit_id, arg_min(history_cve, (d, sid)) AS history_cve, length(arg_min(doc, (d, sid))) % 2 = 1 AS vulnerability_fix FROM p GROUP BY cve, commit_id""")
 def three_stage(spark, sf):
-    """Summaries, nearest past fix and verdicts with stubs for the models; past fixes are the positives."""
+    """Summaries (here the whole diffs), nearest past fix and verdicts with stubs for the models; past fixes are the positives."""
     commits = T.commits(spark, sf).select("commit_id", "diff")
     candidates = T.mapping(spark, sf).join(commits, "commit_id")
-    fixes = V.score_with(V.score_with(candidates.filter("label = 1"), _summarise, "summary string"), _embed, "embedding array<double>")
+    fixes = V.score_with(V.score_with(candidates.filter("label = 1"), _summarise, "summary string", "skip"), _embed, "embedding array<double>", "skip")
     store = reliable(fixes).select(F.col("commit_id").alias("id"), F.col("cve").alias("key"), F.col("embedding").alias("vector"), F.col("summary").alias("document"))
     judged = V.three_stage(candidates.select("cve", "commit_id", "diff"), store, T.advisory(spark, sf), _summarise, _embed, _judge)
     read = json_in_text("answer", "analysis string, vulnerability_fix boolean")

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,9 +22,12 @@ from fixtrace.operators.preparation import resume
 
 def written(spark, path: str) -> DataFrame | None:
     """Rows a sink has written so far, None before the first ones."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    return spark.read.parquet(path) if files.exists(folder) else None
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
@@ -36,30 +40,40 @@ def drain(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
 def stream_verdicts(candidates: DataFrame, judge: Callable[[DataFrame], DataFrame], path: str,
                     checkpoint: str, keys: tuple[str, ...] = ("cve", "commit_id")) -> StreamingQuery:
-    """Judge arriving candidates once each: rows already in the sink are skipped, also after a restart."""
+    """Judge arriving candidates once each, also after a restart.
+
+    The keys of what the stream has seen are its state. Only what the sink holds when the stream starts, from another
+    run or a batch whose end was not recorded, is looked up as well, so a batch reads no more of the sink as it grows.
+    """
+    before = written(candidates.sparkSession, path)
+    done = None if before is None else before.select(*keys)
+
     def run(batch: DataFrame, _: int) -> None:
-        new = resume(batch.dropDuplicates(list(keys)), written(batch.sparkSession, path), keys)
-        judge(new).write.mode("append").parquet(path)
+        judge(resume(batch, done, keys)).write.mode("append").parquet(path)
 
-    return (candidates.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    return (candidates.dropDuplicates(list(keys)).writeStream.foreachBatch(run)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def stream_traces(spans: DataFrame, late: str = "10 minutes") -> DataFrame:
+def stream_traces(spans: DataFrame, late: str | None = None) -> DataFrame:
     """Distinct spans (trace_id, span_id) of all traces as they arrive. The state is kept per span.
 
-    A span that comes again after more than ``late`` is passed on again.
+    With ``late`` the state of a span ends that long after it, and spans that are later than that are left out.
     """
+    if late is None:
+        return spans.dropDuplicates(["trace_id", "span_id"]).select("trace_id", "span_id", "start")
     return (spans.withWatermark("start", late).dropDuplicatesWithinWatermark(["trace_id", "span_id"])
             .select("trace_id", "span_id", "start"))
 
 
 def stream_ttl_dedupe(requests: DataFrame, ttl_seconds: int = K.REPORT_TTL_SECONDS,
-                      late: str = "0 seconds") -> DataFrame:
+                      late: str | None = None) -> DataFrame:
     """(key, asked_at, fetched_at, fetched): answers from a cache that forgets after a time to live.
 
     A fetched report serves until ``ttl_seconds`` after it was fetched; serving does not prolong it.
-    ``requests`` has key and asked_at. State per key: the time of its last fetch.
+    ``requests`` has key and asked_at. State per key: the time of its last fetch, one number. No request is left
+    out: one that arrives behind others of its key, however late, is served from what was fetched last. With
+    ``late`` the state of a key ends when its report has expired, and requests later than that are left out.
     """
     def serve(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -80,19 +94,25 @@ def stream_ttl_dedupe(requests: DataFrame, ttl_seconds: int = K.REPORT_TTL_SECON
             fetched_at[at:end] = last
             at = end
         state.update((int(last.astype("int64")),))
-        expires = int(last.astype("int64") // 1000) + ttl_seconds * 1000
-        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
+        if late is not None:
+            expires = int(last.astype("int64") // 1000) + ttl_seconds * 1000
+            state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": key[0], "asked_at": asked, "fetched_at": fetched_at, "fetched": fetched})
 
     kind = requests.schema["key"].dataType.simpleString()
-    return requests.withWatermark("asked_at", late).groupBy("key").applyInPandasWithState(
-        serve, f"key {kind}, asked_at timestamp, fetched_at timestamp, fetched boolean", "fetched_at bigint",
-        "append", GroupStateTimeout.EventTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout
+    if late is not None:
+        requests, timeout = requests.withWatermark("asked_at", late), GroupStateTimeout.EventTimeTimeout
+    return requests.groupBy("key").applyInPandasWithState(
+        serve, f"key {kind}, asked_at timestamp, fetched_at timestamp, fetched boolean", "fetched_at bigint", "append", timeout)
 
 
-def progress_counts(events: DataFrame, time: str = "ts", width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """(window_start, n): finished items per window; works on a stream or a table."""
-    counted = events.withWatermark(time, late) if events.isStreaming else events
+def progress_counts(events: DataFrame, time: str = "ts", width: str = "1 day", late: str | None = None) -> DataFrame:
+    """(window_start, n): finished items per window; works on a stream or a table.
+
+    With ``late`` the state of a window ends that long after it, and items that are later than that are left out.
+    """
+    counted = events.withWatermark(time, late) if events.isStreaming and late is not None else events
     return counted.groupBy(F.window(time, width).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(
         F.col("w.start").alias("window_start"), "n")
 

@@ -158,6 +158,23 @@ def test_stream_ttl(spark, tmp_path, batches):
     assert sorted(map(tuple, found.collect())) == sorted(wanted)
 
 
+def test_streams_return_every_late_row(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = [[("a", start + dt.timedelta(hours=5)), ("b", start + dt.timedelta(days=9))],
+            [("a", start), ("c", start)], [("a", start + dt.timedelta(hours=6)), ("b", start)]]
+    schema = "key string, asked_at timestamp"
+    for batch in rows:
+        write_batches(spark, tmp_path / "in", [batch], schema)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    served = feeds.drain(feeds.stream_ttl_dedupe(stream, 3600), str(tmp_path / "out"), str(tmp_path / "c"))
+    assert sorted((r["key"], r["asked_at"]) for r in served.collect()) == sorted(r for batch in rows for r in batch)
+    assert {(r["asked_at"] - start).total_seconds(): r["fetched"] for r in served.filter("key = 'a'").collect()} == {18000: True, 0: False, 21600: True}
+    counted = feeds.drain_complete(feeds.progress_counts(stream, time="asked_at"), str(tmp_path / "counts"), str(tmp_path / "c2"))
+    assert sum(r["n"] for r in counted.collect()) == 6
+    spans = stream.select(F.col("key").alias("trace_id"), F.col("asked_at").cast("string").alias("span_id"), F.col("asked_at").alias("start"))
+    assert feeds.drain(feeds.stream_traces(spans), str(tmp_path / "spans"), str(tmp_path / "c3")).count() == 6
+
+
 def test_progress_counts_stream_equals_batch(spark, tmp_path):
     rows = [(dt.datetime(2024, 1, 1 + i % 3, i % 24),) for i in range(90)]
     write_batches(spark, tmp_path / "in", [rows[:40], rows[40:]], "ts timestamp")

@@ -27,16 +27,29 @@ def answers(df):
     return {q: sorted(a) for q, a in found.items()}
 
 
-@pytest.mark.parametrize("listed", [0, Q.LISTED])
-def test_code_search(spark, lines, listed):
+def test_code_search(spark, lines):
     asked = spark.createDataFrame([("return", None), ("main: ", None), ("many", None), ("many 1", "a.c"), ("(1", "a.c"), ("zzzz", None)],
                                   "query string, path string")
-    assert answers(Q.code_search(lines, asked, listed=listed)) == {
+    assert answers(Q.code_search(lines, asked, cap=100)) == {
         "return": ["a.c:3:return (1)"], "main: ": ["a.c:1:int main: x"],
         "many": ["Too many results found. Please be more specific."], "many 1": ["No matches found for 'many 1'."],
         "(1": ["a.c:3:return (1)"], "zzzz": ["No matches found for 'zzzz'."]}
 
 
+def test_search_gives_all_hits_and_takes_short_and_empty_lists(spark, lines):
+    asked = spark.createDataFrame([("many", None), ("e", "a.c"), ("(", None), ("return (1)", None)], "query string, path string")
+    found = answers(Q.code_search(lines, asked))
+    assert len(found["many"]) == 130 and found["e"] == ["a.c:2:Return 1", "a.c:3:return (1)"]
+    assert found["("] == found["return (1)"] == ["a.c:3:return (1)"]
+    assert Q.code_search(lines, asked.limit(0)).count() == Q.grep(lines, []).count() == Q.file_search(lines, []).count() == 0
+
+
+@pytest.mark.parametrize("pattern, hits", [("return (1)", [3]), ("[Rr]eturn", [2, 3]), (r"return (1\|2)", [3]), (r"m\(ai\|a\)n", [1]), ("t+", []), ("*", [])])
+def test_basic_expressions(lines, pattern, hits):
+    found = answers(Q.grep(lines, [(pattern, "a.c")], basic=True))[pattern]
+    assert [int(a.split(":")[1]) for a in found if a.startswith("a.c")] == hits
+
+
 def test_search_in_batches(spark, lines, monkeypatch):
     monkeypatch.setattr(Q, "BATCH", 2)
     asked = [(f"many {i}", None) for i in range(101, 106)]
@@ -53,7 +66,7 @@ def test_parse_hits(one):
     assert one(Q.parse_hits, "a/b.c:12:x: y:z") == {"file": "a/b.c", "line": "12", "content": "x: y:z"}
 
 
-@pytest.mark.parametrize("glob", ["*.py", "src/*", "?.c", "[ab].c", "[!a].c", "*[0-9]*", "a[", "a+b.*", "[]]x", "*/deep/*.h"])
+@pytest.mark.parametrize("glob", ["*.py", "src/*", "?.c", "[ab].c", "[!a].c", "*[0-9]*", "a[", "a+b.*", "[]]x", "*/deep/*.h", "[^a]*", "[!]a]x", "[z-a]*", "[!z-a].c", "[a-b].c", "[]-a]*", "[a-]*"])
 def test_globs_as_fnmatch(spark, glob):
     paths = ["a.c", "b.c", "src/x.py", "src/deep/y.h", "n1.txt", "a[", "a+b.c", "]x", "A.C", "src/x.py.bak"]
     table = spark.createDataFrame([(p,) for p in paths], "path string")
@@ -63,7 +76,7 @@ def test_globs_as_fnmatch(spark, glob):
 
 def test_file_search_substring_and_cap(spark):
     table = spark.createDataFrame([(f"Dir/File{i}",) for i in range(51)], "path string")
-    assert answers(Q.file_search(table, ["dir/file50", "dir"])) == {
+    assert answers(Q.file_search(table, ["dir/file50", "dir"], cap=50)) == {
         "dir/file50": ["Dir/File50"], "dir": ["Too many files found (more than 50). Please refine your search query."]}
 
 
@@ -212,7 +225,7 @@ def test_score_with(spark):
         return pd.DataFrame({"double": rows["n"] * 2})
 
     rows = spark.range(6).withColumnRenamed("id", "n")
-    assert sorted(map(tuple, V.score_with(rows, scorer, "double bigint").collect())) == [(n, 2 * n) for n in (0, 1, 2, 4, 5)]
+    assert sorted(map(tuple, V.score_with(rows, scorer, "double bigint", "skip").collect())) == [(n, 2 * n) for n in (0, 1, 2, 4, 5)]
     kept = {r["n"]: (r["double"], r["error"]) for r in V.score_with(rows, scorer, "double bigint", on_error="keep").collect()}
     assert kept[3] == (None, "three") and kept[5] == (10, None) and len(kept) == 6
 

@@ -64,6 +64,8 @@ def test_json_in_text(one):
     ({"answer": False, "confidence": 6, "explanation": "x"}, False, None, "Confidence must be an integer between 1 and 5"),
     ({"answer": True, "confidence": "3", "explanation": "x"}, True, None, "Confidence must be an integer between 1 and 5"),
     ({"answer": True, "confidence": None, "explanation": "x"}, True, None, "Confidence must be an integer between 1 and 5"),
+    ({"answer": True, "confidence": True, "explanation": "x"}, True, 1, None),
+    ({"answer": True, "confidence": False, "explanation": "x"}, True, None, "Confidence must be an integer between 1 and 5"),
     ({"answer": True, "confidence": 3, "explanation": ""}, True, 3, "Explanation must be a non-empty string"),
     ({"answer": True, "confidence": 3, "explanation": 7}, True, 3, "Explanation must be a non-empty string"),
     ({"answer": "yes", "confidence": 9}, None, None, "Answer must be either True or False"),
