@@ -181,9 +181,9 @@ def top_k(spark, sf):
     return O.top_k(T.items(spark, sf), ["cve"], S.best_first("score"), 100).select("cve", "commit_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(f"""WITH {T.ITEMS_SQL} SELECT cve, avg(CASE WHEN label = 1 THEN "rank" END) AS avg_rank FROM ranked GROUP BY cve HAVING max(label) = 1""")
+@query(f"""WITH {T.ITEMS_SQL} SELECT cve, avg(CASE WHEN label = 1 THEN "rank" END) AS avg_rank FROM ranked GROUP BY cve""")
 def average_positive_rank(spark, sf):
-    return K.average_positive_rank(_ranked(spark, sf)).filter("avg_rank is not null")
+    return K.average_positive_rank(_ranked(spark, sf))
 
 
 @query(f"""WITH {T.ITEMS_SQL} SELECT cve, "rank", label FROM ranked""")
@@ -204,11 +204,11 @@ def sort_rows(spark, sf):
 
 
 KS = "ks AS (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 20, 30, 50, 100]) AS k)"
-AVG_RANKS = f"""{T.ITEMS_SQL}, {KS}, ar AS (SELECT cve, avg(CASE WHEN label = 1 THEN "rank" END) AS r FROM ranked GROUP BY cve HAVING max(label) = 1)"""
+AVG_RANKS = f"""{T.ITEMS_SQL}, {KS}, ar AS (SELECT cve, avg(CASE WHEN label = 1 THEN "rank" END) AS r FROM ranked GROUP BY cve)"""
 
 
 def _average_ranks(spark, sf):
-    return K.average_positive_rank(_ranked(spark, sf)).filter("avg_rank is not null")
+    return K.average_positive_rank(_ranked(spark, sf))
 
 
 @query(f"""WITH {T.ITEMS_SQL}, h AS (SELECT cve, max(CASE WHEN label = 1 AND "rank" <= 50 THEN 1 ELSE 0 END) AS hit FROM ranked GROUP BY cve)
@@ -251,12 +251,11 @@ def ranking_metrics_first_hit_effort(spark, sf):
 
 
 @query(f"""WITH {T.ITEMS_SQL}, g AS (SELECT cve, sum(label) AS p, sum(CASE WHEN label = 1 AND "rank" <= 10 THEN 1 ELSE 0 END) AS h,
-  min(CASE WHEN label = 1 THEN "rank" END) AS b FROM ranked GROUP BY cve HAVING max(label) = 1)
-SELECT round(avg(h / p), 9) AS recall, round(avg(1.0::DOUBLE / b), 9) AS mrr, count(*) AS advisories, 0::BIGINT AS undefined FROM g""")
+  min(CASE WHEN label = 1 THEN "rank" END) AS b FROM ranked GROUP BY cve)
+SELECT CASE WHEN min(p) > 0 THEN round(avg(CASE WHEN p > 0 THEN h / p END), 9) END AS recall, round(avg(coalesce(1.0::DOUBLE / b, 0)), 9) AS mrr,
+  count(*) AS advisories, count(CASE WHEN p = 0 THEN 1 END) AS undefined FROM g""")
 def ranking_metrics_first_rr(spark, sf):
-    ranked = _ranked(spark, sf)
-    with_fix = ranked.join(ranked.filter("label = 1").select("cve").distinct(), "cve", "left_semi")
-    rows = K.ranking_metrics_first_rr(with_fix)
+    rows = K.ranking_metrics_first_rr(_ranked(spark, sf))
     return rows.select(F.round("recall", 9).alias("recall"), F.round("mrr", 9).alias("mrr"), "advisories", "undefined")
 
 
