@@ -47,8 +47,12 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def _without(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """Documents whose ids are not marked as dropped; the ids that are dropped are the smaller side of the join."""
+    """Documents whose ids are not marked as dropped.
+
+    The dropped ids are written down first, so that the join knows their number: few are broadcast, and no text moves.
+    """
     dropped = marked.filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
+    dropped = staged(dropped, run_folder(docs.sparkSession, "dropped"), "ids")
     return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_dropped")), "left_anti")
 
 

@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .filter((F.col("low") < bands) & (F.col("high") >= bands)).select("node", "bits"), folder, "candidates")
 
     # Their full sets, from the texts.
-    leads = nodes.join(candidates.select("node"), "node").select("node", F.col("lead").alias("doc_id"))
+    leads = staged(nodes.join(candidates.select("node"), "node").select("node", F.col("lead").alias("doc_id")), folder, "leads")
     sets = staged(own.join(leads, "doc_id").select("node", "text")
                   .mapInArrow(_set_maker(width), "node binary, shingles array<bigint>")
                   .filter(F.size("shingles") > 0), folder, "sets")

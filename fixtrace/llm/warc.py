@@ -36,7 +36,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from fixtrace.session import run_folder
+from fixtrace.session import run_folder, staged
 
 SCHEMA = ("record_id string, record_type string, target_uri string, warc_date string, payload_digest string, "
           "payload_length bigint, refers_to string, headers map<string,string>, payload binary")
@@ -292,7 +292,8 @@ def archive_records(pages: DataFrame, page_id: str = "page_id", url: str = "url"
                     at_least: int = 1000) -> DataFrame:
     """Records for pages: of equal payloads of at least ``at_least`` bytes the last page is the response.
 
-    Equal payloads are found by SHA-256 and length, merged within each task before the shuffle. A null page counts as
+    Equal payloads are found by SHA-256, merged within each task before the shuffle. The payloads that occur twice are
+    written down first, so that the join knows their number: few are broadcast, and no payload is shuffled. A null page counts as
     empty; a null id never is a response that others refer to, and rows that repeat an id repeat its record.
     """
     own = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("target_uri"),
@@ -300,6 +301,7 @@ def archive_records(pages: DataFrame, page_id: str = "page_id", url: str = "url"
     own = own.withColumns({"payload_length": F.octet_length("payload").cast("bigint"), "same": F.sha2("payload", 256)})
     groups = (own.filter(F.col("payload_length") >= at_least).groupBy("same")
               .agg(F.max("page_id").alias("last"), F.count("*").alias("times")).filter("times > 1").drop("times"))
+    groups = staged(groups, run_folder(pages.sparkSession, "repeated"), "groups")
     later = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     name = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(">"))
     return own.join(groups, "same", "left").select(
