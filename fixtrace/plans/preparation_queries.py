@@ -36,6 +36,42 @@ def commits_jsonl_round_trip(spark, sf):
     return IO.read_commits_jsonl(spark, path, 4000).select("commit_id", "repo", F.md5("diff").alias("digest"))
 
 
+@query("""SELECT doc_id::VARCHAR AS commit_id, lang || '/' || source AS repo, md5(text) AS digest FROM documents""")
+def commits_jsonl_uncut(spark, sf):
+    path = _folder(spark, "commits")
+    IO.append_jsonl(T.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("commit_id"), F.col("lang").alias("owner"), F.col("source").alias("repo"),
+        F.lit("").alias("commit_message"), F.col("text").alias("diff")), path)
+    return IO.read_commits_jsonl(spark, path, 2 ** 31 - 1).select("commit_id", "repo", F.md5("diff").alias("digest"))
+
+
+@query("""SELECT doc_id::INTEGER AS doc_id, n_chars::INTEGER AS n_chars, lang, md5(text) AS digest FROM documents""")
+def infer_schema_first_record(spark, sf):
+    """JSON lines read with the types of their first record."""
+    path = _folder(spark, "lines")
+    IO.append_jsonl(T.table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "text"), path)
+    rows = spark.read.schema(IO.infer_schema_first_record(spark, path)).json(path)
+    return rows.select("doc_id", "n_chars", "lang", F.md5("text").alias("digest"))
+
+
+@query("""SELECT doc_id, md5(text) AS digest, true AS fits FROM documents""")
+def write_sharded(spark, sf):
+    """All rows come back, from files that hold no more than their share."""
+    path = _folder(spark, "shards")
+    records = IO.write_sharded(T.table(spark, sf, "documents").select("doc_id", "text"), path, 4_000_000)
+    rows = spark.read.parquet(path).select("doc_id", F.md5("text").alias("digest"), F.col("_metadata.file_name").alias("file"))
+    files = rows.groupBy("file").agg((F.count(F.lit(1)) <= records).alias("fits"))
+    return rows.join(files, "file").drop("file")
+
+
+@query("""SELECT source, count(*) AS n FROM documents GROUP BY source""")
+def load_stage(spark, sf):
+    """A finished stage is read again, not built again."""
+    path = _folder(spark, "stage")
+    IO.load_stage(spark, path, lambda: T.table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")))
+    return IO.load_stage(spark, path, lambda: spark.createDataFrame([], "source string, n bigint"))
+
+
 @query(f"""WITH {T.ITEMS_SQL} SELECT cve, repo, commit_id, similarity, label FROM items""")
 def scores_csv_round_trip(spark, sf):
     path = _folder(spark, "scores")

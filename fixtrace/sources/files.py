@@ -95,10 +95,10 @@ def infer_schema_first_record(spark: SparkSession, path: str) -> T.StructType:
 def write_sharded(df: DataFrame, path: str, max_bytes: int = K.SHARD_BYTES, mode: str = "overwrite") -> int:
     """Write Parquet files of at most about ``max_bytes``; gives back the records per file.
 
-    The size of a record is taken from a small part of the rows, as text; files come out smaller.
+    The size of a record is that of the largest of all rows, as text, so no run of wide rows breaks the bound; files
+    come out smaller.
     """
-    part = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("size")).limit(10_000)
-    size = part.agg(F.avg("size")).first()[0] or 1
+    size = df.agg(F.max(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 1
     records = max(1, int(max_bytes / size))
     df.write.mode(mode).option("maxRecordsPerFile", records).parquet(path)
     return records
