@@ -1,13 +1,15 @@
 """Nearest neighbours among stored vectors.
 
-``nearest_by_buckets`` finds candidates by hash tables of random hyperplanes and ranks them exactly: what is near
-is found with high probability, and few pairs are compared. ``nearest_history`` is the exact form. It compares blocks
+``nearest_by_buckets`` finds candidates by hash tables of random hyperplanes and ranks them exactly: few pairs are
+compared where near copies exist, and queries that the tables cannot settle are searched exactly. ``nearest_history``
+is the exact form. It compares blocks
 of queries with blocks of stored vectors: a few stored vectors serve as pivots of cells, and cells that the triangle
 inequality rules out are passed over. In many dimensions it rules out next to nothing, so count on all pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fixtrace.operators.ordering import top_k
+from fixtrace.session import run_folder, staged
 
 MAX_PIVOTS = 256
 BLOCK_ROWS = 1024
@@ -167,40 +170,62 @@ def _bucket_codes(vectors: Column, tables: int, bits: int, seed: int) -> Column:
 
 
 def nearest_by_buckets(queries: DataFrame, store: DataFrame, k: int = 1, tables: int = 12, bits: int = 12,
-                       seed: int = 0) -> DataFrame:
-    """(id, neighbour, distance, place): of the stored vectors that share a bucket with the query the k nearest of other keys.
-
-    Approximate: a vector is met if it lies on the same side of all ``bits`` hyperplanes of one of ``tables`` tables.
-    Two vectors at an angle of t degrees miss each other with probability (1 - (1 - t / 180) ** bits) ** tables, 0.03
-    for 10 degrees. Queries that meet no vector of another key look again into buckets of half the bits. Distances
-    are squared Euclidean and computed by differences; ties go to the smaller id. No Spark job runs before an action;
-    a bucket that many vectors share is split by the adaptive join.
+                       seed: int = 0, recall: float = 0.95) -> DataFrame:
+    """(id, neighbour, distance, place): the k nearest stored vectors of other keys, each found with probability ``recall``.
+
+    A vector is met if it lies on the same side of all ``bits`` hyperplanes of one of ``tables`` tables. Two vectors
+    at an angle of t degrees miss each other with probability (1 - (1 - t / 180) ** bits) ** tables: 0.0002 for 10
+    degrees, 0.04 for 20, 0.94 for 65. So what a query meets settles it only if its k-th distance is so small that all that
+    is as near lies within the angle which the tables miss with at most 1 - ``recall``. Every other query, whether it met
+    something or not, is searched exactly by ``nearest_history``: no setting of the tables finds far neighbours in many
+    dimensions without comparing much of the store. Near copies therefore cost few comparisons, and queries whose
+    nearest vector is far cost as many as the exact search.
+
+    Distances are squared Euclidean, rounded to nine digits; ties go to the smaller id. Rows without key or vector, with an
+    empty vector or one that has null, NaN or infinite elements find nothing and are not found, and vectors of different
+    lengths never meet. Both tables are read several times. The found pairs are written to the shared folder.
     """
+    folder = run_folder(queries.sparkSession, "buckets")
+    sound = (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
     columns = ["id", "key", F.col("vector").cast("array<double>").alias("vector")]
-    queries, store = queries.select(*columns), store.select(*columns)
+    queries, store = (df.select(*columns).filter(F.col("key").isNotNull() & F.col("vector").isNotNull()).filter(sound)
+                      for df in (queries, store))
+    # Of equal vectors with one key only the k smallest ids can win.
     if k == 1:
-        # Of equal vectors with one key only the smallest id can win.
         store = store.groupBy("vector", "key").agg(F.min("id").alias("id")).select("id", "key", "vector")
-
-    def met(asking: DataFrame, size: int) -> DataFrame:
-        left = asking.select("id", "key", "vector", F.posexplode(_bucket_codes(F.col("vector"), tables, size, seed)).alias("table", "bucket"))
-        right = store.select(F.col("id").alias("neighbour"), F.col("key").alias("_key"), F.col("vector").alias("_vector"),
-                             F.posexplode(_bucket_codes(F.col("vector"), tables, size, seed)).alias("table", "bucket"))
-        gaps = F.zip_with("vector", "_vector", lambda a, b: (a - b) * (a - b))
-        pairs = left.join(right, ["table", "bucket"]).filter(F.col("key") != F.col("_key"))
-        return pairs.select("id", "neighbour", F.round(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x), DIGITS).alias("distance"))
-
-    near = met(queries, bits)
-    rest = queries.join(near.select("id").distinct(), "id", "left_anti")
-    found = near.unionByName(met(rest, max(1, bits // 2))).distinct()
-    return top_k(found, ["id"], [F.col("distance"), F.col("neighbour")], k, rank="place")
+    else:
+        store = top_k(store, ["vector", "key"], [F.col("id")], k, rank="_place").select("id", "key", "vector")
+
+    left = queries.select("id", "key", "vector", F.posexplode(_bucket_codes(F.col("vector"), tables, bits, seed)).alias("table", "bucket"))
+    right = store.select(F.col("id").alias("neighbour"), F.col("key").alias("_key"), F.col("vector").alias("_vector"),
+                         F.posexplode(_bucket_codes(F.col("vector"), tables, bits, seed)).alias("table", "bucket"))
+    gaps = F.zip_with("vector", "_vector", lambda a, b: (a - b) * (a - b))
+    pairs = left.join(right, ["table", "bucket"]).filter((F.col("key") != F.col("_key")) & (F.size("vector") == F.size("_vector")))
+    met = pairs.select("id", "neighbour", F.round(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x), DIGITS).alias("distance")).distinct()
+    near = staged(top_k(met, ["id"], [F.col("distance"), F.col("neighbour")], k, rank="place"), folder, "near")
+
+    # All within a distance r of a vector of length q lies within the angle whose sine is r / q.
+    angle = math.pi * (1 - (1 - (1 - recall) ** (1 / tables)) ** (1 / bits))
+    least = math.sin(min(angle, math.pi / 2)) ** 2
+    squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    last = near.filter(F.col("place") == k).select("id", "distance")
+    settled = staged(queries.join(last, "id").filter(F.col("distance") <= least * squares).select("id"), folder, "settled")
+    rest = staged(queries.join(settled, "id", "left_anti"), folder, "rest")
+    found = near.join(settled, "id", "left_semi")
+    for row in rest.groupBy(F.size("vector").alias("width")).count().orderBy("width").collect():
+        alike = F.size("vector") == row["width"]
+        stored = staged(store.filter(alike), folder, f"store_{row['width']}")
+        if not stored.isEmpty():
+            found = found.unionByName(nearest_history(rest.filter(alike), stored, k).select(*near.columns))
+    return found
 
 
 def history_for_verdicts(queries: DataFrame, store: DataFrame, advisory: DataFrame,
                          search: Callable[[DataFrame, DataFrame], DataFrame] = nearest_history) -> DataFrame:
     """Per query the nearest stored fix of another advisory and that advisory's description.
 
-    ``search`` is ``nearest_history``, exact but for stores of moderate size, or ``nearest_by_buckets``.
+    ``search`` is ``nearest_history``, exact but for stores of moderate size, or ``nearest_by_buckets``, which is cheaper
+    where most queries have a near copy in the store.
 
     ``store`` has id, key (the advisory), vector and document. Queries whose neighbour's advisory is
     unknown are dropped.

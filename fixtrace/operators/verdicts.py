@@ -64,7 +64,7 @@ def three_stage(candidates: DataFrame, store: DataFrame, advisory: DataFrame, su
 
     ``candidates`` has cve, commit_id, diff; ``store`` id, key, vector, document. ``summarise`` adds
     summary, ``embed`` embedding, ``judge`` answer. Rows that fail leave the chain at their stage. ``search`` is
-    ``nearest_history`` or, for large stores, ``nearest_by_buckets``. The
+    ``nearest_history`` or, where most have a near copy in the store, ``nearest_by_buckets``. The
     embedded rows are written down before the search reads them again and again: each model is called once.
     """
     summed = score_with(candidates, summarise, "summary string", on_error="skip").filter("summary is not null")

@@ -107,6 +107,30 @@ def test_nearest_history_edges(spark):
         N.nearest_history(other, store.filter("id = 'x'"))
 
 
+@pytest.mark.parametrize("k", [1, 3])
+def test_nearest_by_buckets_finds_far_neighbours(spark, data, k):
+    """On the given embeddings neighbours are 60 degrees away: what a query meets by chance must not settle it."""
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").alias("key"), F.col("embedding").alias("vector"))
+    copies = rows.filter("id % 2 = 0").select((F.col("id") + 1000000).alias("id"), (F.col("key") + 100).alias("key"), "vector")
+    wanted, found = ({(r["id"], r["neighbour"]) for r in search(rows, rows.union(copies), k).collect()}
+                     for search in (N.nearest_history, N.nearest_by_buckets))
+    assert len(found) == len(wanted) == k * rows.count()
+    assert len(found & wanted) / len(wanted) >= 0.9
+
+
+def test_nearest_by_buckets_of_odd_rows(spark):
+    schema = "id string, key string, vector array<double>"
+    store = spark.createDataFrame([("s", "A", [1.0, 0.0]), ("t", "A", [1.0, 0.0]), ("u", "B", [0.0, 9.0]), ("v", "C", [1.0]), ("w", "C", None), ("x", None, [1.0, 0.0]),
+                                   ("y", "C", [float("nan"), 0.0]), ("z", "C", [])], schema)
+    asked = spark.createDataFrame([("near", "Q", [1.0, 0.0]), ("far", "A", [-1.0, 0.1]), ("short", "Q", [-5.0]), ("long", "Q", [1.0] * 3), ("none", "Q", None),
+                                   ("void", "Q", [None, 1.0]), ("same", "C", [1.0])], schema)
+    assert {(r["id"], r["neighbour"], r["place"]) for r in N.nearest_by_buckets(asked, store).collect()} == {
+        ("near", "s", 1), ("far", "u", 1), ("short", "v", 1)}
+    assert {(r["id"], r["neighbour"], r["place"]) for r in N.nearest_by_buckets(asked, store, k=2).collect()} == {
+        ("near", "s", 1), ("near", "t", 2), ("far", "u", 1), ("short", "v", 1)}
+    assert N.nearest_by_buckets(asked, store.limit(0)).count() == 0 and N.nearest_by_buckets(asked.limit(0), store).count() == 0
+
+
 RANKED = [("A", 1, 0), ("A", 2, 1), ("A", 3, 1), ("B", 1, 1), ("C", 1, 0), ("C", 2, 0)]
 
 
