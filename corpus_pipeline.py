@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fixtrace.llm.exact_dedup import exact_duplicates
@@ -37,37 +37,63 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_last_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id. A row without id goes only if a row with an id has its text."""
-    return _without(docs, exact_duplicates(docs))
+    """Of equal texts the document with the largest id. A row without id goes only if a row with an id has its text.
+
+    Of equal texts that only rows without id have, the row whose columns come first in order stays. Rows that repeat both
+    id and text share their fate.
+    """
+    dropped = _dropped(docs, exact_duplicates(docs))
+    nameless = dropped.filter("_dropped IS NULL AND keep_id IS NULL").select("_digest")
+    rest = _without(docs, dropped)
+    if nameless.isEmpty():
+        return rest
+    one = (docs.filter("doc_id IS NULL").withColumn("_own", _digest()).join(nameless, F.col("_own") == F.col("_digest"), "left_semi")
+           .groupBy("_own").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
+    return rest.unionByName(one)
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates (shingles of five words, similarity 0.8) the document with the smallest id."""
-    return _without(docs, near_duplicates(docs, width=5, percent=80))
+    marked = near_duplicates(docs, width=5, percent=80).withColumnRenamed("component_id", "keep_id")
+    return _without(docs, _dropped(docs, marked))
+
 
+def _digest() -> Column:
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
 
-def _without(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """Documents whose ids are not marked as dropped.
 
-    The dropped ids are written down first, so that the join knows their number: few are broadcast, and no text moves.
+def _dropped(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """Rows marked as dropped: (_dropped, _digest, keep_id), the id, the digest of the text and the id that stays instead.
+
+    An id alone does not name a row, as ids repeat and lack. They are written down, so that a join knows their
+    number: few are broadcast, and no text moves.
     """
-    dropped = marked.filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    dropped = staged(dropped, run_folder(docs.sparkSession, "dropped"), "ids")
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_dropped")), "left_anti")
+    rows = marked.filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped"), F.unhex("text_sha256").alias("_digest"), "keep_id")
+    return staged(rows.distinct(), run_folder(docs.sparkSession, "dropped"), "rows")
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Documents that do not have both id and text of a dropped row."""
+    same = F.col("doc_id").eqNullSafe(F.col("_dropped")) & (_digest() == F.col("_digest"))
+    return docs.join(dropped.select("_dropped", "_digest"), same, "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix goes through them: the words it takes over the document's words, to the nearest.
 
     A source's documents are taken in passes, so only where its last pass ends a document is taken in part, and rounding
-    moves a source by half a document. Documents without words are in no block and go.
+    moves a source by half a document. Documents without words are in no block and go. Rows that share an id get
+    their own number each, by source and size.
     """
     sized = docs.select("doc_id", "source", word_count("text").alias("size"))
     given = mix_sources(sized, "size")[0].filter("size > 0")
-    times = (given.select(F.col("doc_id").alias("_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    times = (given.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
+                          F.round(F.col("taken") / F.col("size")).cast("int").alias("_times"))
              .filter("_times > 0").distinct())
-    taken = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_id", "_times", "_copy")
+    taken = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+                      & (word_count("text") == F.col("_size")))
+    return (taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+            .drop("_id", "_source", "_size", "_times", "_copy"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

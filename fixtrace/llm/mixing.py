@@ -156,8 +156,8 @@ def mix_sources(docs: DataFrame, size: Column | str, doc_id: str = "doc_id", sou
                 block_words: int = BLOCK_WORDS, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A mix of sources: per document what it gives, the schedule, and the blocks the schedule takes.
 
-    Returns (documents, slots, pieces). ``documents`` has one row per input row: doc_id, size, source_size, target and
-    taken, the words that the mix takes from it, repeats counted. ``slots`` is the order of the mix, ``pieces``
+    Returns (documents, slots, pieces). ``documents`` has one row per input row: doc_id, source, size, source_size, target
+    and taken, the words that the mix takes from it, repeats counted. ``slots`` is the order of the mix, ``pieces``
     the words of documents in each block; joined on (source, block) they spell the mix out.
 
     A document occurs at most as often as its source is gone through, never more than ``most`` times its size.
@@ -182,4 +182,4 @@ def mix_sources(docs: DataFrame, size: Column | str, doc_id: str = "doc_id", sou
     found = (own.join(total, F.col("source").eqNullSafe(F.col("of")))
              .join(given, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("from")), "left"))
     taken = F.coalesce(F.floor(F.col("all_taken") * F.col("size") / F.col("all_size")), F.lit(0)).cast("bigint")
-    return found.select("doc_id", "size", "source_size", "target", taken.alias("taken")), slots, pieces
+    return found.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken")), slots, pieces

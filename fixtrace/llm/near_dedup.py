@@ -44,10 +44,10 @@ def _band_keys(flat: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> n
 
 
 def _sketcher(width: int, bands: int, rows: int):
-    """Task function: (doc_id, text) to (doc_id, node, n, a, b); node names the set, a and b are the bands."""
+    """Task function: (doc_id, text, digest) to (doc_id, digest, node, n, a, b); node names the set, a and b are the bands."""
     import hashlib
 
-    def flush(ids, sets):
+    def flush(part, sets):
         full = [i for i, s in enumerate(sets) if len(s)]
         keys = np.zeros((0, 2 * bands), dtype=np.uint64)
         if full:
@@ -60,20 +60,20 @@ def _sketcher(width: int, bands: int, rows: int):
         sides = [pa.ListArray.from_arrays(offsets, pa.array(keys[:, at:at + bands].reshape(-1).view(np.int64)))
                  for at in (0, bands)]
         return pa.RecordBatch.from_arrays(
-            [pa.concat_arrays(ids), pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), *sides],
-            names=["doc_id", "node", "n", "a", "b"])
+            [part.column(0), part.column(2), pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), *sides],
+            names=["doc_id", "digest", "node", "n", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sets, held, first = batch.column(0), [], 0, 0
+            sets, held, first = [], 0, 0
             for at, text in enumerate(batch.column(1)):
                 sets.append(shingle_set(text.as_py(), width))
                 held += len(sets[-1])
                 if held >= GROUP_SHINGLES:
-                    yield flush([ids.slice(first, at + 1 - first)], sets)
+                    yield flush(batch.slice(first, at + 1 - first), sets)
                     sets, held, first = [], 0, at + 1
             if sets:
-                yield flush([ids.slice(first)], sets)
+                yield flush(batch.slice(first), sets)
 
     return run
 
@@ -138,7 +138,7 @@ def _linker(percent: int):
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80,
                     rows: int = 4, miss: float = 1e-5) -> DataFrame:
-    """Groups of texts whose word shingles overlap: doc_id, n_shingles, component_id, kept.
+    """Groups of texts whose word shingles overlap: doc_id, n_shingles, component_id, kept, text_sha256.
 
     Two texts are linked when their sets of ``width``-word shingles have a Jaccard similarity of at least
     ``percent`` in a hundred; a group is what links connect, named by its smallest doc_id, which is kept.
@@ -164,8 +164,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     folder = run_folder(spark, "near")
     bands = bands_needed(percent, rows, miss)
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    sketch = staged(own.mapInArrow(_sketcher(width, bands, rows),
-                                   "doc_id bigint, node binary, n bigint, a array<bigint>, b array<bigint>"),
+    digested = own.withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    sketch = staged(digested.mapInArrow(_sketcher(width, bands, rows),
+                                        "doc_id bigint, digest binary, node binary, n bigint, a array<bigint>, b array<bigint>"),
                     folder, "sketch")
     nodes = staged(sketch.filter("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("lead"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")),
@@ -234,7 +235,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = nodes.select("node", "lead").join(groups, "node", "left").select("node", "lead", F.coalesce("label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("lead").alias("component_id"))
     of_node = named.join(smallest, "label").select("node", "component_id")
-    found = sketch.select("doc_id", "node", "n").join(of_node, "node", "left")
+    found = sketch.select("doc_id", "digest", "node", "n").join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                        F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+                        F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"),
+                        F.lower(F.hex("digest")).alias("text_sha256"))

@@ -68,7 +68,7 @@ SELECT g.doc_id, g.n AS n_shingles, coalesce(c.component_id, g.doc_id) AS compon
     g.doc_id = coalesce(c.component_id, g.doc_id) AS kept
 FROM g LEFT JOIN d ON g.list_hash = d.list_hash AND g.n = d.n LEFT JOIN c ON c.node = d.doc_id""")
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85).drop("text_sha256")
 
 
 @query(oracle="""
@@ -150,7 +150,7 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, coalesce(taken, 0)::BI
 FROM own JOIN t USING (source) LEFT JOIN g USING (doc_id)""")
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size"))
-    return mix_sources(docs, "size")[0]
+    return mix_sources(docs, "size")[0].drop("source")
 
 
 @query(oracle="""

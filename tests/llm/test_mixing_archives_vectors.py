@@ -220,3 +220,32 @@ def test_stages_take_odd_documents(spark, data):
         docs = odd.limit(0) if empty else odd
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, docs, data).collect()
+
+
+def test_stages_drop_rows_not_ids(spark, data):
+    """Ids that repeat or lack: a row goes for its own text only."""
+    long, other = " ".join(f"v{k}" for k in range(60)), " ".join(f"u{k}" for k in range(60))
+    rows = [(1, "A"), (1, "B"), (2, "A"), (None, "A"), (None, "only here"), (None, "twice"), (None, "twice"), (None, None), (None, ""), (3, "C"), (3, "C")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", 1) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    found = stages["exact_dedup"](spark, docs, data)
+    assert found.columns == docs.columns
+    kept = sorted((str(r.doc_id), str(r.text), r.source) for r in found.collect())
+    assert kept == [("1", "B", "s1"), ("2", "A", "s2"), ("3", "C", "s10"), ("3", "C", "s9"), ("None", "None", "s7"),
+                    ("None", "only here", "s4"), ("None", "twice", "s5")]
+    rows = [(1, long), (2, long + " end"), (4, other), (None, (long + " end").upper()), (None, "only here and there")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], docs.schema)
+    kept = {(r.doc_id, r.text) for r in stages["near_dedup"](spark, docs, data).collect()}
+    assert kept == {(1, long), (4, other), (None, "only here and there")}
+
+
+def test_mixing_stage_counts_rows_that_share_an_id(spark, data):
+    """Each row is repeated as often as its source is gone through, whatever other rows have its id."""
+    rows = [(1, "a " * 1000, "s"), (1, "b " * 500, "t"), (None, "c " * 128, "s"), (None, "d " * 256, "t"), (4, "e " * 3000, "u")]
+    docs = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    given = mix_sources(docs.select("doc_id", "source", word_count("text").alias("size")), "size")[0]
+    wanted = {(r.doc_id, r.source): round(r.taken / r.size) for r in given.collect()}
+    found = {}
+    for r in dict(corpus_pipeline.STAGES)["mixing"](spark, docs, data).collect():
+        found[r.doc_id, r.source] = found.get((r.doc_id, r.source), 0) + 1
+    assert found == {k: n for k, n in wanted.items() if n}
