@@ -107,7 +107,8 @@ def schedule(wanted: DataFrame, folder: str, block_words: int) -> DataFrame:
     ``wanted`` has source, source_size and target; a source needs as many slots as blocks make up its target, to
     the nearest. Slot i looks at the fraction of i over the golden ratio, whose values spread evenly whatever
     stretch of slots is taken, and gets the source in whose part of the cumulative needs it falls. The k-th slot of a
-    source takes its k-th block, and after the last one the first again; slots beyond the need are left out. Slots
+    source takes its k-th block, and after the last one the first again; slots beyond the need are left out. Sources
+    whose part is hit too seldom by then get what they still need behind all other slots, in the order of the ring. Slots
     are ranked within stretches and moved by the sums of the stretches before, so no task sees all slots of a source.
     """
     spark = wanted.sparkSession
@@ -123,7 +124,7 @@ def schedule(wanted: DataFrame, folder: str, block_words: int) -> DataFrame:
     parts = staged(parts.select("source", "blocks", "need", "all", at(F.col("upto") - F.col("need")).alias("low"),
                                 at(F.col("upto")).alias("high")), folder, "parts")
     found = parts.agg(F.max("all").alias("all"), F.count("*").alias("sources")).first()
-    # A few slots more than needed, as a source may lag behind its share.
+    # A few slots more than needed, as a source may lag behind its share; what is missing then is appended.
     count = found["all"] + found["all"] // 50 + 8 * found["sources"] if found["all"] else 0
     # A point finds its source by its range of the ring; each range is cut by few sources.
     ranges = max(1, 4 * found["sources"])
@@ -147,8 +148,16 @@ def schedule(wanted: DataFrame, folder: str, block_words: int) -> DataFrame:
               .join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("stretch") == F.col("at")))
               .select("slot", "source", (F.col("k") + F.col("offset")).alias("k")))
     limits = parts.select(F.col("source").alias("of"), "blocks", "need")
-    return (ranked.join(limits, F.col("source").eqNullSafe(F.col("of"))).filter(F.col("k") < F.col("need"))
-            .select("slot", "source", F.pmod("k", "blocks").alias("block")))
+    timely = (ranked.join(limits, F.col("source").eqNullSafe(F.col("of"))).filter(F.col("k") < F.col("need"))
+              .select("slot", "source", F.pmod("k", "blocks").alias("block")))
+    got = sums.groupBy(F.col("source").alias("of")).agg(F.sum("n").alias("n"))
+    late = (parts.join(got, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("n", F.coalesce("n", F.lit(0)))
+            .withColumn("missing", F.col("need") - F.col("n")).filter("missing > 0"))
+    before = F.sum("missing").over(W.orderBy("low", F.col("source").isNull(), "source").rowsBetween(W.unboundedPreceding, 0))
+    late = late.withColumn("first", before - F.col("missing") + count)
+    late = late.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("missing") - 1)))
+    return timely.unionByName(late.select((F.col("first") + F.col("j")).alias("slot"), "source",
+                                          F.pmod(F.col("n") + F.col("j"), F.col("blocks")).alias("block")))
 
 
 def mix_sources(docs: DataFrame, size: Column | str, doc_id: str = "doc_id", source: str = "source",
@@ -161,8 +170,8 @@ def mix_sources(docs: DataFrame, size: Column | str, doc_id: str = "doc_id", sou
     the words of documents in each block; joined on (source, block) they spell the mix out.
 
     A document occurs at most as often as its source is gone through, never more than ``most`` times its size.
-    The words taken from a source differ from its target by half a block and, where it needs few slots, by the one or
-    two by which the schedule may lag. A source that is null is a source of its own, behind all others. Documents without words
+    The words taken from a source differ from its target by half a block and the word by which blocks differ, however few
+    slots it needs. A source that is null is a source of its own, behind all others. Documents without words
     take part in nothing and give 0. Rows that repeat a doc_id are taken as one document of their joint size, and
     each gets the part that its size has in it, rounded down. The result depends on ids, sources and sizes alone. An
     empty table gives empty results. Other columns are not read.
