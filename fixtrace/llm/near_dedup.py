@@ -79,14 +79,22 @@ def _sketcher(width: int, bands: int, rows: int):
 
 
 def _set_maker(width: int):
+    """Task function: (node, text) to (node, shingles), of the rows whose text has the set that the node names."""
+    import hashlib
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                sets = [shingle_set(t.as_py(), width).view(np.int64) for t in part.column(1)]
+                made = [shingle_set(t.as_py(), width).view(np.int64) for t in part.column(1)]
+                own = [k for k, (node, s) in enumerate(zip(part.column(0), made))
+                       if len(s) and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == node.as_py()]
+                if not own:
+                    continue
+                sets = [made[k] for k in own]
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))],
+                    [part.column(0).take(pa.array(own)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))],
                     names=["node", "shingles"])
 
     return run
@@ -155,8 +163,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
       connect them. So no link is lost to the choice of leaders, and no pairs are written out.
     * Every link is confirmed on the full sets, of which 64-bit hashes are held.
 
-    A text without words, empty or null has no shingles, is linked with nothing and kept. Rows that repeat a
-    doc_id share its group. A null doc_id never names a group: a set that only such rows have is linked with
+    A text without words, empty or null has no shingles, is linked with nothing and kept. A row belongs to the
+    group of its own text: rows that repeat a doc_id share a group if their texts do. A null doc_id never names a group: a set that only such rows have is linked with
     nothing, and its rows are kept with a null group. An empty table gives an empty result. Columns other than the
     two named are not read.
     """
@@ -181,18 +189,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                                    F.collect_list(F.struct("band", "key")).alias("bits"))
         .filter((F.col("low") < bands) & (F.col("high") >= bands)).select("node", "bits"), folder, "candidates")
 
-    # Their full sets, from the texts.
+    # Their full sets, from the texts. An id may have several texts and a text several rows: one set per node.
     leads = staged(nodes.join(candidates.select("node"), "node").select("node", F.col("lead").alias("doc_id")), folder, "leads")
     sets = staged(own.join(leads, "doc_id").select("node", "text")
-                  .mapInArrow(_set_maker(width), "node binary, shingles array<bigint>")
-                  .filter(F.size("shingles") > 0), folder, "sets")
+                  .mapInArrow(_set_maker(width), "node binary, shingles array<bigint>"), folder, "sets")
+    repeated = staged(sets.groupBy("node").count().filter("count > 1").select("node"), folder, "repeated")
+    if not repeated.isEmpty():
+        once = sets.join(repeated, "node", "left_semi").groupBy("node").agg(F.any_value("shingles").alias("shingles"))
+        sets = staged(sets.join(repeated, "node", "left_anti").unionByName(once), folder, "single_sets")
     alone = (sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle")
              .agg(F.count("*").alias("times"), F.min("node").alias("node")).filter("times = 1")
              .groupBy("node").agg(F.count("*").alias("alone")))
     alive = staged(
         sets.select("node", F.size("shingles").cast("bigint").alias("n")).join(alone, "node", "left")
         .select("node", "n", F.coalesce("alone", F.lit(0)).alias("alone"))
-        .filter(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")).dropDuplicates(["node"]), folder, "alive")
+        .filter(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")), folder, "alive")
 
     # Table keys: a band of either side.
     def side(first):

@@ -86,6 +86,18 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_ids_with_two_texts(spark):
+    """Each row goes by its own text, whatever other texts its id has."""
+    def text(letter, end=""):
+        return " ".join(f"{letter}{k}" for k in range(60)) + end
+
+    rows = [(1, text("a")), (1, text("b")), (2, text("a", " end")), (5, text("c")), (5, text("d")), (5, text("d")), (3, text("c", " end")), (4, text("d", " end"))]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found) == [
+        (1, 58, 1, True), (1, 58, 1, True), (2, 59, 1, False), (3, 59, 3, True), (4, 59, 4, True),
+        (5, 58, 3, False), (5, 58, 4, False), (5, 58, 4, False)]
+
+
 def test_shingles_of_long_texts_do_not_depend_on_pieces():
     text = " ".join(f"word{k}" for k in range(100_000))
     assert len(text) > PIECE_BYTES
