@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ TRIGGER = 16
 CHUNK_WORDS = 4096
 #: Bytes of text that are cut into words at once, and bytes of chunks that are counted together.
 PIECE_BYTES = 1 << 19
-GROUP_BYTES = 1 << 22
+GROUP_BYTES = 1 << 21
 #: Bits of the filter over frequent keys, by which passes leave out what cannot be frequent: 16 a key up to this many.
 FILTER_BITS = 1 << 27
 
@@ -77,23 +78,42 @@ def _normalised_parts(text: bytes) -> bytes:
     return b"".join(parts)
 
 
+def _hashes(raw: np.ndarray, inside: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """One hash for each word, from its bytes; ``inside`` are the places of the bytes of all words."""
+    place = inside - np.repeat(starts, lengths)
+    powers = np.cumprod(np.full(int(lengths.max(initial=1)), STEP, dtype=np.uint64))
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(BYTE_VALUES[raw[inside]] * powers[place])])
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    return mix(sums[bounds[1:]] - sums[bounds[:-1]] + lengths.astype(np.uint64))
+
+
+def _hashed(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, hashes and breaks before, of the words of a normalised text."""
+    apart = (raw == _SPACE) | (raw == _LINE)
+    gaps = np.flatnonzero(apart)
+    starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(raw)]])
+    hashes = _hashes(raw, np.flatnonzero(~apart), starts, ends - starts)
+    return starts, ends, hashes, np.concatenate([[True], raw[gaps] == _LINE])
+
+
 class Words:
-    """Words of a normalised text: places, hashes and whether a break stands before each."""
-
-    def __init__(self, raw: np.ndarray):
-        self.raw = raw
-        apart = (raw == _SPACE) | (raw == _LINE)
-        ends = np.flatnonzero(apart)
-        self.starts = np.concatenate([[0], ends + 1])
-        self.ends = np.concatenate([ends, [len(raw)]])
-        self.breaks = np.concatenate([[True], raw[ends] == _LINE])
-        lengths = self.ends - self.starts
-        inside = np.flatnonzero(~apart)
-        place = inside - np.repeat(self.starts, lengths)
-        powers = np.cumprod(np.full(int(lengths.max(initial=1)), STEP, dtype=np.uint64))
-        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(BYTE_VALUES[raw[inside]] * powers[place])])
-        bounds = np.concatenate([[0], np.cumsum(lengths)])
-        self.hashes = mix(sums[bounds[1:]] - sums[bounds[:-1]] + lengths.astype(np.uint64))
+    """Words of a normalised text: places, hashes and whether a break stands before each.
+
+    Bytes are hashed piece by piece, so arrays with an entry per byte stay small.
+    """
+
+    def __init__(self, text: bytes):
+        self.raw = np.frombuffer(text, dtype=np.uint8)
+        found, at = [], 0
+        while at < len(text):
+            end = min(len(text), at + PIECE_BYTES)
+            while end < len(text) and text[end] not in b" \n":
+                end += 1
+            starts, ends, hashes, breaks = _hashed(self.raw[at:end])
+            breaks[0] = at == 0 or text[at - 1] == _LINE
+            found.append((starts + at, ends + at, hashes, breaks))
+            at = end + 1
+        self.starts, self.ends, self.hashes, self.breaks = (np.concatenate(c) for c in zip(*found))
 
 
 def _cuts(hashes: np.ndarray) -> np.ndarray:
@@ -111,7 +131,7 @@ def _chunks(text: bytes) -> tuple[list[bytes], list[int]]:
     whole = _normalised_parts(text)
     if not whole:
         return [], []
-    words = Words(np.frombuffer(whole, dtype=np.uint8)) if len(whole) <= PIECE_BYTES else _long_words(whole)
+    words = Words(whole)
     marks = _cuts(words.hashes)
     last = np.append(marks[1:], len(words.hashes))
     begin = words.starts[marks].tolist()
@@ -119,41 +139,64 @@ def _chunks(text: bytes) -> tuple[list[bytes], list[int]]:
     return [whole[b:e] for b, e in zip(begin, end)], (last - marks).tolist()
 
 
-def _long_words(whole: bytes):
-    """Words of a long text, hashed piece by piece."""
-    found, at = [], 0
-    while at < len(whole):
-        end = min(len(whole), at + PIECE_BYTES)
-        while end < len(whole) and whole[end] not in b" \n":
-            end += 1
-        part = Words(np.frombuffer(whole[at:end], dtype=np.uint8))
-        found.append((part.starts + at, part.ends + at, part.hashes))
-        at = end + 1
-    whole_words = Words.__new__(Words)
-    whole_words.starts, whole_words.ends, whole_words.hashes = (np.concatenate(c) for c in zip(*found))
-    return whole_words
+def _chunks_of_many(texts: list[bytes]) -> tuple[list[int], list[bytes], list[int]]:
+    """The same for several texts at once: the number of the text of each chunk, the chunks, their own words."""
+    joined = b"\n".join(texts).lower()
+    raw = np.frombuffer(joined, dtype=np.uint8)
+    starts, ends, breaks = _word_places(raw)
+    if not len(starts):
+        return [], [], []
+    kept = _KIND[raw] == _INSIDE
+    lengths = ends - starts
+    hashes = _hashes(raw, np.flatnonzero(kept), starts, lengths)
+    marked = np.append(raw, np.uint8(_SPACE))
+    marked[ends] = np.append(np.where(breaks[1:], _LINE, _SPACE), _SPACE)
+    kept = np.append(kept, False)
+    kept[ends] = True
+    whole = marked[kept].tobytes()  # each word and what follows it
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+    text = np.searchsorted(np.cumsum(sizes), ends, "left")
+    opens = np.concatenate([[True], text[1:] != text[:-1]])  # first words of texts
+    marks = np.flatnonzero(opens | (hashes % np.uint64(TRIGGER) == 0))
+    gaps = np.diff(np.append(marks, len(hashes)))
+    if gaps.max() > CHUNK_WORDS:
+        marks = np.concatenate([np.arange(m, m + g, CHUNK_WORDS) for m, g in zip(marks, gaps)])
+    last = np.append(marks[1:], len(hashes))
+    stops = np.append(np.flatnonzero(opens)[1:], len(hashes))[np.cumsum(opens) - 1]  # behind the last word of the text
+    tail = np.minimum(last + LONGEST - 1, stops[marks]) - 1
+    chunks = [whole[b:e] for b, e in zip(starts[marks].tolist(), (starts[tail] + lengths[tail]).tolist())]
+    return text[marks].tolist(), chunks, (last - marks).tolist()
 
 
 def _parser():
     """Task function: (lang, text) to (lang, chunk, own)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, chunks, owns, held = [], [], [], 0
+            langs, texts, held = [], [], 0
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found, own = _chunks((text.as_py() or "").encode("utf-8", "surrogatepass"))
-                langs += [lang] * len(found)
-                chunks += found
-                owns += own
-                held += sum(map(len, found))
-                if held > GROUP_BYTES:
-                    yield _chunk_batch(langs, chunks, owns)
-                    langs, chunks, owns, held = [], [], [], 0
-            if chunks:
-                yield _chunk_batch(langs, chunks, owns)
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                if len(raw) > PIECE_BYTES:
+                    chunks, owns = _chunks(raw)
+                    for at in range(0, len(chunks), CHUNK_WORDS):
+                        yield _chunk_batch([lang] * len(chunks[at:at + CHUNK_WORDS]), chunks[at:at + CHUNK_WORDS], owns[at:at + CHUNK_WORDS])
+                    continue
+                langs.append(lang)
+                texts.append(raw)
+                held += len(raw)
+                if held > PIECE_BYTES:
+                    yield _parsed(langs, texts)
+                    langs, texts, held = [], [], 0
+            yield _parsed(langs, texts)
 
     return run
 
 
+def _parsed(langs: list[str], texts: list[bytes]) -> pa.RecordBatch:
+    text, chunks, owns = _chunks_of_many(texts)
+    return _chunk_batch([langs[k] for k in text], chunks, owns)
+
+
 def _chunk_batch(langs, chunks, owns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(chunks, pa.binary()), pa.array(owns, pa.int32())],
                                       names=["lang", "chunk", "own"])
@@ -162,9 +205,8 @@ def _chunk_batch(langs, chunks, owns) -> pa.RecordBatch:
 class Grams:
     """The word sequences that begin at the own words of a group of chunks."""
 
-    def __init__(self, langs: list[str], chunks: pa.Array, owns: np.ndarray, times: np.ndarray):
-        raws = chunks.to_pylist()
-        self.words = words = Words(np.frombuffer(b"\n".join(raws), dtype=np.uint8))
+    def __init__(self, langs: list[str], raws: list[bytes], owns: np.ndarray, times: np.ndarray):
+        self.words = words = Words(b"\n".join(raws))
         sizes = np.fromiter((len(r) for r in raws), np.int64, len(raws)) + 1
         first = np.searchsorted(words.starts, np.cumsum(sizes) - sizes)  # the first word of each chunk
         count = np.diff(np.append(first, len(words.starts)))
@@ -177,6 +219,16 @@ class Grams:
         marks = np.array([np.frombuffer(_digest(n), dtype=np.uint64)[0] for n in self.names], dtype=np.uint64)
         self.seed = marks[self.lang]
         self.piece = np.cumsum(words.breaks)
+        self.numbers, self.distinct = None, 0
+
+    def number_words(self) -> None:
+        """Give equal words equal numbers, by their bytes."""
+        ends = np.append(self.words.starts, len(self.words.raw) + 1)
+        spaced = np.append(self.words.raw, np.uint8(_SPACE))
+        spaced[spaced == _LINE] = _SPACE
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.words.starts), [None, pa.py_buffer(ends), pa.py_buffer(spaced)])
+        coded = words.dictionary_encode()
+        self.numbers, self.distinct = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
 
     def places(self, size: int) -> np.ndarray:
         """First words of the sequences of ``size`` words."""
@@ -200,16 +252,27 @@ def _digest(text: str) -> bytes:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[Grams]:
-    """Groups of about GROUP_BYTES from batches (lang, chunk, own, times)."""
+    """Groups of about GROUP_BYTES from batches (lang, chunk, own, times), larger by one chunk at most."""
+    held, size = [], 0
     for batch in batches:
-        sizes = np.diff(np.frombuffer(batch.column(1).buffers()[1], dtype=np.int32,
-                                      count=batch.num_rows + 1 + batch.column(1).offset)[batch.column(1).offset:])
-        group = np.cumsum(sizes, dtype=np.int64) // GROUP_BYTES
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [batch.num_rows]])
-        for a, b in zip(edges[:-1], edges[1:]):
-            part = batch.slice(a, b - a)
-            if part.num_rows:
-                yield Grams(part.column(0).to_pylist(), part.column(1), part.column(2).to_numpy(), part.column(3).to_numpy())
+        sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            done = int(sizes[at - 1]) if at else 0
+            end = min(batch.num_rows, int(np.searchsorted(sizes, done + GROUP_BYTES - size)) + 1)
+            held.append(batch.slice(at, end - at))
+            size += int(sizes[end - 1]) - done
+            at = end
+            if size >= GROUP_BYTES:
+                yield _grams(held)
+                held, size = [], 0
+    if held:
+        yield _grams(held)
+
+
+def _grams(parts: list[pa.RecordBatch]) -> Grams:
+    table = pa.Table.from_batches(parts)
+    return Grams(table.column(0).to_pylist(), table.column(1).to_pylist(), table.column(2).to_numpy(), table.column(3).to_numpy())
 
 
 class KeyFilter:
@@ -277,11 +340,27 @@ def _all_frequent(pairs: np.ndarray, places: np.ndarray, size: int) -> np.ndarra
     return places[kept]
 
 
+def _merged(grams: Grams, places: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each different sequence and the sum of its occurrences; words are told apart by their numbers."""
+    total, bound = grams.lang[places], len(grams.names)
+    for k in range(size):
+        if bound * grams.distinct >= 1 << 62:  # number what there is so far anew
+            total = np.unique(total, return_inverse=True)[1]
+            bound = len(total)
+        total = total * grams.distinct + grams.numbers[places + k]
+        bound *= grams.distinct
+    order = np.argsort(total)
+    total = total[order]
+    first = np.flatnonzero(np.concatenate([[True], total[1:] != total[:-1]]))
+    return places[order[first]], np.add.reduceat(grams.times[places[order]], first)
+
+
 def _phrase_counter(pairs_known, frequent):
     """Task function: chunks to (lang, phrase, size, times) of the sequences whose keys are frequent, by their bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for grams in _groups(batches):
             pairs = _frequent_pairs(grams, pairs_known)
+            grams.number_words()
             for size in range(1, LONGEST + 1):
                 places = grams.places(size)
                 if size > 1:
@@ -289,18 +368,16 @@ def _phrase_counter(pairs_known, frequent):
                 places = places[frequent.value.has(grams.keys(size, places))]
                 if not len(places):
                     continue
-                starts, ends = grams.words.starts[places], grams.words.ends[places + size - 1]
+                first, times = _merged(grams, places, size)
+                starts, ends = grams.words.starts[first], grams.words.ends[first + size - 1]
                 lengths = ends - starts
                 bounds = np.concatenate([[0], np.cumsum(lengths)])
                 source = np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], lengths)
-                texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(places),
+                texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first),
                                                          [None, pa.py_buffer(bounds), pa.py_buffer(grams.words.raw[source])])
-                table = pa.table({"lang": grams.lang[places], "phrase": texts, "times": grams.times[places]})
-                table = table.group_by(["lang", "phrase"]).aggregate([("times", "sum")])
-                langs = pa.array(grams.names, pa.string()).take(table.column("lang").combine_chunks())
                 yield pa.RecordBatch.from_arrays(
-                    [langs, table.column("phrase").cast(pa.binary()).combine_chunks(), pa.array(np.full(len(table), size, dtype=np.int32)),
-                     table.column("times_sum").combine_chunks()], names=["lang", "phrase", "size", "times"])
+                    [pa.array(grams.names, pa.string()).take(pa.array(grams.lang[first])), texts.cast(pa.binary()),
+                     pa.array(np.full(len(first), size, dtype=np.int32)), pa.array(times)], names=["lang", "phrase", "size", "times"])
 
     return run
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fixtrace.llm import phrases
 from fixtrace.llm.merkle import folded, leaf_digest, merkle_manifest
-from fixtrace.llm.phrases import CHUNK_WORDS, TRIGGER, Words, _chunks, collocations, normalised
+from fixtrace.llm.phrases import CHUNK_WORDS, TRIGGER, Words, _chunks, _chunks_of_many, collocations, normalised
 from fixtrace.llm.url_filters import digest_arrays, judge_urls, url_rules
 from fixtrace.session import run_folder
 
@@ -176,8 +176,32 @@ def test_long_texts_are_cut_where_nothing_changes(size, monkeypatch):
     assert [(phrases._normalised_parts(t), _chunks(t)) for t in texts] == wanted
 
 
+def test_texts_parsed_together_as_one_by_one():
+    texts = [t.encode() for _, t in invented(12, 50)] + [b"", b" . ", b"one", b"same " * 9000, b"", b".a,", b"B"]
+    wanted = [(k, c, own) for k, t in enumerate(texts) for c, own in zip(*_chunks(t))]
+    assert list(zip(*_chunks_of_many(texts))) == wanted
+    assert _chunks_of_many([b"", b""]) == ([], [], [])
+
+
+def test_numbers_of_sequences_never_overflow(monkeypatch):
+    """With many distinct words the numbers of sequences are packed anew between two words."""
+    raws = [b"a b c d", b"a b c d a b c d", b"a b\nc d"]
+    wanted = None
+    for distinct in (None, 1 << 40):
+        grams = phrases.Grams(["x", "x", "y"], raws, np.array([4, 8, 4]), np.array([1, 2, 5]))
+        grams.number_words()
+        grams.distinct = distinct or grams.distinct
+        found = []
+        for size in (1, 2, 3, 4):
+            first, times = phrases._merged(grams, grams.places(size), size)
+            found.append(sorted((grams.words.raw[grams.words.starts[f]:grams.words.ends[f + size - 1]].tobytes(), int(grams.lang[f]), int(t))
+                                for f, t in zip(first, times)))
+        wanted = wanted or found
+        assert found == wanted and found[3] == [(b"a b c d", 0, 5), (b"b c d a", 0, 2), (b"c d a b", 0, 2), (b"d a b c", 0, 2)]
+
+
 def test_words_of_a_normalised_text():
-    words = Words(np.frombuffer(b"a bc\nd", dtype=np.uint8))
+    words = Words(b"a bc\nd")
     assert words.starts.tolist() == [0, 2, 5] and words.ends.tolist() == [1, 4, 6] and words.breaks.tolist() == [True, False, True]
 
 
