@@ -13,7 +13,7 @@ from fixtrace.llm.learning import remainder
 from fixtrace.llm.mixing import mix_sources, word_count
 from fixtrace.llm.near_dedup import near_duplicates
 from fixtrace.llm.permutation_index import nearest
-from fixtrace.llm.pieces import decode_pieces, encode_pieces
+from fixtrace.llm.pieces import encode_pieces
 from fixtrace.llm.quality import fit_quality, score_quality
 from fixtrace.llm.registry import query
 from fixtrace.llm.token_counts import count_tokens
@@ -105,7 +105,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return (decode_pieces(encode_pieces(docs, path), path)
+    return (encode_pieces(docs, path, decoded="decoded")
             .select("doc_id", "piece_ids", F.size("piece_ids").cast("bigint").alias("n_pieces"),
                     F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip")))
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,21 +41,91 @@ def test_pieces_as_the_library(texts):
 def test_pieces_without_cuts_are_the_same(texts):
     """Words are an economy: whole texts have the same lightest path."""
     own = PieceTransducer(tokenizer_path("piece_bpe_32k.model")).compile()
+    own.shortest_of = lambda whole: uncut(own, whole)
     for text in texts[:300]:
         if text:
-            assert own.transduce(own.normalise(text)) == own.encode(text)
-
-
-def test_unigram_path_is_the_lightest():
-    own = PieceTransducer("")
-    own.ready, own.unigram, own.bytes, own.unknown = True, True, {}, 0
-    own.texts = ["<unk>", "a", "b", "ab", "abb", "bb"]
-    own.ids = {t: i for i, t in enumerate(own.texts) if i}
-    own.scores = {"a": -1.0, "b": -1.5, "ab": -2.0, "abb": -4.5, "bb": -1.9}
-    own.worst, own.longest = 20.0, 3
-    own.trie = {t[:n]: -1 for t in own.ids for n in range(1, len(t))} | own.ids
-    assert [own.texts[i] for i in own.transduce("abb")] == ["a", "bb"]
-    assert own.transduce("azb") == [1, 0, 2]
+            assert own.shortest_of(own.normalise(text)) == own.encode(text)
+
+
+def uncut(own, whole):
+    characters = np.array([ord(c) for c in whole], dtype=np.int64)
+    return [i for arc in own.shortest(characters, np.array([0]))[0].tolist() for i in own._written(arc)]
+
+
+def made_model(folder, unigram, with_bytes, user=(), unused=(), rule="identity", squeeze=False, prefix=True):
+    """A model written by hand: syllables of a few letters with scores that are sums of quarters."""
+    from sentencepiece import SentencePieceNormalizer, sentencepiece_model_pb2
+
+    pick, model = random.Random(9), sentencepiece_model_pb2.ModelProto()
+
+    def add(piece, score, kind):
+        model.pieces.add(piece=piece, score=score, type=kind)
+
+    add("<unk>", 0, 2), add("<s>", 0, 3), add("</s>", 0, 3)
+    for u in user:
+        add(u, 0, 4)
+    for byte in range(256 if with_bytes else 0):
+        add(f"<0x{byte:02X}>", 0, 6)
+    made = {"▁", *unused} | set("abcdeé.")
+    while len(made) < 150:
+        made.add(("▁" if pick.random() < 0.3 else "") + "".join(pick.choices("abcdeé.", k=pick.randint(1, 4))))
+    for k, piece in enumerate(sorted(made, key=lambda t: (len(t), t))):
+        add(piece, -k if not unigram else -2.0 * len(piece) + pick.randint(-8, 8) / 4 - 3, 5 if piece in unused else 1)
+    model.trainer_spec.model_type = 1 if unigram else 2
+    model.trainer_spec.byte_fallback = with_bytes
+    model.trainer_spec.unk_piece = "<unk>"
+    model.normalizer_spec.name = rule
+    if rule != "identity":
+        found = sentencepiece_model_pb2.ModelProto()
+        found.ParseFromString(SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+        model.normalizer_spec.precompiled_charsmap = found.normalizer_spec.precompiled_charsmap
+    model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.remove_extra_whitespaces = prefix, squeeze
+    path = folder / "made.model"
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+@pytest.mark.parametrize("options", [
+    {}, {"with_bytes": False}, {"user": ("ab", "<x>", "éa.")}, {"unused": ("ab", "cd.")}, {"rule": "nfkc", "squeeze": True},
+    {"rule": "nmt_nfkc_cf", "squeeze": True, "with_bytes": False}, {"squeeze": True, "prefix": False}, {"prefix": False}, {"user": ("<x>",), "rule": "nfkc"}])
+@pytest.mark.parametrize("unigram", [True, False])
+def test_made_models_as_the_library(tmp_path, options, unigram):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    options = {"with_bytes": True} | options
+    path = made_model(tmp_path, unigram, **options)
+    own = PieceTransducer(path)
+    if not unigram and options.get("unused"):
+        with pytest.raises(ValueError):
+            own.compile()
+        return
+    library, pick = sentencepiece.SentencePieceProcessor(model_file=path), random.Random(4)
+    texts = ["", " ", "  a", "a  ", "ab<x>cd", "éa.é", "ＡＢｃ ﬁ ① x\u00a0y", "zz\u0301 e\u0301a", "日本zz a", "\t\n a\n\nb", "a▁b ▁"]
+    texts += ["".join(pick.choice(["a", "b", "c", "d", "e", "é", ".", " ", "a", "ab", "<x>", "z", "  ", "Ａ", "e\u0301"]) for _ in range(pick.randint(1, 40)))
+              for _ in range(400)]
+    together = own.encode_many(texts)
+    for text, ids in zip(texts, together):
+        assert ids == library.encode(text), text
+        assert own.decode(ids) == library.decode(ids), text
+
+
+def test_words_are_remembered_within_bounds(monkeypatch):
+    from fixtrace.llm import pieces
+
+    monkeypatch.setattr(pieces, "REMEMBERED_WORDS", 50)
+    monkeypatch.setattr(pieces, "REMEMBERED_PAIRS", 64)
+    path, pick = tokenizer_path("piece_bpe_32k.model"), random.Random(2)
+    own, whole = PieceTransducer(path), PieceTransducer(path)
+    texts = [" ".join("".join(pick.choices("abcdeth", k=pick.randint(1, 90))) for _ in range(20)) for _ in range(40)]
+    wanted = whole.encode_many(texts)
+    for text, ids in zip(texts, wanted):
+        assert own.encode(text) == ids
+        assert len(own.young) + len(own.old) <= 120 and max(map(len, own.young), default=0) <= 64
+    assert pieces.compiled(path) is pieces.compiled(path)
+
+
+def test_ids_that_a_model_has_not():
+    own = PieceTransducer(tokenizer_path("piece_bpe_32k.model"))
+    assert own.decode([-5, 10 ** 6, None]) == own.decode([own.unknown] * 3) != ""
 
 
 def test_pieces_of_odd_rows(spark):
@@ -67,6 +138,8 @@ def test_pieces_of_odd_rows(spark):
     assert by_id[2].piece_ids == [] and by_id[2].decoded == "" and by_id[3].decoded == "a b"
     assert by_id[None].decoded == "x" * 200_000
     assert encode_pieces(docs.limit(0), path).count() == 0
+    once = encode_pieces(docs.withColumn("back", F.lit(1)), path, decoded="back").collect()
+    assert sorted((repr(r.piece_ids), repr(r.back)) for r in once) == sorted((repr(r.piece_ids), repr(r.decoded)) for r in found)
 
 
 def test_token_counts_as_the_library(texts):
