@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -15,14 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words whose pieces a process remembers in each of two generations, and pairs of pieces whose weight it remembers.
-REMEMBERED_WORDS = 60_000
+REMEMBERED_WORDS = 100_000
 REMEMBERED_PAIRS = 1 << 20
+REMEMBERED_LENGTH = 256
 #: Models that a process keeps compiled.
 REMEMBERED_MODELS = 2
 #: Texts that are encoded before their ids leave the task.
-GROUP_ROWS, GROUP_CHARACTERS = 512, 1 << 20
+GROUP_ROWS, GROUP_CHARACTERS = 512, 1 << 18
 
 _GAP = "▁"  # what a model writes for a space
+_USER_MARK = "\0"
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _USER, _UNUSED, _BYTE = 1, 2, 4, 5, 6
 _INFINITE = float("inf")
@@ -95,6 +97,37 @@ class Pairs:
         return found
 
 
+def _within(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of ranges, one after the other."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
+class Remembered:
+    """Words and their piece ids: a number for each word, and the ids of all words in one array."""
+
+    def __init__(self):
+        self.numbers: dict[str, int] = {}
+        self.ids, self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        held = len(self.numbers)
+        self.numbers.update(zip(words, range(held, held + len(words))))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+
+    def ids_of(self, words, count: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after the other, and their number by word."""
+        number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words) if count is None else count)
+        sizes = self.sizes[number]
+        return self.ids[_within(self.starts[number], sizes)], sizes
+
+    def without(self, words: list[str]) -> Remembered:
+        kept, left = Remembered(), set(words)
+        names = [w for w in self.numbers if w not in left]
+        kept.add(names, *self.ids_of(names))
+        return kept
+
+
 class CharacterMap:
     """Transducer of the normaliser's rules: the longest rule that begins at a place is applied there.
 
@@ -219,8 +252,7 @@ class PieceTransducer:
         for byte, i in self.bytes.items():
             self.plain[i] = chr(byte) if byte < 128 else None
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.young, self.old = Remembered(), Remembered()
         self.pairs = Pairs(self._apart)
         self.ready = True
 
@@ -340,33 +372,32 @@ class PieceTransducer:
         which, path = np.concatenate([w for w, _ in steps]), np.concatenate([a for _, a in steps])
         return path[::-1][np.argsort(which[::-1], kind="stable")], np.bincount(which, minlength=len(starts))
 
-    def transduce(self, words: list[str]) -> list[tuple]:
-        """Piece ids of normalised words, with bytes for characters that no piece writes."""
+    def transduce(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of normalised words, one after the other, and their number by word."""
         characters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         opens = np.zeros(len(characters), dtype=bool)
         opens[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-        word_of = np.repeat(np.arange(len(words)), sizes)
         opens[1:] |= self.inside.find(characters[:-1] * _CHARACTERS + characters[1:]) < 0
         starts = np.flatnonzero(opens)
         path, counts = self.shortest(characters, starts)
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(word_of[starts], counts, minlength=len(words)).astype(np.int64))]).tolist()
-        odd, path = path >= len(self.texts), path.tolist()
-        found = [tuple(path[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-        if odd.any():
-            for k in np.unique(np.searchsorted(bounds, np.flatnonzero(odd), "right") - 1).tolist():
-                found[k] = tuple(i for arc in found[k] for i in self._written(arc))
-        return found
+        word = np.repeat(np.repeat(np.arange(len(words)), sizes)[starts], counts)
+        odd = np.flatnonzero(path >= len(self.texts))
+        if len(odd):  # characters that no piece writes
+            written = [self._written(arc) for arc in path[odd].tolist()]
+            more = np.ones(len(path), dtype=np.int64)
+            more[odd] = [len(w) for w in written]
+            path, word = np.repeat(path, more), np.repeat(word, more)
+            path[_within((np.cumsum(more) - more)[odd], more[odd])] = list(chain.from_iterable(written))
+        return path.astype(np.int32), np.bincount(word, minlength=len(words))
 
     def _written(self, arc: int) -> list[int]:
-        if arc < len(self.texts):
-            return [arc]
         return [self.bytes[b] for b in self._text(arc).encode("utf-8", "replace")] if self.bytes else [self.unknown]
 
     # Texts
 
-    def _words(self, text: str) -> list:
-        """The words of a text, and the ids of user pieces that stand between."""
+    def _words(self, text: str) -> list[str]:
+        """Keys of the words of a text: a word at a single space, else a mark and the normalised word, or a mark and a user piece."""
         if self.simple and text[0] != " " and "  " not in text and _GAP not in text:
             return text.split(" ")
         whole = self.normalise(text)
@@ -374,44 +405,50 @@ class PieceTransducer:
             return self._split(whole)
         words, at = [], 0  # merges stop at user pieces
         for match in self.user.finditer(whole):
-            words += [*self._split(whole[at:match.start()]), self.user_ids[match[0]]]
+            words += [*self._split(whole[at:match.start()]), _USER_MARK + match[0]]
             at = match.end()
         return words + self._split(whole[at:])
 
     def _split(self, whole: str) -> list[str]:
-        """Normalised text as words with what gaps stand before; a gap at the front tells them from words at single spaces."""
         if not whole:
             return []
         return [_GAP + w for w in (re.findall(f"{_GAP}*[^{_GAP}]+|{_GAP}+", whole) if self.gaps_part else [whole])]
 
-    def encode_many(self, texts: list[str | None]) -> list[list[int]]:
-        """Piece ids of texts, without begin and end. Words that are not remembered are transduced together."""
+    def encode_many(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of texts, one after the other, without begin and end, and their number by text.
+
+        Words that are not remembered are transduced together.
+        """
         self.compile()
         split = [self._words(t) if t else [] for t in texts]
-        new = set(chain.from_iterable(split)).difference(self.young)
-        if self.user is not None:
-            new = {w for w in new if isinstance(w, str)}
-        again = new.intersection(self.old)
-        self.young |= zip(again, map(self.old.__getitem__, again))
-        asked = list(new - again)
-        if asked:  # a word at a single space has its gap before it, another one the mark of ``_split``
-            self.young |= zip(asked, self.transduce([w[1:] if w[:1] == _GAP else _GAP + w for w in asked]))
-        known = self.young
-        result = [list(chain.from_iterable(map(known.__getitem__, words))) if self.user is None
-                  else [i for w in words for i in (known[w] if isinstance(w, str) else (w,))] for words in split]
-        for word in asked:
-            if len(word) > 64:
-                del known[word]
-        if len(known) > REMEMBERED_WORDS:
-            self.old, self.young = known, {}
-        return result if self.bytes else [self._joined(ids) for ids in result]
+        young, old = self.young, self.old
+        new = set(filterfalse(young.numbers.__contains__, chain.from_iterable(split)))
+        again = [w for w in new if w in old.numbers]
+        if again:
+            young.add(again, *old.ids_of(again))
+            new.difference_update(again)
+        user = [w for w in new if self.user is not None and w.startswith(_USER_MARK)]
+        if user:
+            young.add(user, np.array([self.user_ids[w[1:]] for w in user], dtype=np.int32), np.ones(len(user), dtype=np.int64))
+            new.difference_update(user)
+        if new:
+            asked = list(new)
+            young.add(asked, *self.transduce([w[1:] if w[0:1] == _GAP else _GAP + w for w in asked]))
+        words = np.fromiter(map(len, split), np.int64, len(split))
+        ids, sizes = young.ids_of(chain.from_iterable(split), int(words.sum()))
+        text = np.repeat(np.repeat(np.arange(len(texts)), words), sizes)
+        if len(young.numbers) > REMEMBERED_WORDS:
+            self.young, self.old = Remembered(), young
+        elif any(len(w) > REMEMBERED_LENGTH for w in new):  # rare and large
+            self.young = young.without([w for w in new if len(w) > REMEMBERED_LENGTH])
+        if not self.bytes:  # neighbouring unknown characters are one unknown piece
+            alone = np.ones(len(ids), dtype=bool)
+            alone[1:] = (ids[1:] != self.unknown) | (ids[:-1] != self.unknown) | (text[1:] != text[:-1])
+            ids, text = ids[alone], text[alone]
+        return ids, np.bincount(text, minlength=len(texts))
 
     def encode(self, text: str | None) -> list[int]:
-        return self.encode_many([text])[0]
-
-    def _joined(self, ids: list[int]) -> list[int]:
-        """Neighbouring unknown characters are one unknown piece."""
-        return [i for k, i in enumerate(ids) if i != self.unknown or not k or ids[k - 1] != i]
+        return self.encode_many([text])[0].tolist()
 
     # The inverse
 
@@ -422,7 +459,11 @@ class PieceTransducer:
         """
         self.compile()
         size = len(self.plain)
-        if any(i is None or not 0 <= i < size for i in ids):
+        try:
+            odd = bool(ids) and (min(ids) < 0 or max(ids) >= size)
+        except TypeError:  # nulls among them
+            odd = True
+        if odd:
             ids = [i if i is not None and 0 <= i < size else self.unknown for i in ids]
         found = list(map(self.plain.__getitem__, ids))
         if None in found:
@@ -457,13 +498,6 @@ def compiled(path: str) -> PieceTransducer:
     return held[key]
 
 
-def _lists(rows: list[list[int] | None]) -> pa.ListArray:
-    sizes = np.fromiter((len(r) if r else 0 for r in rows), np.int32, len(rows))
-    values = np.fromiter(chain.from_iterable(r for r in rows if r), np.int32, int(sizes.sum()))
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([r is None for r in rows]))
-
-
 def encode_pieces(docs: DataFrame, model: str, text: str = "text", ids: str = "piece_ids", decoded: str | None = None) -> DataFrame:
     """All columns of ``docs`` and the piece ids of the whole text, an array of ints.
 
@@ -492,10 +526,14 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text", ids: str = "p
         coder = compiled(model)
         for batch in batches:
             for part, texts in groups(batch):
-                codes = [None if t is None else c for t, c in zip(texts, coder.encode_many(texts))]
-                columns, names = [*part.columns, _lists(codes)], [*part.schema.names, ids]
+                flat, sizes = coder.encode_many(texts)
+                offsets = np.concatenate([[0], np.cumsum(sizes)])
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat), mask=pa.array([t is None for t in texts]))
+                columns, names = [*part.columns, lists], [*part.schema.names, ids]
                 if decoded:
-                    columns.append(pa.array([None if c is None else coder.decode(c) for c in codes], pa.string()))
+                    codes = flat.tolist()
+                    columns.append(pa.array([None if t is None else coder.decode(codes[a:b])
+                                             for t, a, b in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist())], pa.string()))
                     names.append(decoded)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
