@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fixtrace.llm.components import components
@@ -18,6 +18,8 @@ from fixtrace.session import run_folder, staged
 GROUP_SHINGLES = 1 << 18
 #: Shingles in a block of texts that meets other blocks of its group.
 BLOCK_SHINGLES = 1 << 17
+#: Classes of doc_ids by which texts are passed over before those of candidates are fetched: at most so many are broadcast.
+ID_CLASSES = 1 << 20
 
 
 def bands_needed(percent: int, rows: int, miss: float) -> int:
@@ -44,7 +46,7 @@ def _band_keys(flat: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> n
 
 
 def _sketcher(width: int, bands: int, rows: int):
-    """Task function: (doc_id, text, digest) to (doc_id, digest, node, n, a, b); node names the set, a and b are the bands."""
+    """Task function: (doc_id, text, digest) to (doc_id, digest, mark, n, a, b); mark names the set, a and b are the bands."""
     import hashlib
 
     def flush(part, sets):
@@ -53,15 +55,15 @@ def _sketcher(width: int, bands: int, rows: int):
         if full:
             lengths = np.array([len(sets[i]) for i in full])
             keys = _band_keys(np.concatenate([sets[i] for i in full]), np.cumsum(lengths) - lengths, 2 * bands, rows)
-        nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+        marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
         counts = np.zeros(len(sets), dtype=np.int64)
         counts[full] = bands
         offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
         sides = [pa.ListArray.from_arrays(offsets, pa.array(keys[:, at:at + bands].reshape(-1).view(np.int64)))
                  for at in (0, bands)]
         return pa.RecordBatch.from_arrays(
-            [part.column(0), part.column(2), pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), *sides],
-            names=["doc_id", "digest", "node", "n", "a", "b"])
+            [part.column(0), part.column(2), pa.array(marks, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), *sides],
+            names=["doc_id", "digest", "mark", "n", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,16 +81,16 @@ def _sketcher(width: int, bands: int, rows: int):
 
 
 def _set_maker(width: int):
-    """Task function: (node, text) to (node, shingles), of the rows whose text has the set that the node names."""
+    """Task function: (node, mark, text) to (node, shingles), of the rows whose text has the set that the mark names."""
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                made = [shingle_set(t.as_py(), width).view(np.int64) for t in part.column(1)]
-                own = [k for k, (node, s) in enumerate(zip(part.column(0), made))
-                       if len(s) and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == node.as_py()]
+                made = [shingle_set(t.as_py(), width).view(np.int64) for t in part.column(2)]
+                own = [k for k, (mark, s) in enumerate(zip(part.column(1), made))
+                       if len(s) and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == mark.as_py()]
                 if not own:
                     continue
                 sets = [made[k] for k in own]
@@ -110,6 +112,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return shared.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
+def _class(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(ID_CLASSES))
+
+
 def _linker(percent: int):
     """Task function: links between the texts of two blocks, as many as it takes to connect what is similar.
 
@@ -139,7 +145,7 @@ def _linker(percent: int):
                     links[0].append(names[x])
                     links[1].append(names[y])
                     group[group == group[y]] = group[x]
-        return pa.table({"a": pa.array(links[0], pa.binary()), "b": pa.array(links[1], pa.binary())})
+        return pa.table({"a": pa.array(links[0], pa.int64()), "b": pa.array(links[1], pa.int64())})
 
     return run
 
@@ -161,7 +167,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
       best leader of its buckets. Where buckets then still hold several groups, the texts that such buckets connect are dealt into blocks, and
       each two blocks meet in one task, which compares texts of different groups only and returns no more links than
       connect them. So no link is lost to the choice of leaders, and no pairs are written out.
-    * Every link is confirmed on the full sets, of which 64-bit hashes are held.
+    * Every link is confirmed on the full sets, of which 64-bit hashes are held. Texts of candidates are fetched by the
+      classes of their ids, at most 2^20 longs that are broadcast, so that other texts are not moved.
 
     A text without words, empty or null has no shingles, is linked with nothing and kept. A row belongs to the
     group of its own text: rows that repeat a doc_id share a group if their texts do. A null doc_id never names a group: a set that only such rows have is linked with
@@ -174,25 +181,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     digested = own.withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
     sketch = staged(digested.mapInArrow(_sketcher(width, bands, rows),
-                                        "doc_id bigint, digest binary, node binary, n bigint, a array<bigint>, b array<bigint>"),
+                                        "doc_id bigint, digest binary, mark binary, n bigint, a array<bigint>, b array<bigint>"),
                     folder, "sketch")
-    nodes = staged(sketch.filter("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("lead"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")),
-        folder, "nodes")
-
-    # Bands that more than one node has, by side.
-    bits = staged(nodes.select("node", F.posexplode(F.concat("a", "b")).alias("band", "key")), folder, "bands")
-    common = bits.groupBy("band", "key").count().filter("count > 1").drop("count")
-    shared = bits.join(common, ["band", "key"])
+    # One node for each set, with a number that is written down, as it would change from run to run.
+    nodes = staged(sketch.filter("mark is not null").groupBy("mark").agg(
+        F.min("doc_id").alias("lead"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
+        .withColumn("node", F.monotonically_increasing_id()), folder, "nodes")
+
+    # Bands that more than one node has. The last bit of a band's key tells its side.
+    sides = F.concat(F.transform("a", lambda x: x.bitwiseAND(F.lit(-2))), F.transform("b", lambda x: x.bitwiseOR(F.lit(1))))
+    bits = nodes.select("node", F.explode(sides).alias("bit"))
+    common = bits.groupBy("bit").count().filter("count > 1").select("bit")
     candidates = staged(
-        shared.groupBy("node").agg(F.min("band").alias("low"), F.max("band").alias("high"),
-                                   F.collect_list(F.struct("band", "key")).alias("bits"))
-        .filter((F.col("low") < bands) & (F.col("high") >= bands)).select("node", "bits"), folder, "candidates")
+        bits.join(common, "bit").groupBy("node").agg(F.collect_list("bit").alias("bits"))
+        .filter(F.exists("bits", lambda x: x % 2 == 0) & F.exists("bits", lambda x: x % 2 != 0)), folder, "candidates")
 
     # Their full sets, from the texts. An id may have several texts and a text several rows: one set per node.
-    leads = staged(nodes.join(candidates.select("node"), "node").select("node", F.col("lead").alias("doc_id")), folder, "leads")
-    sets = staged(own.join(leads, "doc_id").select("node", "text")
-                  .mapInArrow(_set_maker(width), "node binary, shingles array<bigint>"), folder, "sets")
+    leads = staged(nodes.join(candidates.select("node"), "node").select("node", "mark", F.col("lead").alias("doc_id"), _class("lead").alias("class")),
+                   folder, "leads")
+    asked = own.withColumn("class", _class("doc_id")).join(F.broadcast(leads.select("class").distinct()), "class", "left_semi")
+    sets = staged(asked.join(leads.drop("class"), "doc_id").select("node", "mark", "text")
+                  .mapInArrow(_set_maker(width), "node bigint, shingles array<bigint>"), folder, "sets")
     repeated = staged(sets.groupBy("node").count().filter("count > 1").select("node"), folder, "repeated")
     if not repeated.isEmpty():
         once = sets.join(repeated, "node", "left_semi").groupBy("node").agg(F.any_value("shingles").alias("shingles"))
@@ -207,12 +216,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     # Table keys: a band of either side.
     def side(first):
-        return F.filter("bits", lambda x: (x["band"] < bands) if first else (x["band"] >= bands))
+        return F.filter("bits", lambda x: (x % 2 == 0) if first else (x % 2 != 0))
 
     keys = (candidates.join(alive, "node")
             .select("node", (F.col("alone") / F.col("n")).alias("apart"), F.explode(side(True)).alias("x"), side(False).alias("ys"))
             .select("node", "apart", "x", F.explode("ys").alias("y"))
-            .select("node", "apart", F.xxhash64("x.band", "x.key", "y.band", "y.key").alias("key")))
+            .select("node", "apart", F.xxhash64("x", "y").alias("key")))
     keys = staged(keys, folder, "keys")
     tables = (keys.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("apart", "node")).alias("lead"))
               .filter("size > 1").select("key", "lead"))
@@ -239,15 +248,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
     met = dealt.select("near", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node",
                        "own", "n", "alone", "shingles")
-    more = staged(met.groupBy("near", "i", "j").applyInArrow(_linker(percent), "a binary, b binary"), folder, "more_links")
+    more = staged(met.groupBy("near", "i", "j").applyInArrow(_linker(percent), "a bigint, b bigint"), folder, "more_links")
     if not more.isEmpty():
         groups = components(links.union(more), folder, "all_groups")
 
-    named = nodes.select("node", "lead").join(groups, "node", "left").select("node", "lead", F.coalesce("label", "node").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("lead").alias("component_id"))
-    of_node = named.join(smallest, "label").select("node", "component_id")
-    found = sketch.select("doc_id", "digest", "node", "n").join(of_node, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    # Nodes without links are their own group; only the others are looked for.
+    linked = groups.join(nodes.select("node", "mark", "lead"), "node").select("mark", "lead", "label")
+    smallest = linked.groupBy("label").agg(F.min("lead").alias("component_id"))
+    of_set = nodes.select("mark", "lead").join(linked.join(smallest, "label").select("mark", "component_id"), "mark", "left")
+    of_set = of_set.select("mark", F.coalesce("component_id", "lead").alias("component_id"))
+    found = sketch.select("doc_id", "digest", "mark", "n").join(of_set, "mark", "left")
+    component = F.when(F.col("mark").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                         F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"),
                         F.lower(F.hex("digest")).alias("text_sha256"))
