@@ -15,7 +15,7 @@ from fixtrace.llm.exact_dedup import exact_duplicates
 from fixtrace.llm.learning import remainder
 from fixtrace.llm.mixing import mix_sources, word_count
 from fixtrace.llm.near_dedup import near_duplicates
-from fixtrace.llm.pieces import decode_pieces, encode_pieces
+from fixtrace.llm.pieces import encode_pieces
 from fixtrace.llm.quality import fit_quality, score_quality
 from fixtrace.llm.queries import tokenizer_path
 from fixtrace.session import run_folder, staged
@@ -32,23 +32,25 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     same score.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(remainder("doc_id", 5) != 0).select("doc_id", "quality")
-    model = fit_quality(docs, labels)
-    return score_quality(docs, model, name="_quality").filter(F.col("_quality") >= LEAST_QUALITY).drop("_quality")
+    model, score = fit_quality(docs, labels), _free(docs, "quality")
+    return score_quality(docs, model, name=score).filter(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def keep_last_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id. A row without id goes only if a row with an id has its text.
 
-    Of equal texts that only rows without id have, the row whose columns come first in order stays. Rows that repeat both
+    Of equal texts that only rows without id have, the row stays that comes first when written as JSON. Rows that repeat both
     id and text share their fate.
     """
     dropped = _dropped(docs, exact_duplicates(docs))
-    nameless = dropped.filter("_dropped IS NULL AND keep_id IS NULL").select("_digest")
+    nameless = dropped.filter("id IS NULL AND keep_id IS NULL").select(F.col("digest").alias("other"))
     rest = _without(docs, dropped)
     if nameless.isEmpty():
         return rest
-    one = (docs.filter("doc_id IS NULL").withColumn("_own", _digest()).join(nameless, F.col("_own") == F.col("_digest"), "left_semi")
-           .groupBy("_own").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    lone = docs.filter("doc_id IS NULL").select(_digest().alias("digest"), row.alias("row"))
+    one = (lone.join(nameless, F.col("digest") == F.col("other"), "left_semi")
+           .groupBy("digest").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*"))
     return rest.unionByName(one)
 
 
@@ -62,20 +64,29 @@ def _digest() -> Column:
     return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A name that no column of ``docs`` has, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _dropped(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """Rows marked as dropped: (_dropped, _digest, keep_id), the id, the digest of the text and the id that stays instead.
+    """Rows marked as dropped: (id, digest, keep_id), the id, the digest of the text and the id that stays instead.
 
     An id alone does not name a row, as ids repeat and lack. They are written down, so that a join knows their
     number: few are broadcast, and no text moves.
     """
-    rows = marked.filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped"), F.unhex("text_sha256").alias("_digest"), "keep_id")
+    rows = marked.filter(~F.col("kept")).select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("digest"), "keep_id")
     return staged(rows.distinct(), run_folder(docs.sparkSession, "dropped"), "rows")
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """Documents that do not have both id and text of a dropped row."""
-    same = F.col("doc_id").eqNullSafe(F.col("_dropped")) & (_digest() == F.col("_digest"))
-    return docs.join(dropped.select("_dropped", "_digest"), same, "left_anti")
+    key, digest = _free(docs, "dropped_id"), _free(docs, "dropped_digest")
+    named = dropped.select(F.col("id").alias(key), F.col("digest").alias(digest))
+    return docs.join(named, F.col("doc_id").eqNullSafe(F.col(key)) & (_digest() == F.col(digest)), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,20 +98,25 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     sized = docs.select("doc_id", "source", word_count("text").alias("size"))
     given = mix_sources(sized, "size")[0].filter("size > 0")
-    times = (given.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
-                          F.round(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-             .filter("_times > 0").distinct())
-    taken = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-                      & (word_count("text") == F.col("_size")))
-    return (taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-            .drop("_id", "_source", "_size", "_times", "_copy"))
+    key, source, size, times = (_free(docs, n) for n in ("mixed_id", "mixed_source", "mixed_size", "mixed_times"))
+    taken = (given.select(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("size").alias(size),
+                          F.round(F.col("taken") / F.col("size")).cast("int").alias(times))
+             .filter(F.col(times) > 0).distinct())
+    found = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(key)) & F.col("source").eqNullSafe(F.col(source))
+                      & (word_count("text") == F.col(size)))
+    copy = _free(docs, "mixed_copy")
+    return found.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(key, source, size, times, copy)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of the whole text of each document, and whether they decode to it."""
+    """doc_id, source, lang, the piece ids of the whole text, their number, and whether they decode to it.
+
+    A null text has null ids, -1 pieces and counts as decoded; an empty one has none. Rows that repeat stay. An empty
+    table gives an empty result. Other columns are left out.
+    """
     path = tokenizer_path("piece_bpe_32k.model")
-    coded = decode_pieces(encode_pieces(docs.select("doc_id", "source", "lang", "text"), path), path)
-    return coded.select("doc_id", "source", "lang", "piece_ids", F.size("piece_ids").cast("bigint").alias("n_pieces"),
+    coded = encode_pieces(docs.select("doc_id", "source", "lang", "text"), path, decoded="decoded")
+    return coded.select("doc_id", "source", "lang", "piece_ids", F.coalesce(F.size("piece_ids"), F.lit(-1)).cast("bigint").alias("n_pieces"),
                         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
@@ -119,7 +135,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``, each written to the shared folder before the next one reads it.
+
+    Null and empty texts and rows that repeat are treated as the stages say; an empty table gives an empty result.
+    """
     folder = run_folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
