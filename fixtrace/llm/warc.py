@@ -158,13 +158,15 @@ class WarcReader(DataSourceReader):
             column = test.attribute[0] if hasattr(test, "attribute") and len(test.attribute) == 1 else None
             if column not in HEAD_COLUMNS:
                 yield test
-            elif isinstance(test, (EqualTo, EqualNullSafe)):
+            elif isinstance(test, EqualNullSafe):
                 self.tests.append((column, "in", (test.value,)))
-            elif isinstance(test, In):
-                self.tests.append((column, "in", tuple(test.value)))
+            elif isinstance(test, EqualTo) and test.value is not None:
+                self.tests.append((column, "in", (test.value,)))
+            elif isinstance(test, In):  # a null among the values equals nothing, a null in the row neither
+                self.tests.append((column, "in", tuple(v for v in test.value if v is not None)))
             elif isinstance(test, IsNotNull):
                 self.tests.append((column, "known", None))
-            elif isinstance(test, StringStartsWith):
+            elif isinstance(test, StringStartsWith) and test.value is not None:
                 self.tests.append((column, "begins", test.value))
             else:
                 yield test

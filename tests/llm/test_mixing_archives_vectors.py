@@ -230,12 +230,23 @@ def test_pipeline_runs_as_a_whole(spark, data):
 
 
 def test_stages_take_odd_documents(spark, data):
-    odd = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (None, "a b c d e f", None, "s", 11),
+    """Nulls, empties, a long text, repeats, clashing and unusual columns; each stage on its own and over no rows."""
+    clashing = {c: F.lit(k) for k, c in enumerate(("quality", "Digest", "id", "row", "dropped_id", "mixed_id", "mixed_times", "mixed_copy", "keep_id", "piece_ids", "decoded"))}
+    odd = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (None, "a b c d e f", None, "s", 11), (None, "a b c d e f", None, "s", 11),
                                  (3, "word " * 30_000, "en", None, 150_000)], "doc_id long, text string, lang string, source string, n_chars long")
-    for empty in (False, True):
-        docs = odd.limit(0) if empty else odd
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, docs, data).collect()
+    odd = odd.withColumns(clashing | {"extra": F.create_map(F.lit("k"), F.lit(1)), "with.dot": F.lit(1)})
+    stages = dict(corpus_pipeline.STAGES)
+    found = {name: stage(spark, odd, data).collect() for name, stage in stages.items()}
+    ids = {name: sorted(str(r.doc_id) for r in rows) for name, rows in found.items()}
+    assert set(ids["quality"]) <= {"1", "2", "3", "None"}
+    assert ids["exact_dedup"] == ["2", "2", "3", "None"] and ids["near_dedup"] == ["1", "2", "2", "3", "None", "None"]
+    assert set(ids["mixing"]) == {"3", "None"} and ids["pieces"] == ["1", "2", "2", "3", "None", "None"]
+    assert sorted(r.n_pieces for r in found["pieces"])[:3] == [-1, 0, 0] and all(r.round_trip for r in found["pieces"])
+    for name, stage in stages.items():
+        if name != "pieces":
+            assert all(r["Digest"] == 1 and r["mixed_copy"] == 7 and r["extra"] == {"k": 1} for r in found[name]), name
+            assert stage(spark, odd, data).columns == odd.columns, name
+        assert stage(spark, odd.limit(0), data).count() == 0, name
 
 
 def test_stages_drop_rows_not_ids(spark, data):
