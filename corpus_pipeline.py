@@ -22,6 +22,8 @@ from fixtrace.session import run_folder, staged
 
 #: Texts whose chance of being good is below this are rejected.
 LEAST_QUALITY = 0.3
+#: Classes of ids by which documents are told that cannot have been dropped.
+ID_CLASSES = 1 << 20
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,10 +85,23 @@ def _dropped(docs: DataFrame, marked: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Documents that do not have both id and text of a dropped row."""
-    key, digest = _free(docs, "dropped_id"), _free(docs, "dropped_digest")
+    """Documents that do not have both id and text of a dropped row.
+
+    Only documents whose id falls into a class of a dropped one are joined; the classes, at most 2^20 integers, are
+    broadcast, so that the texts of the others are not moved.
+    """
+    key, digest, group, hit = (_free(docs, n) for n in ("dropped_id", "dropped_digest", "dropped_class", "dropped_hit"))
     named = dropped.select(F.col("id").alias(key), F.col("digest").alias(digest))
-    return docs.join(named, F.col("doc_id").eqNullSafe(F.col(key)) & (_digest() == F.col(digest)), "left_anti")
+    classes = named.select(_id_class(key).alias(group)).distinct().withColumn(hit, F.lit(True))
+    marked = docs.withColumn(group, _id_class("doc_id")).join(F.broadcast(classes), group, "left").drop(group)
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (_digest() == F.col(digest))
+    sure = marked.filter(F.col(hit).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rest = marked.filter(F.col(hit)).select(*[F.col(f"`{c}`") for c in docs.columns]).join(named, same, "left_anti")
+    return sure.unionByName(rest)
+
+
+def _id_class(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(ID_CLASSES)).cast("int")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
