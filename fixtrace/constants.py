@@ -69,16 +69,11 @@ ADVISORY_MISSING = "CVE not yet in NVD - No details available"
 WEAKNESS_MISSING = "CWE not found - No details available"
 
 # --- limits -------------------------------------------------------------------
-SEARCH_CAP = 100
-FILES_CAP = 50
-HEAD_LINES = 1000
 PAGE_SIZE = 100
 TOKENS_PER_CHAR = 0.3
-TOKEN_BUDGET = 100000
 REPO_SIZE_LIMIT = 1024 ** 3
 SHARD_BYTES = 250 * 1000 * 1000
 REPORT_TTL_SECONDS = 3600
-NEGATIVES_PER_REPO = 5000
 HUNK_CONTEXT = 3
 
 # --- report formats -----------------------------------------------------------

@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fixtrace import constants as K
+from fixtrace.operators.ordering import running_values
+from fixtrace.session import reliable
 
 WHITESPACE = " \t\n\r\x0b\x0c"
 
@@ -251,14 +253,21 @@ def running_budget(files: DataFrame, commit: str, order: str, patch: str, contex
     """Adds tokens_so_far and kept_context: the contexts of a commit's files in order, while there is budget.
 
     The tokens of patches and contexts add up over the files of a commit; a file at which the sum reaches the budget, and
-    all after it, get an empty context. Nulls count as empty. Only keys and counts are sorted; the texts are joined back.
+    all after it, get an empty context. Null texts count as empty. Files without a commit are those of one commit; a null
+    place comes first, and files at the same place follow each other by their texts. Every row comes back once.
+
+    Rows get a number that is written down. Only keys and counts are sorted, a commit of any size in slices; the
+    texts are joined back by the number.
     """
     tokens = estimate_tokens(F.coalesce(F.col(patch), F.lit(""))) + estimate_tokens(F.coalesce(F.col(context), F.lit("")))
-    counted = files.select(commit, order, tokens.alias("_tokens"))
-    so_far = F.sum("_tokens").over(Window.partitionBy(commit).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    sums = counted.select(commit, order, so_far.alias("tokens_so_far"))
+    numbered = reliable(files.withColumn("_file", F.monotonically_increasing_id()))
+    counted = numbered.select("_file", F.col(commit).alias("_commit"), F.col(order).alias("_order"), tokens.alias("_tokens"),
+                              F.xxhash64(patch, context).alias("_texts"))
+    ahead = running_values(counted, ["_commit"], [F.col("_order").asc_nulls_first(), F.col("_texts"), F.col("_file")],
+                           {"_ahead": ("sum", F.col("_tokens"))})
+    sums = ahead.select("_file", (F.coalesce("_ahead", F.lit(0.0)) + F.col("_tokens")).alias("tokens_so_far"))
     kept = F.when(F.col("tokens_so_far") < budget, F.coalesce(F.col(context), F.lit(""))).otherwise(F.lit(""))
-    return files.join(sums, [commit, order]).withColumn("kept_context", kept)
+    return numbered.join(sums, "_file").withColumn("kept_context", kept).drop("_file")
 
 
 def _one_json(text: Column) -> Column:

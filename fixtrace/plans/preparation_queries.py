@@ -54,14 +54,29 @@ def infer_schema_first_record(spark, sf):
     return rows.select("doc_id", "n_chars", "lang", F.md5("text").alias("digest"))
 
 
+@query("""SELECT doc_id::VARCHAR AS commit_id, lang || '/' || source AS repo, md5(text || chr(65533) || 'x') AS digest FROM documents
+UNION ALL SELECT NULL, '', NULL FROM documents WHERE doc_id % 10 = 0""")
+def commits_jsonl_repaired(spark, sf):
+    """Lines with a byte that is no UTF-8 in the diff, blank lines, and lines that are no JSON."""
+    path = _folder(spark, "commits")
+    line = F.to_json(F.struct(F.col("doc_id").cast("string").alias("commit_id"), F.col("lang").alias("owner"), F.col("source").alias("repo"),
+                              F.lit("").alias("commit_message"), F.col("text").alias("diff")))
+    broken = F.concat(F.encode(F.expr("left(line, length(line) - 2)"), "UTF-8"), F.unhex(F.lit("ff")), F.encode(F.lit('x"}'), "UTF-8")).cast("string")
+    docs = T.table(spark, sf, "documents").select("doc_id", line.alias("line"))
+    odd = F.when(F.col("doc_id") % 10 == 0, F.array(broken, F.lit("  "), F.lit("{no json"))).otherwise(F.array(broken))
+    docs.select(F.explode(odd).alias("value")).write.text(path)
+    return IO.read_commits_jsonl(spark, path).select("commit_id", "repo", F.md5("diff").alias("digest"))
+
+
 @query("""SELECT doc_id, md5(text) AS digest, true AS fits FROM documents""")
 def write_sharded(spark, sf):
-    """All rows come back, from files that hold no more than their share."""
-    path = _folder(spark, "shards")
-    records = IO.write_sharded(T.table(spark, sf, "documents").select("doc_id", "text"), path, 4_000_000)
-    rows = spark.read.parquet(path).select("doc_id", F.md5("text").alias("digest"), F.col("_metadata.file_name").alias("file"))
-    files = rows.groupBy("file").agg((F.count(F.lit(1)) <= records).alias("fits"))
-    return rows.join(files, "file").drop("file")
+    """All rows come back, from files that hold no more than their share, or one row."""
+    path, most = _folder(spark, "shards"), 40_000
+    IO.write_sharded(T.table(spark, sf, "documents").select("doc_id", "text"), path, most)
+    rows = spark.read.parquet(path).select("doc_id", F.md5("text").alias("digest"), F.col("_metadata.file_name").alias("file"),
+                                           F.octet_length(F.to_json(F.struct("doc_id", "text"))).alias("size"))
+    files = rows.groupBy("file").agg(((F.sum("size") <= most) | (F.count(F.lit(1)) == 1)).alias("fits"))
+    return rows.join(files, "file").drop("file", "size")
 
 
 @query("""SELECT source, count(*) AS n FROM documents GROUP BY source""")

@@ -249,6 +249,22 @@ def running_budget(spark, sf):
     return kept.select("conv_id", "turn", F.round(F.col("tokens_so_far").cast("double"), 4).alias("tokens_so_far"), F.md5("kept_context").alias("context"))
 
 
+@query("""WITH t AS (SELECT conv_id, turn, role, text, sum(length(role) * 0.3::DOUBLE + length(text) * 0.3::DOUBLE) OVER (PARTITION BY k ORDER BY o NULLS FIRST) AS sum_
+  FROM (SELECT *, CASE WHEN conv_id % 5 <> 0 THEN conv_id END AS k, CASE WHEN turn > 0 THEN conv_id * 1000 + turn END AS o FROM conversations) WHERE turn > 0)
+SELECT conv_id, turn, round(sum_, 4) AS tokens_so_far, CASE WHEN sum_ < 250 THEN md5(text) ELSE md5('') END AS context FROM t
+UNION ALL SELECT conv_id, NULL, count(*) * 0.6::DOUBLE, md5('') FROM conversations WHERE turn = 0 GROUP BY conv_id""")
+def running_budget_odd(spark, sf):
+    """A fifth of the conversations have no name; their turns are one group. Texts of first turns stand at a null place of a name of their own, with an equal row each."""
+    turns = T.table(spark, sf, "conversations")
+    named = turns.filter("turn > 0").withColumns({"k": F.when(F.col("conv_id") % 5 != 0, F.col("conv_id")), "o": F.col("conv_id") * 1000 + F.col("turn")})
+    rest = X.running_budget(named, "k", "o", "role", "text", 250).select(
+        "conv_id", "turn", F.round(F.col("tokens_so_far").cast("double"), 4).alias("tokens_so_far"), F.md5("kept_context").alias("context"))
+    twice = turns.filter("turn = 0").select("conv_id", F.lit(None).cast("bigint").alias("turn"), F.lit("x").alias("role"), F.lit(None).cast("string").alias("text"))
+    same = X.running_budget(twice.union(twice), "conv_id", "turn", "role", "text", 250)
+    most = same.groupBy("conv_id", "turn").agg(F.round(F.max("tokens_so_far").cast("double"), 4).alias("tokens_so_far"), F.md5(F.max("kept_context")).alias("context"))
+    return rest.unionByName(most)
+
+
 @query("""SELECT doc_id, md5(text || chr(65533) || 'x' || chr(65533)) AS replaced, md5(text || 'x') AS ignored FROM documents""")
 def repair_utf8(spark, sf):
     """Texts with two bytes that are no UTF-8 behind them."""

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fixtrace import constants as K
 from fixtrace import schema as S
+from fixtrace.session import run_folder, staged
 
 
 def clean_commits(raw: DataFrame, max_len: int | None = None) -> DataFrame:
@@ -23,8 +24,13 @@ def clean_commits(raw: DataFrame, max_len: int | None = None) -> DataFrame:
 
 
 def read_commits_jsonl(spark: SparkSession, path: str, max_len: int | None = None) -> DataFrame:
-    """Commits from JSON lines with declared columns."""
-    return clean_commits(spark.read.schema(S.RAW_COMMIT).json(path), max_len)
+    """Commits from JSON lines with declared columns.
+
+    Bytes that are no UTF-8 become U+FFFD before a line is parsed, so that they cost no record. Blank lines are no
+    records; a line that is no JSON object gives a record of nulls, with an empty repo.
+    """
+    lines = spark.read.text(path).select(F.make_valid_utf8("value").alias("line")).filter(F.trim("line") != "")
+    return clean_commits(lines.select(F.from_json("line", S.RAW_COMMIT).alias("row")).select("row.*"), max_len)
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
@@ -93,15 +99,33 @@ def infer_schema_first_record(spark: SparkSession, path: str) -> T.StructType:
 
 
 def write_sharded(df: DataFrame, path: str, max_bytes: int = K.SHARD_BYTES, mode: str = "overwrite") -> int:
-    """Write Parquet files of at most about ``max_bytes``; gives back the records per file.
+    """Write Parquet files whose records take at most ``max_bytes`` as JSON text; gives back the number of files.
 
-    The size of a record is that of the largest of all rows, as text, so no run of wide rows breaks the bound; files
-    come out smaller.
+    A record over half that size has a file of its own, as one over ``max_bytes`` must. The others are cut by their
+    running sum of bytes, in their order of reading, into files of half to all of it, but for the last. Each row goes to
+    exactly its file. The rows are written down with their sizes first; sums run within the pieces in which the rows come,
+    and are shifted by what the pieces before hold.
     """
-    size = df.agg(F.max(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 1
-    records = max(1, int(max_bytes / size))
-    df.write.mode(mode).option("maxRecordsPerFile", records).parquet(path)
-    return records
+    spark, half = df.sparkSession, max(1, max_bytes // 2)
+    sized = staged(df.select(F.struct("*").alias("row"), F.octet_length(F.to_json(F.struct("*"))).cast("bigint").alias("size"),
+                             F.spark_partition_id().alias("piece"), F.monotonically_increasing_id().alias("place")),
+                   run_folder(spark, "sizes"), "rows")
+    large = F.col("size") > half
+    small = F.when(large, 0).otherwise(F.col("size"))
+    totals = sized.groupBy("piece").agg(F.sum(small).alias("bytes"), F.sum(large.cast("bigint")).alias("alone"))
+    before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.select("piece", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("bytes", "alone")])
+    whole = totals.agg(F.sum("bytes"), F.sum("alone")).first()
+    shared = -(-(whole[0] or 0) // half)
+    files = shared + (whole[1] or 0)
+    inside = Window.partitionBy("piece").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = sized.select("place", "piece", large.alias("large"), F.coalesce(F.sum(small).over(inside), F.lit(0)).alias("ahead"),
+                            F.coalesce(F.sum(large.cast("bigint")).over(inside), F.lit(0)).alias("ahead_alone")).join(shifts, "piece")
+    shard = F.when(F.col("large"), shared + F.col("alone_before") + F.col("ahead_alone")).otherwise(
+        F.floor((F.col("bytes_before") + F.col("ahead")) / half))
+    placed = sized.select("place", "row").join(numbered.select("place", shard.cast("int").alias("shard")), "place")
+    placed.repartitionById(max(1, files), "shard").select("row.*").write.mode(mode).parquet(path)
+    return files
 
 
 def write_traces_by_project(spans: DataFrame, path: str) -> None:

@@ -68,11 +68,39 @@ def test_infer_schema_first_record(spark, tmp_path):
     assert kinds == {"i": T.IntegerType(), "b": T.IntegerType(), "f": T.FloatType(), "s": T.StringType(), "l": T.StringType(), "n": T.StringType()}
 
 
+def shard_sizes(spark, path):
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("file"))
+    return sorted((r["bytes"], r["n"]) for r in rows.groupBy("file").agg(
+        F.sum(F.octet_length(F.to_json(F.struct("i", "t")))).alias("bytes"), F.count("*").alias("n")).collect())
+
+
 def test_write_sharded(spark, tmp_path):
     path = str(tmp_path / "shards")
-    records = IO.write_sharded(spark.range(1000).coalesce(1), path, max_bytes=2000)
-    assert len(list((tmp_path / "shards").glob("*.parquet"))) == -(-1000 // records) > 1
-    assert spark.read.parquet(path).count() == 1000
+    rows = spark.range(1000).select(F.col("id").alias("i"), F.lit("x" * 80).alias("t")).repartition(3)
+    files = IO.write_sharded(rows, path, max_bytes=2000)
+    sizes = shard_sizes(spark, path)
+    assert len(sizes) == files and sum(n for _, n in sizes) == 1000
+    assert sizes[-1][0] <= 2000 and sum(b for b, _ in sizes) / files >= 950
+
+
+def test_one_wide_row_does_not_split_the_others(spark, tmp_path):
+    narrow = spark.range(1000).select(F.col("id").alias("i"), F.lit("short").alias("t"))
+    for wide, cap, files in ((200_000, 400_000, 2), (500_000, 400_000, 2), (10, 400_000, 1)):
+        path = str(tmp_path / f"wide-{wide}")
+        rows = narrow.union(spark.range(1).select(F.lit(-1).cast("long").alias("i"), F.lit("w" * wide).alias("t")))
+        assert IO.write_sharded(rows, path, max_bytes=cap) <= files
+        sizes = shard_sizes(spark, path)
+        assert len(sizes) <= files and sum(n for _, n in sizes) == 1001
+        assert all(b <= cap or n == 1 for b, n in sizes)
+    assert IO.write_sharded(narrow.limit(0), str(tmp_path / "none")) == 0
+    assert spark.read.parquet(str(tmp_path / "none")).count() == 0
+
+
+def test_commits_with_invalid_bytes(spark, tmp_path):
+    path = tmp_path / "c.jsonl"
+    path.write_bytes(b'{"commit_id": "1", "owner": "o", "repo": "r", "commit_message": "m", "diff": "a\xffb\xc3"}\n\n{"commit_id": "2"}\nno json\n')
+    rows = sorted((str(r["commit_id"]), r["repo"], str(r["diff"])) for r in IO.read_commits_jsonl(spark, str(path)).collect())
+    assert rows == [("1", "o/r", "a\ufffdb\ufffd"), ("2", "", "None"), ("None", "", "None")]
 
 
 def test_traces_by_project(spark, tmp_path):

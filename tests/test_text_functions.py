@@ -147,3 +147,13 @@ def test_cosine(spark):
     row = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0], [0.0, 0.0])], "a array<double>, b array<double>, z array<double>")
     found = row.select(V.cosine("a", "b"), V.cosine("a", "z")).first()
     assert found[0] == pytest.approx(2 ** -0.5) and found[1] == 0.0
+
+
+def test_running_budget_keeps_every_row_once(spark):
+    """Null commits, null and equal places, equal rows."""
+    rows = [("c", 1, "p" * 10, "x" * 10), ("c", 1, "p" * 10, "x" * 10), (None, 1, "p" * 10, "y"), (None, None, None, None), ("d", None, "p", "z"), ("c", 2, "p", "late")]
+    files = spark.createDataFrame(rows, "commit string, place int, patch string, context string")
+    found = X.running_budget(files, "commit", "place", "patch", "context", 12).collect()
+    assert found[0].asDict().keys() == {"commit", "place", "patch", "context", "tokens_so_far", "kept_context"}
+    assert sorted((str(r["commit"]), str(r["place"]), round(r["tokens_so_far"], 3), r["kept_context"]) for r in found) == [
+        ("None", "1", 3.3, "y"), ("None", "None", 0.0, ""), ("c", "1", 6.0, "x" * 10), ("c", "1", 12.0, ""), ("c", "2", 13.5, ""), ("d", "None", 0.6, "z")]
