@@ -6,11 +6,13 @@ hits move. Fixed texts come as a table of any length.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fixtrace import constants as K
 from fixtrace.functions.text import explode_once
@@ -19,6 +21,8 @@ from fixtrace.operators.ordering import join_small, top_k
 BATCH = 256
 #: Lengths of the pieces of texts, longest first.
 PIECES = (16, 8, 4)
+#: Characters of fixed texts that are sent to all tasks as one automaton, of some 50 bytes a character.
+AUTOMATON_CHARACTERS = 1 << 20
 
 
 def _matches(corpus: DataFrame, queries: list[tuple], test: Callable[[Column, int], Column]) -> DataFrame:
@@ -95,14 +99,64 @@ def _holding(lines: DataFrame, queries: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def _automaton(texts: list[str]):
+    """Automaton over fixed texts; a process builds it once for a list of texts."""
+    import hashlib
+
+    import ahocorasick  # a module of the process itself, so that what hangs on it outlives a task
+
+    held = ahocorasick.__dict__.setdefault("_fixtrace_automata", {})
+    key = hashlib.blake2b("\0".join(texts).encode("utf-8", "surrogatepass")).digest()
+    if key not in held:
+        held.clear()
+        made = ahocorasick.Automaton()
+        for number, text in enumerate(texts):
+            made.add_word(text, number)
+        made.make_automaton()
+        held[key] = made
+    return held[key]
+
+
+def _met(lines: DataFrame, texts: list[str]) -> DataFrame:
+    """(path, line_no, line, query) for each text that a line holds, in one pass over the lines."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(texts)
+        for batch in batches:
+            rows, found = [], []
+            for row, line in enumerate(batch.column(2).to_pylist()):
+                if line:
+                    own = {number for _, number in automaton.iter(line)}
+                    rows += [row] * len(own)
+                    found += own
+            if rows:
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, pa.array([texts[k] for k in found], pa.string())],
+                                                 names=["path", "line_no", "line", "query"])
+
+    kept = lines.select("path", "line_no", "line")
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("query", T.StringType())]))
+
+
+def _held(lines: DataFrame, queries: DataFrame) -> DataFrame:
+    """Hits of a table of fixed texts: by one automaton while all texts together have at most AUTOMATON_CHARACTERS, which
+    every task then holds, else by pieces that are joined. The rows are the same."""
+    texts = queries.select("query").filter("query <> ''").distinct()
+    if not 0 < (texts.agg(F.sum(F.length("query") + 1)).first()[0] or 0) <= AUTOMATON_CHARACTERS:
+        return _holding(lines, queries)
+    met = _met(lines, sorted(r[0] for r in texts.collect()))
+    asked = queries.select("query", F.col("path").alias("only"))
+    return (met.join(asked, "query").filter(F.col("only").isNull() | (F.col("only") == F.col("path")))
+            .select("query", _hit()))
+
+
 def code_search(lines: DataFrame, queries: DataFrame, cap: int | None = None) -> DataFrame:
     """Lines holding a fixed text (case counts), each search optionally in one file only.
 
-    ``lines`` has path, line_no, line; ``queries`` has query (not empty) and path (null for all files).
+    ``lines`` has path, line_no, line; ``queries`` has query (not empty) and path (null for all files). Lines are read
+    once, by an automaton over all texts while these are few, else cut into pieces that meet those of the texts.
     Answers read ``path:line:content``; no hit gives one line saying so, as do more than ``cap`` hits if there is a cap.
     """
     queries = queries.select("query", "path").distinct()
-    hits = _holding(lines, queries)
+    hits = _held(lines, queries)
     return _answers(hits, queries.select("query").distinct(), cap, K.SEARCH_TOO_MANY, K.SEARCH_NONE)
 
 

@@ -8,13 +8,14 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from fixtrace.functions.text import json_in_text
+from fixtrace.operators import line_index as X
 from fixtrace.operators import nested as N
 from fixtrace.operators import search as Q
 from fixtrace.operators import traces as R
 from fixtrace.operators import verdicts as V
 from fixtrace.plans import standins as T
 from fixtrace.plans.registry import query
-from fixtrace.session import reliable, shared_folder, spread
+from fixtrace.session import reliable, run_folder, shared_folder, spread
 from fixtrace.sources import files as IO
 from fixtrace.streaming import feeds as S
 
@@ -57,6 +58,13 @@ def code_search_joined(spark, sf):
     return Q.code_search(T.code_lines(spark, sf), _asked(spark, sf))
 
 
+@query("WITH " + CODE_SEARCH)
+def code_search_indexed(spark, sf):
+    """The same searches over a stored index of the lines."""
+    index = X.build_line_index(T.code_lines(spark, sf), run_folder(spark, "line_index"))
+    return X.indexed_search(index, _asked(spark, sf), cap=100)
+
+
 PATTERNS = [r"^[A-Z][a-z]+ [a-z]+ing ", r"[0-9]{3}-[0-9]{4}", r"[a-f0-9]{40}", r"@[a-z]+[.](com|org)", r"^(The|Le|El|Der) ", r"nowhere.*to.*be.*found"]
 
 
@@ -67,6 +75,17 @@ def grep(spark, sf):
     return Q.grep(T.code_lines(spark, sf), [(pattern, None) for pattern in PATTERNS], cap=100)
 
 
+INDEXED_PATTERNS = PATTERNS + [r"(copyright|license|contact).*(reserved|under the)", r"[A-Z]\w+ the [a-z]+ing", r"phone: ?[0-9]+"]
+
+
+@query("WITH " + SEARCHED.format(
+    asked="SELECT unnest([" + ", ".join(f"'{p}'" for p in INDEXED_PATTERNS) + "]) AS query", test="regexp_matches(line, query)", cap=1000000000, many=""))
+def grep_indexed(spark, sf):
+    """All hits of expressions with and without texts that they need, over a stored index."""
+    index = X.build_line_index(T.code_lines(spark, sf), run_folder(spark, "line_index"))
+    return X.indexed_grep(index, [(pattern, None) for pattern in INDEXED_PATTERNS])
+
+
 @query(f"""WITH {T.LINES_SQL}, h AS (SELECT path || ':' || line_no || ':' || line AS t FROM code_lines)
 SELECT string_split(t, ':')[1] AS file, string_split(t, ':')[2] AS line, md5(substr(t, length(string_split(t, ':')[1]) + length(string_split(t, ':')[2]) + 3)) AS content FROM h""")
 def parse_hits(spark, sf):

@@ -2,11 +2,15 @@
 
 import fnmatch
 import json
+import random
+import re
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from fixtrace import session
+from fixtrace.operators import line_index as X
 from fixtrace.operators import nested as N
 from fixtrace.operators import search as Q
 from fixtrace.operators import traces as R
@@ -50,6 +54,79 @@ def test_basic_expressions(lines, pattern, hits):
     assert [int(a.split(":")[1]) for a in found if a.startswith("a.c")] == hits
 
 
+def test_both_ways_to_search_find_the_same(spark, monkeypatch):
+    pick = random.Random(1)
+    rows = [(f"f{k % 7}", k, "".join(pick.choices("abé .", k=pick.randint(0, 40)))) for k in range(300)]
+    lines = spark.createDataFrame(rows, "path string, line_no long, line string")
+    texts = [("".join(pick.choices("abé .", k=pick.choice([1, 2, 5, 9]))), pick.choice([None, "f1", "f2"])) for _ in range(60)]
+    asked = spark.createDataFrame(texts, "query string, path string")
+    wanted = {q: [] for q, _ in texts}
+    for q, only in set(texts):
+        wanted[q] += [f"{p}:{n}:{line}" for p, n, line in rows if q in line and only in (None, p)]
+    wanted = {q: sorted(found) or [f"No matches found for '{q}'."] for q, found in wanted.items()}
+    assert {q: sorted(a) for q, a in answers(Q.code_search(lines, asked)).items()} == wanted
+    monkeypatch.setattr(Q, "AUTOMATON_CHARACTERS", 10)
+    assert {q: sorted(a) for q, a in answers(Q.code_search(lines, asked)).items()} == wanted
+    index = X.build_line_index(lines.repartition(3), session.run_folder(spark, "index"))
+    assert {q: sorted(a) for q, a in answers(X.indexed_search(index, asked)).items()} == wanted
+
+
+def test_index_of_odd_lines(spark):
+    rows = [("a", 1, None), (None, 2, "hello world"), ("b", None, "hello world"), ("c", 3, ""), ("d", 4, "hello world"), ("d", 4, "hello world"), ("e", 5, "x" * 100_000 + "needle")]
+    lines = spark.createDataFrame(rows, "path string, line_no long, line string")
+    index = X.build_line_index(lines, session.run_folder(spark, "index"))
+    asked = spark.createDataFrame([("hello", None), ("xneedle", None), ("hello\nworld", None), ("nothing here", None), ("", None)], "query string, path string")
+    found = answers(X.indexed_search(index, asked))
+    assert found["hello"] == ["d:4:hello world"] * 2 and len(found["xneedle"]) == 1 and set(found) == {"hello", "xneedle", "hello\nworld", "nothing here"}
+    assert found["nothing here"] == ["No matches found for 'nothing here'."]
+    empty = X.build_line_index(lines.limit(0), session.run_folder(spark, "index"))
+    assert answers(X.indexed_search(empty, asked))["hello"] == ["No matches found for 'hello'."]
+    assert X.indexed_grep(index, []).count() == 0
+
+
+def test_selective_searches_read_few_folders(spark):
+    """Only the folders of blocks that hold all pieces are read."""
+    lines = spark.range(4000).select(F.concat(F.lit("f"), (F.col("id") / 100).cast("int")).alias("path"), F.col("id").alias("line_no"),
+                                     F.md5(F.col("id").cast("string")).alias("line"))
+    index = X.build_line_index(lines, session.run_folder(spark, "index"))
+    wanted = lines.filter("id = 1234").first().line
+    blocks = X._candidates(index, spark.createDataFrame([(wanted,)], "text string"))
+    near = X._lines_of(index, blocks)
+    assert blocks.count() == 1 and near.select("block").distinct().count() == 1 and near.count() <= X.BLOCK_LINES
+    assert re.search(r"PartitionFilters: \[[^\]]*part#", near._jdf.queryExecution().toString())
+
+
+@pytest.mark.parametrize("pattern, ways", [
+    ("hello", [["hello"]]), ("hell", None), ("hello.*world", [["hello", "world"]]), ("hello|world", [["hello"], ["world"]]), ("hello|x", None),
+    ("(hello|worlds)! yes", [["hello! yes"], ["worlds! yes"]]), ("hellos?there", [["hello", "there"]]), ("hellos+there", [["hellos", "there"]]),
+    ("hello(s|t)?there", [["hello", "there"]]), (r"a\.b\(c\)d", [["a.b(c)d"]]), (r"hello\d+world", [["hello", "world"]]), ("(?i)hello", None), (r"\Qhello\E", None),
+    ("hel{2}o there", [["o there"]]), ("[abc]hello[^]]x", [["hello"]]), ("^hello$", [["hello"]]), ("(a(b))hello", None), (r"hello\x41", None), ("", None)])
+def test_texts_that_expressions_need(pattern, ways):
+    assert X.required_texts(pattern) == ways
+
+
+def test_lines_that_match_hold_what_is_needed():
+    pick = random.Random(6)
+    atoms = ["hello", "ab", "c", ".", "[abc]", r"\d", "(hello|worlds)", "(ab|c)", "x", " "]
+    for _ in range(300):
+        pattern = "".join(pick.choice(atoms) + pick.choice(["", "", "", "*", "+", "?", "{2}", "{0,2}", "{1,}"]) for _ in range(pick.randint(1, 5)))
+        pattern += pick.choice(["", "", "|hello ab"])
+        ways = X.required_texts(pattern)
+        for _ in range(100):
+            line = "".join(pick.choice(["hello", "worlds", "ab", "c", "x", " ", "1", "a", "b"]) for _ in range(pick.randint(0, 9)))
+            if ways and re.search(pattern, line):
+                assert any(all(text in line for text in way) for way in ways), (pattern, line, ways)
+
+
+def test_indexed_expressions_find_what_a_scan_finds(spark):
+    pick = random.Random(8)
+    rows = [(f"f{k % 5}", k, "".join(pick.choice(["hello", "worlds", "ab", "c", "x", " ", "1"]) for _ in range(pick.randint(0, 9)))) for k in range(300)]
+    lines = spark.createDataFrame(rows, "path string, line_no long, line string")
+    index = X.build_line_index(lines, session.run_folder(spark, "index"))
+    asked = [("hello.*worlds", None), ("(hello|worlds)x", "f1"), ("hello ab|worldsc", None), ("ab+c", None), ("hello\\d", None), ("nowhere to be", None)]
+    assert {q: sorted(a) for q, a in answers(X.indexed_grep(index, asked)).items()} == {q: sorted(a) for q, a in answers(Q.grep(lines, asked)).items()}
+
+
 def test_search_in_batches(spark, lines, monkeypatch):
     monkeypatch.setattr(Q, "BATCH", 2)
     asked = [(f"many {i}", None) for i in range(101, 106)]
