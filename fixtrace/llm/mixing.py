@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from fixtrace.functions.hashing import shuffle_key
 from fixtrace.session import run_folder, staged
 
-#: Words in a block of one source, about: a source is cut into blocks whose sizes differ by one word at most.
+#: Words in a block of one source, at most: a source is cut into blocks whose sizes differ by one word at most.
 BLOCK_WORDS = 128
+#: Blocks that make up the target of a source, at least, if it has so many words: those of small sources are shorter.
+FEWEST_SLOTS = 50
 #: Slots that are ranked together in one task, and documents of a source that are placed together in one.
 STRETCH = 1 << 12
 #: Sources up to which their parts of the ring, five rows each at most, are broadcast.
@@ -52,17 +54,23 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
             .select("source", "source_size", F.least("cap", F.coalesce(F.col("weight") * F.col("level"), "cap")).alias("target")))
 
 
-def _blocks(size: Column, block_words: int) -> tuple[Column, Column, Column]:
-    """Number of blocks of a source, their smaller size, and how many of the first ones have a word more."""
-    number = F.ceil(size / block_words).cast("bigint")
-    return number, F.floor(size / number).cast("bigint"), F.pmod(size, number)
+def _blocks(block_words: int) -> Column:
+    """Number of blocks of a source, from source_size and target."""
+    fine = F.ceil(F.lit(float(FEWEST_SLOTS)) * F.col("source_size") / F.col("target")).cast("bigint")
+    return F.greatest(F.ceil(F.col("source_size") / block_words).cast("bigint"), F.least("source_size", F.when(F.col("target") > 0, fine)))
+
+
+def _times(a: Column, b: Column) -> Column:
+    """Product of two numbers that may pass 64 bits."""
+    return a.cast("decimal(19,0)") * b.cast("decimal(19,0)")
 
 
 def shuffled_blocks(docs: DataFrame, sizes: DataFrame, folder: str, block_words: int, seed: int) -> DataFrame:
     """Pieces of documents in equal blocks: (doc_id, source, size, block, words).
 
-    ``docs`` has doc_id, source, size; ``sizes`` has source and source_size. The documents of a source stand in
-    the order of the md5 of seed and id, one behind the other, and the line is cut into equal blocks. Starts
+    ``docs`` has doc_id, source, size; ``sizes`` has source, source_size and target. The documents of a source stand in
+    the order of the md5 of seed and id, one behind the other, and the line is cut into equal blocks; those that have
+    a word more are spread evenly, so any run of blocks holds its share of words to a word. Starts
     come from sums per stretch of md5 values and then within a stretch, so no task sees a whole source. Empty
     documents have no piece.
     """
@@ -78,22 +86,19 @@ def shuffled_blocks(docs: DataFrame, sizes: DataFrame, folder: str, block_words:
     offsets = sums.select(F.col("source").alias("of"), F.col("stretch").alias("at"), (F.sum("words").over(
         W.partitionBy("source").orderBy("stretch").rowsBetween(W.unboundedPreceding, 0)) - F.col("words")).alias("offset"))
     inner = W.partitionBy("source", "stretch").orderBy("order", "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    number, small, longer = _blocks(F.col("source_size"), block_words)
-    total = sizes.filter("source_size > 0").select(F.col("source").alias("for"), small.alias("small"), longer.alias("longer"))
+    total = sizes.filter("source_size > 0").select(F.col("source").alias("for"), "source_size", _blocks(block_words).alias("blocks"))
     lines = (placed.withColumn("end", F.sum("size").over(inner))
              .join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("stretch") == F.col("at")))
              .join(total, F.col("source").eqNullSafe(F.col("for")))
-             .select("doc_id", "source", "size", "small", "longer", (F.col("end") - F.col("size") + F.col("offset")).alias("start"),
+             .select("doc_id", "source", "size", "source_size", "blocks", (F.col("end") - F.col("size") + F.col("offset")).alias("start"),
                      (F.col("end") + F.col("offset")).alias("end")))
 
     def block_of(word):
-        """Blocks of one word more come first; integer division, as products would overflow."""
-        head = F.col("longer") * (F.col("small") + 1)
-        return F.when(word < head, F.call_function("div", word, F.col("small") + 1)).otherwise(
-            F.col("longer") + F.call_function("div", word - head, F.col("small")))
+        """The last block that begins at the word or before it."""
+        return F.call_function("div", _times(word + 1, F.col("blocks")) - 1, F.col("source_size").cast("decimal(19,0)"))
 
     def begin(block):
-        return block * F.col("small") + F.least(block, F.col("longer"))
+        return F.call_function("div", _times(block, F.col("source_size")), F.col("blocks").cast("decimal(19,0)"))
 
     return (lines.withColumn("block", F.explode(F.sequence(block_of(F.col("start")), block_of(F.col("end") - 1))))
             .select("doc_id", "source", "size", "block",
@@ -112,7 +117,7 @@ def schedule(wanted: DataFrame, folder: str, block_words: int) -> DataFrame:
     are ranked within stretches and moved by the sums of the stretches before, so no task sees all slots of a source.
     """
     spark = wanted.sparkSession
-    number, _, _ = _blocks(F.col("source_size"), block_words)
+    number = _blocks(block_words)
     needs = (wanted.filter("source_size > 0").select("source", number.alias("blocks"), F.round(
         F.col("target") * number / F.col("source_size")).cast("bigint").alias("need")).filter("need > 0"))
     upto = F.sum("need").over(W.orderBy(F.col("source").isNull(), "source").rowsBetween(W.unboundedPreceding, 0))
@@ -170,8 +175,8 @@ def mix_sources(docs: DataFrame, size: Column | str, doc_id: str = "doc_id", sou
     the words of documents in each block; joined on (source, block) they spell the mix out.
 
     A document occurs at most as often as its source is gone through, never more than ``most`` times its size.
-    The words taken from a source differ from its target by half a block and the word by which blocks differ, however few
-    slots it needs. A source that is null is a source of its own, behind all others. Documents without words
+    The words taken from a source differ from its target by half a block and a word, where a block is at most a fiftieth of
+    the target or a word: by 1 % and two words. A source that is null is a source of its own, behind all others. Documents without words
     take part in nothing and give 0. Rows that repeat a doc_id are taken as one document of their joint size, and
     each gets the part that its size has in it, rounded down. The result depends on ids, sources and sizes alone. An
     empty table gives empty results. Other columns are not read.

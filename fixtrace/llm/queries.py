@@ -127,8 +127,9 @@ f AS (SELECT *, 1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(
     sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS open_ FROM w
     WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 lv AS (SELECT *, max(CASE WHEN cap / weight >= rest / open_ THEN rest / open_ END) OVER () AS level FROM f),
-t AS (SELECT source, source_size, least(cap, coalesce(weight * level, cap)) AS target,
-    ceil(source_size / 128.0::DOUBLE)::BIGINT AS blocks FROM lv),
+o AS (SELECT source, source_size, least(cap, coalesce(weight * level, cap)) AS target FROM lv),
+t AS (SELECT *, greatest(ceil(source_size / 128.0::DOUBLE)::BIGINT,
+    least(source_size, CASE WHEN target > 0 THEN ceil(50.0::DOUBLE * source_size / target)::BIGINT END)) AS blocks FROM o),
 n AS (SELECT source, blocks, round(target * blocks / source_size)::BIGINT AS need FROM t WHERE source_size > 0),
 u AS (SELECT *, sum(need) OVER (ORDER BY source NULLS LAST) AS upto, sum(need) OVER () AS total FROM n WHERE need > 0),
 p AS (SELECT *, floor((upto - need)::DOUBLE / total * 4294967296.0::DOUBLE)::BIGINT AS low,
@@ -140,8 +141,8 @@ k AS (SELECT source, blocks, need, row_number() OVER (PARTITION BY source ORDER
 b AS (SELECT source, k % blocks AS block, count(*) AS times FROM k WHERE k < need GROUP BY ALL),
 line AS (SELECT doc_id, source, size, source_size, blocks, sum(size) OVER (PARTITION BY source ORDER BY md5('0|' || doc_id), doc_id
     ROWS UNBOUNDED PRECEDING) AS fin FROM own JOIN t USING (source) WHERE size > 0),
-cut AS (SELECT source, x.range AS block, x.range * (source_size // blocks) + least(x.range, source_size % blocks) AS lo,
-    (x.range + 1) * (source_size // blocks) + least(x.range + 1, source_size % blocks) AS hi
+cut AS (SELECT source, x.range AS block, ((x.range::HUGEINT * source_size) // blocks)::BIGINT AS lo,
+    (((x.range + 1)::HUGEINT * source_size) // blocks)::BIGINT AS hi
     FROM t, LATERAL (SELECT unnest(range(blocks)) AS range) x),
 g AS (SELECT doc_id, sum((least(fin, hi) - greatest(fin - size, lo)) * times) AS taken
     FROM line JOIN cut ON line.source = cut.source AND lo < fin AND hi > fin - size
