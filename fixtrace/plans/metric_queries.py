@@ -168,6 +168,16 @@ def best_checkpoint(spark, sf):
     return M.best_checkpoint(T.table(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("epoch"), F.col("value").alias("loss")))
 
 
+@query("""WITH s AS (SELECT user_id AS run, list({'epoch': event_id, 'recall': value, 'mrr': (event_id * 37 % 101) / 101.0::DOUBLE} ORDER BY event_id) AS steps FROM events GROUP BY user_id),
+b AS (SELECT run, list_reduce(list_prepend({'epoch': NULL::BIGINT, 'recall': 0.0::DOUBLE, 'mrr': 0.0::DOUBLE}, steps),
+  lambda best, s: CASE WHEN s.recall > best.recall AND s.mrr > best.mrr THEN s ELSE best END) AS best FROM s)
+SELECT run, best.epoch AS epoch, best.recall AS recall, best.mrr AS mrr FROM b""")
+def best_checkpoint_by_metrics(spark, sf):
+    log = T.table(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("epoch"), F.col("value").alias("recall"),
+                                              (F.col("event_id") * 37 % 101 / 101.0).alias("mrr"))
+    return M.best_checkpoint_by_metrics(log)
+
+
 #: Few rounding errors are left at the optimum: there the mean probability is the share of positives.
 FITTED = {"maxIter": 300, "tol": 1e-12, "regParam": 1e-4}
 

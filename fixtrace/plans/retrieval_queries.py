@@ -104,6 +104,16 @@ def hybrid_retrieve(spark, sf):
     return top.select("cve", "repo", "commit_id", "label", "fused_f1", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(f"""WITH {HYBRID}, {T.ADVISORY_SQL}, {T.COMMITS_SQL}
+SELECT cve, commit_id, label, place AS "rank", md5("desc") AS "desc", md5(diff) AS diff FROM top JOIN advisory USING (cve) JOIN
+(SELECT commit_id, diff FROM commits) USING (commit_id)""")
+def hybrid_retrieve_texts(spark, sf):
+    """The best candidates with their texts, which come from two tables of commits."""
+    commits = T.commits(spark, sf).select("doc_id", "commit_id", "repo", "diff")
+    top = S.hybrid_retrieve_texts(*_scores(spark, sf), T.advisory(spark, sf), commits.filter("doc_id % 3 = 0"), commits.filter("doc_id % 3 <> 0"))
+    return top.select("cve", "commit_id", "label", F.col("rank").cast("bigint").alias("rank"), F.md5("desc").alias("desc"), F.md5("diff").alias("diff"))
+
+
 @query(f"""WITH {HYBRID}, h AS (SELECT cve, max(label) AS hit FROM top GROUP BY cve)
 SELECT sum(hit)::BIGINT AS hits, count(*) AS advisories, avg(hit) AS ratio FROM h""")
 def hybrid_hit_rate(spark, sf):
