@@ -108,6 +108,18 @@ def file_search(spark, sf):
     return Q.file_search(T.table(spark, sf, "pages").select(F.col("url").alias("path")), FILE_QUERIES, cap=50)
 
 
+@query("""WITH p AS (SELECT url AS path FROM pages),
+q AS (SELECT unnest(['*.example.com/en/*', 'https://m.*', '*/fr/8??', '*/[de]s/*[0-9]5', 'EXAMPLE.NET/DE', 'nowhere-to-be-found', 'http']) AS query),
+hits AS (SELECT query, path AS answer FROM p JOIN q ON CASE WHEN regexp_matches(query, '[*?\\[\\]]')
+  THEN path GLOB query ELSE contains(lower(path), lower(query)) END),
+sizes AS (SELECT query, count(answer) AS n FROM q LEFT JOIN hits USING (query) GROUP BY query)
+SELECT query, answer FROM hits
+UNION ALL SELECT query, 'No files found matching ''' || query || '''.' FROM sizes WHERE n = 0""".replace("\\\\", "\\"))
+def file_search_all(spark, sf):
+    """All hits of every search."""
+    return Q.file_search(T.table(spark, sf, "pages").select(F.col("url").alias("path")), FILE_QUERIES)
+
+
 @query(f"""WITH {T.LINES_SQL}, n AS (SELECT path, max(line_no) AS n FROM code_lines GROUP BY path)
 SELECT path, line_no, line, 'Viewing lines 11 to ' || least(n, 20) || ' of ' || n || ':' AS header FROM code_lines JOIN n USING (path) WHERE n >= 11 AND line_no BETWEEN 11 AND 20
 UNION ALL SELECT path, -1, '', 'Invalid line number. Must be between 1 and ' || n || '.' FROM n WHERE n < 11""")
