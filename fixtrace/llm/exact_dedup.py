@@ -9,8 +9,17 @@ from fixtrace.session import run_folder, staged
 
 #: Distinct keys that a bucket of the index may hold before it is split.
 BUCKET_KEYS = 4096
-#: Bits by which the directory grows in one round, at most.
-GROWTH = 8
+#: Rows of a key from which its copies are merged before they are sent to the owner of its bucket.
+HOT_ROWS = 64
+#: Bits of a filter over keys, a power of two; this many take 16 MB, whatever the number of keys.
+FILTER_BITS = 1 << 27
+#: Bits in a row of a filter, as ``bitmap_construct_agg`` makes them.
+ROW_BITS = 32_768
+
+
+def _key(text: Column | str) -> Column:
+    """The 64-bit key of a text."""
+    return F.xxhash64(text)
 
 
 def _prefix(key: Column | str, depth: int) -> Column:
@@ -46,36 +55,64 @@ def directory(keys: DataFrame, folder: str, capacity: int = BUCKET_KEYS) -> tupl
     return done, depth
 
 
+def key_filter(keys: DataFrame) -> DataFrame:
+    """(filter_row, bits): a bitmap over the low bits of ``key``, at most ``FILTER_BITS / ROW_BITS`` rows of 4 KB."""
+    bit = F.col("key").bitwiseAND(FILTER_BITS - 1)
+    return (keys.select(F.floor(bit / ROW_BITS).alias("filter_row"), (bit % ROW_BITS).alias("at"))
+            .repartition("filter_row").groupBy("filter_row").agg(F.bitmap_construct_agg("at").alias("bits")))
+
+
+def marked(rows: DataFrame, keys: DataFrame, flag: str) -> DataFrame:
+    """Add the boolean ``flag``: true for rows whose key is among ``keys``, and for few others; never false for those.
+
+    The broadcast is the filter, whose size is fixed; a fuller one marks more of the others.
+    """
+    bit = F.col("key").bitwiseAND(FILTER_BITS - 1)
+    at = bit % ROW_BITS
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return (rows.withColumn("filter_row", F.floor(bit / ROW_BITS)).join(F.broadcast(key_filter(keys)), "filter_row", "left")
+            .withColumn(flag, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("filter_row", "bits"))
+
+
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = BUCKET_KEYS) -> DataFrame:
     """Groups of identical texts: doc_id, keep_id, group_size, kept, text_sha256.
 
-    A row's 64-bit key leads through the directory to a bucket, a key range that one owner task processes; the
-    index is written to the shared folder, each bucket in one file. Within a bucket the texts of one key form
-    a chain: they are grouped by their bytes, so that different texts with equal keys stay apart. Of equal texts the
-    row with the largest doc_id stays.
+    A row's 64-bit key leads through the directory to a bucket, a key range that one owner task processes. Texts whose
+    key occurs once are equal to nothing and stay where they are. The others are sent to the owner of their bucket,
+    which chains the entries of a key and compares them by their bytes, so that different texts with equal keys stay
+    apart. The index is written to the shared folder, each bucket in one file, and each row looks up its entry in its
+    bucket. Of equal texts the row with the largest doc_id stays.
 
-    Each task merges its own copies before the shuffle, so a text that is a third of all rows arrives once per
-    task; after it, only keys and digests move.
+    Copies of a key with more than ``HOT_ROWS`` rows are merged in their tasks first, so a text that is a third of
+    all rows reaches its owner as one entry. Which keys repeat, and which are hot, is told to the scan of the
+    texts by filters of fixed size.
 
     A null text counts as empty. Rows with a null doc_id are grouped like others and never stay beside rows with
     an id; where all ids of a group are null, keep_id is null and none is marked kept except a group of one row.
     Rows that repeat a doc_id count each, and share its fate. An empty table gives an empty result. Other
     columns are not read.
     """
-    spark = docs.sparkSession
-    folder = run_folder(spark, "exact")
+    folder = run_folder(docs.sparkSession, "exact")
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    own = own.withColumn("key", F.xxhash64("text"))
+    own = own.withColumn("key", _key("text"))
     rows = staged(own.select("doc_id", "key", F.sha2("text", 256).alias("text_sha256")), folder, "rows")
-    slots, depth = directory(staged(rows.select("key").distinct(), folder, "keys"), folder, capacity)
-
-    # Texts chained under their key; the hash aggregate compares them byte by byte.
-    entries = (own.groupBy("key", "text").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
-               .select("key", F.sha2("text", 256).alias("text_sha256"), "group_size", "keep_id"))
-    index = (entries.withColumn("slot", _prefix("key", depth)).join(slots, "slot")
-             .select("bucket", "key", "text_sha256", "group_size", "keep_id"))
-    index = staged(index.repartition("bucket").sortWithinPartitions("bucket", "key", "keep_id"), folder, "index")
-
-    found = rows.join(index.select("key", "text_sha256", "group_size", "keep_id"), ["key", "text_sha256"])
+    keys = staged(rows.groupBy("key").agg(F.count("*").alias("n")), folder, "keys")
+    slots, depth = directory(keys, folder, capacity)
+    slots = staged(slots, folder, "directory")
+    repeated, hot = keys.filter("n > 1"), keys.filter(F.col("n") > HOT_ROWS)
+
+    def owned(entries: DataFrame) -> DataFrame:
+        return entries.withColumn("slot", _prefix("key", depth)).join(slots, "slot").drop("slot")
+
+    met = marked(marked(own, repeated, "repeats").filter("repeats"), hot, "hot")
+    size, keep = F.lit(1).cast("bigint").alias("group_size"), F.col("doc_id").alias("keep_id")
+    merged = met.filter("hot").groupBy("key", "text").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
+    sent = owned(met.filter("NOT hot").select("key", "text", size, keep).union(merged)).repartition("bucket")
+    chains = (sent.groupBy("bucket", "key", "text").agg(F.sum("group_size").alias("group_size"), F.max("keep_id").alias("keep_id"))
+              .select("bucket", "key", F.sha2("text", 256).alias("text_sha256"), "group_size", "keep_id"))
+    lone = owned(marked(rows, repeated, "repeats").filter("NOT repeats")).select("bucket", "key", "text_sha256", size, keep)
+    index = staged(chains.union(lone).repartition("bucket").sortWithinPartitions("bucket", "key", "keep_id"), folder, "index")
+
+    found = owned(rows).join(index, ["bucket", "key", "text_sha256"])
     return found.select("doc_id", "keep_id", "group_size",
                         F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("group_size") == 1).alias("kept"), "text_sha256")

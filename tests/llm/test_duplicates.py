@@ -1,12 +1,14 @@
 """Near and exact duplicates against brute force, with nulls, empties, repeats and clashing columns."""
 
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from fixtrace.llm import exact_dedup
 from fixtrace.llm.components import components
-from fixtrace.llm.exact_dedup import directory, exact_duplicates
+from fixtrace.llm.exact_dedup import directory, exact_duplicates, marked
 from fixtrace.llm.near_dedup import bands_needed, near_duplicates
 from fixtrace.llm.shingles import PIECE_BYTES, shingle_set, word_hashes
 from fixtrace.session import run_folder
@@ -132,6 +134,32 @@ def test_exact_duplicates_of_odd_rows(spark):
     assert exact_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("key, hot_rows, filter_bits", [
+    (lambda c: F.xxhash64(c), 64, 1 << 27), (lambda c: F.xxhash64(c), 1, 1 << 15),
+    (lambda c: F.lit(7).cast("bigint"), 64, 1 << 16), (lambda c: F.pmod(F.xxhash64(c), F.lit(3)) - 1, 2, 1 << 16)])
+def test_exact_duplicates_chain_colliding_keys(spark, monkeypatch, key, hot_rows, filter_bits):
+    """Whatever the keys, hot or not and however full the filter: texts are told apart by their bytes."""
+    monkeypatch.setattr(exact_dedup, "_key", key)
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(exact_dedup, "FILTER_BITS", filter_bits)
+    rows = [(i, f"text {i % 40}" if i % 3 else "hot") for i in range(300)] + [(1000 + i, f"lone {i}") for i in range(50)]
+    groups = {}
+    for i, text in rows:
+        groups.setdefault(text, []).append(i)
+    expected = sorted((i, max(groups[t]), len(groups[t]), i == max(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows)
+    found = exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), capacity=8)
+    assert sorted(tuple(r) for r in found.collect()) == expected
+
+
+def test_key_filter_misses_no_key(spark):
+    keys = spark.range(1000).select(F.xxhash64("id").alias("key"))
+    rows = spark.range(5000).select("id", F.xxhash64("id").alias("key"))
+    found = marked(rows, keys, "met").groupBy((F.col("id") < 1000).alias("own"), "met").count().collect()
+    counts = {(r.own, r.met): r["count"] for r in found}
+    assert counts[True, True] == 1000 and (True, False) not in counts and counts.get((False, True), 0) < 10
+    assert marked(rows, keys.limit(0), "met").filter("met").isEmpty()
+
+
 @pytest.mark.parametrize("count, capacity", [(0, 4), (1, 4), (1000, 16), (1000, 1)])
 def test_directory_leads_each_key_to_one_bucket(spark, count, capacity):
     keys = spark.range(count).select(F.xxhash64("id").alias("key"))
