@@ -11,10 +11,8 @@ from fixtrace.session import run_folder, staged
 BUCKET_KEYS = 4096
 #: Rows of a key from which its copies are merged before they are sent to the owner of its bucket.
 HOT_ROWS = 64
-#: Bits of a filter over keys, a power of two; this many take 16 MB, whatever the number of keys.
-FILTER_BITS = 1 << 27
-#: Bits in a row of a filter, as ``bitmap_construct_agg`` makes them.
-ROW_BITS = 32_768
+#: Bits of the filter over keys, a power of two. Its words are at most 2^18 rows, some 12 MB, whatever the number of keys.
+FILTER_BITS = 1 << 24
 
 
 def _key(text: Column | str) -> Column:
@@ -55,23 +53,28 @@ def directory(keys: DataFrame, folder: str, capacity: int = BUCKET_KEYS) -> tupl
     return done, depth
 
 
-def key_filter(keys: DataFrame) -> DataFrame:
-    """(filter_row, bits): a bitmap over the low bits of ``key``, at most ``FILTER_BITS / ROW_BITS`` rows of 4 KB."""
+def _place() -> tuple[Column, Column]:
+    """The word of the filter that a key falls into, and its bit there."""
     bit = F.col("key").bitwiseAND(FILTER_BITS - 1)
-    return (keys.select(F.floor(bit / ROW_BITS).alias("filter_row"), (bit % ROW_BITS).alias("at"))
-            .repartition("filter_row").groupBy("filter_row").agg(F.bitmap_construct_agg("at").alias("bits")))
+    return F.shiftright(bit, 6), bit.bitwiseAND(63).cast("int")
+
 
+def key_filter(keys: DataFrame) -> DataFrame:
+    """(word, repeated, hot): bits for the keys (key, n) of more than one row, and of more than ``HOT_ROWS`` rows."""
+    word, at = _place()
+    bit = F.expr("shiftleft(1L, at)")
+    return (keys.filter("n > 1").select(word.alias("word"), at.alias("at"), "n").groupBy("word")
+            .agg(F.bit_or(bit).alias("repeated"), F.bit_or(F.when(F.col("n") > HOT_ROWS, bit).otherwise(0)).alias("hot")))
 
-def marked(rows: DataFrame, keys: DataFrame, flag: str) -> DataFrame:
-    """Add the boolean ``flag``: true for rows whose key is among ``keys``, and for few others; never false for those.
 
-    The broadcast is the filter, whose size is fixed; a fuller one marks more of the others.
+def marked(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """Add ``repeats`` and ``hot``: true for rows whose key the filter holds as such, and for few others; never false for those.
+
+    The broadcast is the filter, whose size is bounded; a fuller one marks more of the others.
     """
-    bit = F.col("key").bitwiseAND(FILTER_BITS - 1)
-    at = bit % ROW_BITS
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return (rows.withColumn("filter_row", F.floor(bit / ROW_BITS)).join(F.broadcast(key_filter(keys)), "filter_row", "left")
-            .withColumn(flag, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("filter_row", "bits"))
+    word, at = _place()
+    flags = {c: F.coalesce(F.getbit(bits, at) == 1, F.lit(False)) for c, bits in (("repeats", "repeated"), ("hot", "hot"))}
+    return rows.withColumn("word", word).join(F.broadcast(words), "word", "left").withColumns(flags).drop("word", "repeated")
 
 
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = BUCKET_KEYS) -> DataFrame:
@@ -84,8 +87,8 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     bucket. Of equal texts the row with the largest doc_id stays.
 
     Copies of a key with more than ``HOT_ROWS`` rows are merged in their tasks first, so a text that is a third of
-    all rows reaches its owner as one entry. Which keys repeat, and which are hot, is told to the scan of the
-    texts by filters of fixed size.
+    all rows reaches its owner as one entry. A filter of bounded size tells the scan
+    of the texts which keys repeat and which are hot.
 
     A null text counts as empty. Rows with a null doc_id are grouped like others and never stay beside rows with
     an id; where all ids of a group are null, keep_id is null and none is marked kept except a group of one row.
@@ -99,18 +102,18 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     keys = staged(rows.groupBy("key").agg(F.count("*").alias("n")), folder, "keys")
     slots, depth = directory(keys, folder, capacity)
     slots = staged(slots, folder, "directory")
-    repeated, hot = keys.filter("n > 1"), keys.filter(F.col("n") > HOT_ROWS)
+    words = staged(key_filter(keys), folder, "filter")
 
     def owned(entries: DataFrame) -> DataFrame:
         return entries.withColumn("slot", _prefix("key", depth)).join(slots, "slot").drop("slot")
 
-    met = marked(marked(own, repeated, "repeats").filter("repeats"), hot, "hot")
+    met = marked(own, words).filter("repeats")
     size, keep = F.lit(1).cast("bigint").alias("group_size"), F.col("doc_id").alias("keep_id")
     merged = met.filter("hot").groupBy("key", "text").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
     sent = owned(met.filter("NOT hot").select("key", "text", size, keep).union(merged)).repartition("bucket")
     chains = (sent.groupBy("bucket", "key", "text").agg(F.sum("group_size").alias("group_size"), F.max("keep_id").alias("keep_id"))
               .select("bucket", "key", F.sha2("text", 256).alias("text_sha256"), "group_size", "keep_id"))
-    lone = owned(marked(rows, repeated, "repeats").filter("NOT repeats")).select("bucket", "key", "text_sha256", size, keep)
+    lone = owned(marked(rows, words).filter("NOT repeats")).select("bucket", "key", "text_sha256", size, keep)
     index = staged(chains.union(lone).repartition("bucket").sortWithinPartitions("bucket", "key", "keep_id"), folder, "index")
 
     found = owned(rows).join(index, ["bucket", "key", "text_sha256"])
