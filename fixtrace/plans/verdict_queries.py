@@ -18,6 +18,7 @@ from fixtrace.plans.registry import query
 from fixtrace.session import reliable, run_folder, shared_folder, spread
 from fixtrace.sources import files as IO
 from fixtrace.streaming import feeds as S
+from fixtrace.streaming import ledger as L
 
 
 def _folder(spark, name):
@@ -399,6 +400,22 @@ def stream_verdicts(spark, sf):
     return spark.read.parquet(path)
 
 
+@query(f"""WITH {T.PREDICTIONS_SQL} SELECT event_id, user_id, value > 10 AS answer FROM events""")
+def stream_verdicts_once(spark, sf):
+    """The first attempt at a batch is lost after its files are written; a second stream starts over."""
+    path = _folder(spark, "verdicts_once")
+
+    def judge(batch):
+        return batch.select("event_id", "user_id", (F.col("value") > 10).alias("answer"))
+
+    events, lost = T.table(spark, sf, "events"), "stream=lost/batch=0/attempt=a0"
+    events.select("event_id", F.lit(0).alias("bucket")).write.partitionBy("bucket").parquet(f"{path}/keys/{lost}")
+    judge(events).write.parquet(f"{path}/rows/{lost}")
+    for run in range(2):
+        L.stream_verdicts_once(_event_stream(spark, sf), judge, path, f"{path}-progress{run}", ("event_id",)).awaitTermination()
+    return L.committed(spark, path).select("event_id", "user_id", "answer")
+
+
 @query("""SELECT DISTINCT user_id AS trace_id, event_id AS span_id FROM events""")
 def stream_traces(spark, sf):
     path = _folder(spark, "spans")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from fixtrace import schema as S
 from fixtrace import session
 from fixtrace.sources import files as IO
-from fixtrace.streaming import feeds
+from fixtrace.streaming import feeds, ledger
 
 
 def test_commits_jsonl(spark, tmp_path):
@@ -156,6 +156,78 @@ def test_stream_verdicts_restart_and_overlap(spark, tmp_path):
     assert judged == [2, 1, 0]
 
 
+def _verdict_run(spark, tmp_path, checkpoint, judge):
+    stream = spark.readStream.schema("cve string, commit_id string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    ledger.stream_verdicts_once(stream, judge, str(tmp_path / "out"), str(tmp_path / checkpoint), buckets=4).awaitTermination()
+
+
+def _verdicts(spark, tmp_path):
+    rows = ledger.committed(spark, str(tmp_path / "out"))
+    return [] if rows is None else sorted((r["cve"], r["commit_id"]) for r in rows.collect())
+
+
+def _yes(batch):
+    return batch.withColumn("answer", F.lit(True))
+
+
+def test_ledger_judges_each_key_once(spark, tmp_path):
+    judged = []
+
+    def judge(batch):
+        judged.append(batch.count())
+        return _yes(batch)
+
+    schema = "cve string, commit_id string"
+    write_batches(spark, tmp_path / "in", [[("A", "1"), ("A", "2"), ("A", "2")]], schema)
+    _verdict_run(spark, tmp_path, "c1", judge)
+    write_batches(spark, tmp_path / "in", [[("A", "2"), ("B", "2")]], schema)
+    _verdict_run(spark, tmp_path, "c1", judge)
+    _verdict_run(spark, tmp_path, "c2", judge)
+    assert _verdicts(spark, tmp_path) == [("A", "1"), ("A", "2"), ("B", "2")]
+    assert judged[:2] == [2, 1] and not any(judged[2:])
+
+
+@pytest.mark.parametrize("step", ["before the commit", "after the commit"])
+def test_ledger_survives_a_lost_driver(spark, tmp_path, monkeypatch, step):
+    """Files without an entry do not count and are judged anew; an entry without the stream's own record is not repeated."""
+    write_batches(spark, tmp_path / "in", [[("A", "1"), ("B", "1")]], "cve string, commit_id string")
+    commit = ledger.commit
+
+    def killed(*args):
+        if step == "after the commit":
+            commit(*args)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(ledger, "commit", killed)
+    with pytest.raises(Exception, match="lost"):
+        _verdict_run(spark, tmp_path, "c", _yes)
+    monkeypatch.setattr(ledger, "commit", commit)
+    assert len(list((tmp_path / "out" / "rows").glob("*/*/*"))) == 1
+    assert _verdicts(spark, tmp_path) == ([] if step == "before the commit" else [("A", "1"), ("B", "1")])
+    _verdict_run(spark, tmp_path, "c", _yes)
+    assert _verdicts(spark, tmp_path) == [("A", "1"), ("B", "1")]
+    assert len(list((tmp_path / "out" / "rows").glob("*/*/*"))) == (2 if step == "before the commit" else 1)
+
+
+def test_ledger_takes_the_first_of_two_attempts(spark, tmp_path):
+    sink = str(tmp_path / "out")
+    assert not ledger.is_committed(spark, sink, "s", 0)
+    assert ledger.commit(spark, sink, "s", 0, "a") and not ledger.commit(spark, sink, "s", 0, "b")
+    assert ledger.is_committed(spark, sink, "s", 0) and not ledger.is_committed(spark, sink, "s", 1)
+    assert [tuple(r) for r in spark.read.schema(ledger.LEDGER).json(f"{sink}/ledger/*/*.json").collect()] == [("s", 0, "a")]
+
+
+def test_ledger_of_empty_and_null_batches(spark, tmp_path):
+    sink, schema = str(tmp_path / "out"), "cve string, commit_id string"
+    assert ledger.committed(spark, sink) is None
+    assert ledger.write_batch(spark.createDataFrame([], schema), _yes, sink, "s", 0)
+    rows = spark.createDataFrame([("A", None), (None, None), ("B", "1"), ("B", "1")], schema)
+    assert ledger.write_batch(rows, _yes, sink, "s", 1) and not ledger.write_batch(rows, _yes, sink, "s", 1)
+    assert ledger.committed(spark, sink).count() == 3
+    assert ledger.write_batch(rows, _yes, sink, "s", 2)
+    assert ledger.committed(spark, sink).filter("cve = 'B'").count() == 1
+
+
 def test_stream_traces_equals_batch(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     rows = [(f"t{i % 5}", f"s{i % 40}", start + dt.timedelta(seconds=i)) for i in range(100)]
