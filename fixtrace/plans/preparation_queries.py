@@ -14,6 +14,7 @@ from fixtrace.plans import standins as T
 from fixtrace.plans.registry import query
 from fixtrace.session import shared_folder
 from fixtrace.sources import files as IO
+from fixtrace.sources import named
 
 
 def _folder(spark, name):
@@ -118,6 +119,32 @@ def file_name_parts(spark, sf):
     return IO.with_file_parts(T.table(spark, sf, "documents").select(name.alias("file")))
 
 
+RESULT_FILES_SQL = """r AS (SELECT coalesce(source, 'none') || '_top' || doc_id % 9 AS subset, 'model_' || coalesce(lang, 'und') AS model, doc_id, n_chars,
+  text FROM documents)"""
+
+
+def _result_files(spark, sf):
+    """Whole documents as results, one file per (source, subset, language)."""
+    path = _folder(spark, "results")
+    name = F.concat(F.coalesce("source", F.lit("none")), F.lit("_top"), (F.col("doc_id") % 9).cast("string"), F.lit("_model_"),
+                    F.coalesce("lang", F.lit("und")), F.lit(".jsonl"))
+    named.write_named(T.table(spark, sf, "documents").select(name.alias("file"), "doc_id", "n_chars", "text"), path)
+    return path
+
+
+@query(f"""WITH {RESULT_FILES_SQL} SELECT subset || '_' || model || '.jsonl' AS file, subset, model, doc_id, n_chars, md5(text) AS digest FROM r""")
+def named_result_files(spark, sf):
+    rows = named.read_named(spark, _result_files(spark, sf), "doc_id bigint, n_chars bigint, text string")
+    return rows.select("file", "subset", "model", "doc_id", "n_chars", F.md5("text").alias("digest"))
+
+
+@query(f"""WITH {RESULT_FILES_SQL} SELECT subset, model, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM r
+WHERE starts_with(subset, 'src1') AND model = 'model_en' GROUP BY 1, 2""")
+def named_result_files_chosen(spark, sf):
+    rows = named.read_named(spark, _result_files(spark, sf), "doc_id bigint, n_chars bigint", prefix="src1", suffix="_model_en.jsonl")
+    return rows.groupBy("subset", "model").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
 @query(f"""WITH {T.PREDICTIONS_SQL} SELECT cve, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Agent' ELSE 'Other' END AS approach FROM predictions""")
 def union_results(spark, sf):
     rows = T.predictions(spark, sf).select("cve", "doc_id")

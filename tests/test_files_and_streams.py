@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from fixtrace import schema as S
 from fixtrace import session
 from fixtrace.sources import files as IO
+from fixtrace.sources import named
 from fixtrace.streaming import feeds, ledger
 
 
@@ -129,6 +130,63 @@ def test_ground_truth(spark, tmp_path):
 
 
 
+RESULT = "cve string, score double"
+
+
+def test_named_files_round_trip(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    rows = [(f"top_{i % 3}_m_{i % 4}.jsonl", f"CVE-{i}", i / 7) for i in range(500)] + [("top_0_m_9.jsonl", None, None), ("x.txt", "a\nb", 1.0)]
+    df = spark.createDataFrame(rows, f"file string, {RESULT}").repartition(5)
+    named.write_named(df, folder)
+    assert {p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")} == {r[0] for r in rows}
+    found = named.read_named(spark, folder, RESULT).collect()
+    assert sorted((r.file, r.cve or "", r.score or 0) for r in found) == sorted((f, c or "", s or 0) for f, c, s in rows if f.endswith(".jsonl"))
+    assert {(r.subset, r.model) for r in found if r.file == "top_1_m_2.jsonl"} == {("top_1", "m_2")}
+    assert {r.file for r in named.read_named(spark, folder, RESULT, prefix="top_2").collect()} == {r[0] for r in rows if r[0].startswith("top_2")}
+    assert [(r.cve, r.score) for r in named.read_named(spark, folder, RESULT, suffix=".txt").collect()] == [("a\nb", 1.0)]
+    assert named.read_named(spark, folder, RESULT, prefix="none").count() == 0
+
+
+def test_named_files_replace_or_refuse(spark, tmp_path):
+    folder, schema = str(tmp_path / "out"), f"file string, {RESULT}"
+    named.write_named(spark.createDataFrame([("a_b_c.jsonl", "1", 1.0), ("a_b_d.jsonl", "2", 1.0)], schema), folder)
+    again = spark.createDataFrame([("a_b_c.jsonl", "3", 1.0), ("a_b_e.jsonl", "4", 1.0)], schema)
+    with pytest.raises(Exception, match="is there already"):
+        named.write_named(again, folder)
+    assert sorted(r.cve for r in named.read_named(spark, folder, RESULT).collect()) == ["1", "2"]
+    named.write_named(again, folder, overwrite=True)
+    assert sorted(r.cve for r in named.read_named(spark, folder, RESULT).collect()) == ["2", "3", "4"]
+    named.write_named(again.limit(0), folder)
+    for name in (None, "", "a/b", "_c"):
+        with pytest.raises(Exception, match="cannot name a file"):
+            named.write_named(spark.createDataFrame([(name, "1", 1.0)], schema), folder)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("_")) == []
+
+
+@pytest.mark.parametrize("task_bytes", [1, 7, 64, 1 << 20])
+def test_named_files_are_cut_at_line_ends(spark, tmp_path, task_bytes):
+    (tmp_path / "a_b_c.jsonl").write_bytes(b'{"cve": "x\xff"}\r\n\n' + b"".join(b'{"cve": "%d"}\n' % 10 ** (i % 9) for i in range(30)) + b'no json\n{"cve": "end"}')
+    (tmp_path / "a_b_d.jsonl").write_bytes(b"")
+    reader = named.NamedReader(str(tmp_path), "", ".jsonl", task_bytes)
+    lines = [v for p in reader.partitions() for batch in reader.read(p) for v in batch.column("value").to_pylist()]
+    assert lines == ['{"cve": "x\ufffd"}'] + ['{"cve": "%d"}' % 10 ** (i % 9) for i in range(30)] + ["no json", '{"cve": "end"}']
+
+
+def test_named_files_push_names_down(spark, tmp_path):
+    for name in ("top_1_a", "top_2_a", "low_1_b"):
+        (tmp_path / f"{name}.jsonl").write_text('{"cve": "1"}\n')
+    (tmp_path / "top_9_z.jsonl").mkdir()
+    before = spark.conf.get(named.PUSHDOWN, "false")
+    spark.conf.set(named.PUSHDOWN, "true")
+    try:
+        rows = named.read_named(spark, str(tmp_path), RESULT)
+        assert {r.file for r in rows.filter("file LIKE 'top%' AND score IS NULL").collect()} == {"top_1_a.jsonl", "top_2_a.jsonl"}
+        assert [r.file for r in rows.filter("file IN ('low_1_b.jsonl', NULL)").collect()] == ["low_1_b.jsonl"]
+        assert rows.filter("file = 'top_1_a.jsonl' AND file LIKE '%b.jsonl'").count() == 0
+    finally:
+        spark.conf.set(named.PUSHDOWN, before)
+
+
 def write_batches(spark, folder, batches, schema):
     for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
