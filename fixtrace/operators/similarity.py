@@ -12,9 +12,12 @@ from fixtrace.functions.text import as_col, let
 from fixtrace.operators.joins import assemble_top, merge_scores
 from fixtrace.operators.ordering import join_small, rank_within, top_k
 from fixtrace.operators.ranking import hit_at_k
+from fixtrace.session import run_folder, staged
 
 # Words of two or more letters, digits or underscores.
 WORD = r"[\p{L}\p{N}_]{2,}"
+# Token vectors that meet as one matrix.
+BLOCK_TOKENS = 256
 # Candidates of one advisory that may share a term in one task.
 GROUP_SHARE = 100_000
 
@@ -123,6 +126,72 @@ def token_sequences(tokens: DataFrame, key: str, position: str, vector: str) ->
         F.sort_array(F.collect_list(F.struct(position, vector))).getField(vector).alias("vectors"))
 
 
+def token_blocks(tokens: DataFrame, key: str, position: str, vector: str) -> DataFrame:
+    """(key, block, n, used, vectors): at most ``BLOCK_TOKENS`` tokens of a text, the vectors of the used ones in one array.
+
+    Positions number the tokens of a text; one that repeats so often that a block is too full is an error. Tokens whose
+    vector is null or holds a null, NaN or infinity count (``n``) but are not used. Tokens without key or position are left out.
+    """
+    usable = F.col(vector).isNotNull() & F.forall(vector, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    rows = tokens.filter(F.col(key).isNotNull() & F.col(position).isNotNull()).select(
+        F.col(key).alias("key"), F.floor(F.col(position) / BLOCK_TOKENS).alias("block"),
+        F.when(usable, F.struct(F.col(position).alias("at"), F.col(vector).cast("array<double>").alias("vector"))).alias("token"))
+    blocks = rows.groupBy("key", "block").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("token")).alias("t"))
+    fits = F.when(F.col("n") > BLOCK_TOKENS, F.raise_error(F.lit("positions repeat in a text"))).otherwise(F.col("n"))
+    return blocks.select("key", "block", fits.cast("bigint").alias("n"), F.size("t").alias("used"), F.flatten("t.vector").alias("vectors"))
+
+
+def greedy_match_tokens(pairs: DataFrame, candidates: DataFrame, references: DataFrame, candidate: str = "candidate",
+                        reference: str = "reference", position: str = "position", vector: str = "vector") -> DataFrame:
+    """The scores of ``greedy_match`` for texts of any length: ``pairs`` with precision, recall and f1.
+
+    ``candidates`` and ``references`` hold one token per row (the key as named, position, vector); ``pairs`` names two texts per
+    row. Blocks of tokens meet as matrix products, dealt by block to all tasks, and leave the best cosine of each token there; the
+    maxima of a token are merged, so no text is one row or one task. Work grows with the product of the two lengths.
+
+    A text without tokens scores 0, as do null keys. A zero vector has cosine 0 with all; a token without usable vector
+    matches nothing and counts as 0. Pairs that repeat are scored once and all kept.
+    """
+    @F.pandas_udf("ones array<double>, others array<double>")
+    def best(ones: pd.Series, n_ones: pd.Series, others: pd.Series, n_others: pd.Series) -> pd.DataFrame:
+        def unit(flat, n):
+            matrix = np.asarray(flat, dtype=np.float64).reshape(n, -1)
+            norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+            return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+
+        found = []
+        for one, n, other, m in zip(ones, n_ones, others, n_others):
+            cosines = unit(one, n) @ unit(other, m).T
+            found.append((cosines.max(1), cosines.max(0)))
+        return pd.DataFrame(found, columns=["ones", "others"])
+
+    folder = run_folder(pairs.sparkSession, "match")
+    sides = [staged(token_blocks(tokens, key, position, vector), folder, side)
+             for side, tokens, key in (("candidates", candidates, candidate), ("references", references, reference))]
+    ones, others = (blocks.filter("used > 0").select(F.col("key").alias(side), F.col("block").alias(f"{side}_block"),
+                                                     F.col("used").alias(f"{side}_used"), F.col("vectors").alias(f"{side}_vectors"))
+                    for side, blocks in zip("cr", sides))
+    totals = [blocks.groupBy(F.col("key").alias(key)).agg(F.sum("n").alias(f"{side}_n"))
+              for side, blocks, key in zip("cr", sides, (candidate, reference))]
+
+    keys = pairs.select(F.col(candidate).alias("c"), F.col(reference).alias("r")).distinct()
+    meetings = keys.join(ones.select("c", "c_block"), "c").join(others.select("r", "r_block"), "r")
+    met = meetings.join(ones, ["c", "c_block"]).join(others, ["r", "r_block"]).select(
+        "c", "r", "c_block", "r_block", best("c_vectors", "c_used", "r_vectors", "r_used").alias("m"))
+    each = met.select("c", "r", F.explode(F.array(
+        F.struct(F.lit("c").alias("side"), F.col("c_block").alias("block"), F.col("m.ones").alias("best")),
+        F.struct(F.lit("r").alias("side"), F.col("r_block").alias("block"), F.col("m.others").alias("best")))).alias("e"))
+    tokens = each.select("c", "r", "e.side", "e.block", F.posexplode("e.best").alias("at", "best"))
+    sums = tokens.groupBy("c", "r", "side", "block", "at").agg(F.max("best").alias("best")).groupBy("c", "r").agg(
+        *[F.sum(F.when(F.col("side") == side, F.col("best"))).alias(f"{side}_sum") for side in "cr"])
+
+    scored = (pairs.join(sums.withColumnsRenamed({"c": candidate, "r": reference}), [candidate, reference], "left")
+              .join(totals[0], candidate, "left").join(totals[1], reference, "left"))
+    precision, recall = (F.coalesce(F.col(f"{side}_sum") / F.col(f"{side}_n"), F.lit(0.0)) for side in "cr")
+    f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
+    return scored.select(*pairs.columns, precision.alias("precision"), recall.alias("recall")).withColumn("f1", f1)
+
+
 def fuse(df: DataFrame, weight: float = 1.0) -> DataFrame:
     """Lexical plus weighted semantic score, not normalised."""
     return df.withColumn("fused_f1", F.col("similarity") + F.lit(float(weight)) * F.col("f1"))

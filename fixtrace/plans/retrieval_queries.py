@@ -84,6 +84,23 @@ def greedy_match(spark, sf):
     return scored.select("cve", "commit_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
+@query(f"""WITH t AS (SELECT vec_id // 400 AS seq, vec_id, embedding FROM embeddings),
+p AS (SELECT a.seq AS reference, b.seq AS candidate, a.vec_id AS r, b.vec_id AS c, {COSINE.format('a.embedding', 'b.embedding')} AS s
+  FROM t a JOIN t b ON b.seq = a.seq + 1),
+pr AS (SELECT reference, candidate, avg(m) AS p FROM (SELECT reference, candidate, c, max(s) AS m FROM p GROUP BY ALL) GROUP BY ALL),
+re AS (SELECT reference, candidate, avg(m) AS r FROM (SELECT reference, candidate, r, max(s) AS m FROM p GROUP BY ALL) GROUP BY ALL)
+SELECT q.seq AS reference, q.seq + 1 AS candidate, coalesce(round(p, 6), 0) AS precision, coalesce(round(r, 6), 0) AS recall,
+  coalesce(round(2 * p * r / (p + r), 6), 0) AS f1 FROM (SELECT DISTINCT seq FROM t) q
+  LEFT JOIN pr ON pr.reference = q.seq LEFT JOIN re ON re.reference = q.seq""")
+def greedy_match_tokens(spark, sf):
+    """Texts of 400 tokens, each against the next; the last one meets a text without tokens."""
+    tokens = T.table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 400).alias("candidate"), (F.col("vec_id") % 400).alias("position"),
+                                                     F.col("embedding").alias("vector"))
+    pairs = tokens.select(F.col("candidate").alias("reference"), (F.col("candidate") + 1).alias("candidate")).distinct()
+    scored = S.greedy_match_tokens(pairs, tokens, tokens.withColumnRenamed("candidate", "reference"))
+    return scored.select("reference", "candidate", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
 @query(f"""WITH {T.ITEMS_SQL} SELECT cve, commit_id, similarity + 1.5::DOUBLE * f1 AS fused_f1 FROM items""")
 def fuse(spark, sf):
     return S.fuse(T.items(spark, sf), 1.5).select("cve", "commit_id", "fused_f1")

@@ -77,6 +77,38 @@ def test_greedy_match(spark):
     assert found[2]["f1"] == found[3]["f1"] == 0.0
 
 
+@pytest.mark.parametrize("block", [1, 7, 256])
+def test_greedy_match_in_blocks(spark, monkeypatch, block):
+    """As ``greedy_match`` on whole texts, whatever the block; empty texts, null keys, unusable vectors, repeated pairs."""
+    monkeypatch.setattr(S, "BLOCK_TOKENS", block)
+    rng = np.random.default_rng(block)
+    texts = {f"t{i}": rng.normal(size=(n, 5)).tolist() for i, n in enumerate([1, 3, 20, 33])} | {"zero": [[0.0] * 5], "none": []}
+    tokens = spark.createDataFrame([(k, i, v) for k, vs in texts.items() for i, v in enumerate(vs)], "t string, i int, v array<double>")
+    sides = [tokens.withColumnsRenamed({"t": c, "i": "position", "v": "vector"}) for c in ("candidate", "reference")]
+    named = [(a, b, 1) for a in texts for b in texts] + [("t1", "t2", 2), (None, "t1", 3)]
+    pairs = spark.createDataFrame(named, "candidate string, reference string, c_block int")
+    found = S.greedy_match_tokens(pairs, *sides).collect()
+    whole = spark.createDataFrame([(a, b, n, texts.get(a), texts[b]) for a, b, n in named],
+                                  "candidate string, reference string, c_block int, x array<array<double>>, y array<array<double>>")
+    wanted = S.greedy_match(whole, "x", "y").collect()
+    order = lambda r: (r["candidate"] or "", r["reference"], r["c_block"])
+    assert len(found) == len(named)
+    for one, other in zip(sorted(found, key=order), sorted(wanted, key=order)):
+        assert order(one) == order(other)
+        assert [one[k] for k in ("precision", "recall", "f1")] == pytest.approx([other[k] for k in ("precision", "recall", "f1")])
+
+
+def test_greedy_match_of_unusable_tokens(spark, monkeypatch):
+    schema = "position int, vector array<double>"
+    ones = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("a", 1, None), ("a", 2, [float("nan"), 1.0]), ("a", 3, [None, 1.0])], f"candidate string, {schema}")
+    others = spark.createDataFrame([("b", 0, [2.0, 0.0])], f"reference string, {schema}")
+    row = S.greedy_match_tokens(spark.createDataFrame([("a", "b")], "candidate string, reference string"), ones, others).first()
+    assert (row["precision"], row["recall"], row["f1"]) == pytest.approx((0.25, 1.0, 0.4))
+    monkeypatch.setattr(S, "BLOCK_TOKENS", 2)
+    with pytest.raises(Exception, match="positions repeat"):
+        S.token_blocks(ones.withColumn("position", F.lit(0)), "candidate", "position", "vector").collect()
+
+
 @pytest.mark.parametrize("k", [1, 4])
 def test_nearest_history_with_copies(spark, monkeypatch, k):
     monkeypatch.setattr(N, "BLOCK_ROWS", 16)
