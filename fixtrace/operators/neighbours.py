@@ -2,8 +2,8 @@
 
 ``nearest_by_buckets`` finds candidates by hash tables of random hyperplanes and ranks them exactly: few pairs are
 compared where near copies exist, and queries that the tables cannot settle are searched exactly. ``nearest_history``
-is the exact form. It compares blocks
-of queries with blocks of stored vectors: a few stored vectors serve as pivots of cells, and cells that the triangle
+is the exact form. It compares chunks
+of queries with chunks of stored vectors: a few stored vectors serve as pivots of cells, and cells that the triangle
 inequality rules out are passed over. In many dimensions it rules out next to nothing, so count on all pairs.
 """
 
@@ -15,14 +15,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from fixtrace.operators.ordering import top_k
 from fixtrace.session import run_folder, staged
 
 MAX_PIVOTS = 256
 BLOCK_ROWS = 1024
+# Vectors of a chunk, and the numbers that they may hold: what one task keeps of either side.
+CHUNK_ROWS = 1 << 16
+CHUNK_VALUES = 1 << 22
+MOST_TASKS = 4096
 # Rounding of distances; ties within it go to the smaller id.
 DIGITS = 9
 SLACK = 1e-6
@@ -44,7 +52,17 @@ class Cells:
     pivots: np.ndarray
     keys: np.ndarray
     radii: np.ndarray
-    sizes: np.ndarray
+
+    def open_to(self, vectors: np.ndarray, bound: np.ndarray | None = None, keys: np.ndarray | None = None, k: int = 1):
+        """Cells that may hold one of the k nearest of each vector, and the distance that rules out the others."""
+        to_pivots = np.sqrt(_distances(vectors, self.pivots))
+        if bound is None:
+            codes = pd.factorize(np.concatenate([keys, self.keys]))[0]  # null keys are alike
+            allowed = codes[:len(keys), None] != codes[None, len(keys):]
+            reachable = np.sort(np.where(allowed, to_pivots, np.inf), axis=1)
+            # The k-th nearest pivot that counts is no nearer than the k-th nearest vector.
+            bound = reachable[:, k - 1] if k <= reachable.shape[1] else np.full(len(vectors), np.inf)
+        return (to_pivots - self.radii[None, :] <= bound[:, None] + SLACK) & (self.radii >= 0), bound
 
 
 def _assign(store: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -61,14 +79,85 @@ def _assign(store: DataFrame, pivots: np.ndarray) -> DataFrame:
     return store.mapInPandas(nearest, f"id {kind}, key {key_kind}, vector array<double>, cell int, reach double")
 
 
-def _blocks(df: DataFrame, sizes: np.ndarray) -> DataFrame:
-    """One row per cell and block with up to about ``BLOCK_ROWS`` vectors."""
-    per_cell = F.array(*[F.lit(int(max(1, -(-n // BLOCK_ROWS)))) for n in sizes])
-    block = F.pmod(F.xxhash64("id"), F.get(per_cell, F.col("cell")))
-    return (
-        df.withColumn("block", block).groupBy("cell", "block")
-        .agg(F.collect_list(F.struct("id", "key", "vector")).alias("rows"))
-    )
+def _chunk_rows(asked: int, stored: int, width: int, tasks: int) -> list[int]:
+    """Rows of a chunk of queries and of stored vectors: as many as fit, fewer where there would be too few pairs of chunks."""
+    most = max(BLOCK_ROWS, min(CHUNK_ROWS, CHUNK_VALUES // max(1, width)))
+    counts, rows = (asked, stored), [most, most]
+    while math.prod(-(-n // r) for n, r in zip(counts, rows)) < tasks:
+        side = max((0, 1), key=lambda i: min(rows[i], counts[i]))
+        halved = -(-min(rows[side], counts[side]) // 2)
+        if halved < BLOCK_ROWS:
+            break
+        rows[side] = halved
+    return rows
+
+
+def _chunks(sizes: np.ndarray, rows: int) -> tuple[list[int], list[int]]:
+    """First chunk and number of chunks of each cell: small cells in turn share one, a large one is dealt to several."""
+    first, parts, at, filled = [], [], 0, 0
+    for n in sizes:
+        own = max(1, -(-int(n) // rows))
+        if filled and filled + n > rows:
+            at, filled = at + 1, 0
+        first.append(at)
+        parts.append(own)
+        at, filled = (at + own, 0) if own > 1 else (at, filled + int(n))
+    return first, parts
+
+
+def _chunk(chunks: tuple[list[int], list[int]]) -> Column:
+    first, parts = (F.get(F.array(*[F.lit(n) for n in numbers]), F.col("cell")) for numbers in chunks)
+    return (first + F.pmod(F.xxhash64("id", "vector"), parts)).cast("int")
+
+
+def _unpacked(vectors: pa.ChunkedArray) -> np.ndarray:
+    return pa.concat_arrays([c.flatten() for c in vectors.chunks]).to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def _best_of_chunks(cells: Cells, k: int, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The k nearest in a chunk of stored vectors of each query of another chunk, block by block."""
+    def best(asking: pa.Table, stored: pa.Table) -> pa.Table:
+        if not len(asking) or not len(stored):
+            return schema.empty_table()
+        # By id, so that of equal distances the first counts.
+        stored = stored.take(pc.sort_indices(stored["id"], sort_keys=[("id", "ascending")], null_placement="at_start"))
+        own = np.asarray(stored["cell"])
+        codes = pd.factorize(np.array([*asking["key"].to_pylist(), *stored["key"].to_pylist()], dtype=object))[0]
+        query_codes, codes = codes[:len(asking)], codes[len(asking):]
+        queries, vectors, bound = _unpacked(asking["vector"]), _unpacked(stored["vector"]), np.asarray(asking["bound"])
+        lengths = (vectors * vectors).sum(1)
+        parts = []
+        for start in range(0, len(queries), BLOCK_ROWS):
+            rows = slice(start, start + BLOCK_ROWS)
+            block, block_codes = queries[rows], query_codes[rows]
+            block_lengths = (block * block).sum(1)
+            here = np.flatnonzero(cells.open_to(block, bound[rows])[0].any(0)[own])
+            limit = np.full(len(block), np.inf)
+            found = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
+            for at in range(0, len(here), BLOCK_ROWS):
+                some = here[at:at + BLOCK_ROWS]
+                distances = block @ vectors[some].T
+                distances *= -2.0
+                distances += block_lengths[:, None]
+                distances += lengths[some][None, :]
+                distances[block_codes[:, None] == codes[some][None, :]] = np.inf
+                if not at and k < len(some):
+                    limit = np.fmin.reduce(distances, axis=1) if k == 1 else np.partition(distances, k - 1, axis=1)[:, k - 1]
+                # Rounding may make equal what differs by less than the last digit.
+                i, j = np.nonzero((distances <= np.maximum(limit, 0.0)[:, None] + 2 * 10.0 ** -DIGITS) & (distances < np.inf))
+                met = np.maximum(distances[i, j], 0.0).round(DIGITS)
+                i, met, j = (np.concatenate(both) for both in zip(found, (i, met, some[j])))
+                order = np.lexsort((j, met, i))
+                i, met, j = i[order], met[order], j[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                found = i[place < k], met[place < k], j[place < k]
+                last = place == k - 1
+                limit[i[last]] = met[last]
+            parts.append((found[0] + start, *found[1:]))
+        i, met, j = (np.concatenate(part) for part in zip(*parts))
+        return pa.table([asking["id"].take(pa.array(i)), stored["id"].take(pa.array(j)), pa.array(met)], names=schema.names).cast(schema)
+
+    return best
 
 
 def nearest_history(queries: DataFrame, store: DataFrame, k: int = 1) -> DataFrame:
@@ -77,6 +166,10 @@ def nearest_history(queries: DataFrame, store: DataFrame, k: int = 1) -> DataFra
     Both tables have the columns id, key and vector. The distance is squared Euclidean, rounded to nine
     digits. Ties go to the smaller id. The search is exact and compares up to all pairs. Both tables are read several
     times, so give stored ones.
+
+    Neighbouring cells are put together to chunks of at most about ``CHUNK_ROWS`` vectors, and chunks of queries meet those of
+    stored vectors that they cannot rule out, each pair in one task and its k best leave it. A vector thus moves
+    once for each chunk that its own meets.
     """
     columns = ["id", "key", F.col("vector").cast("array<double>").alias("vector")]
     queries, store = queries.select(*columns), store.select(*columns)
@@ -91,57 +184,37 @@ def nearest_history(queries: DataFrame, store: DataFrame, k: int = 1) -> DataFra
     pivots = _matrix([row["vector"] for row in chosen])
     keys = np.array([row["key"] for row in chosen], dtype=object)
 
-    assigned = _assign(store, pivots)
+    assigned, asking = _assign(store, pivots), _assign(queries, pivots)
     stats = {row["cell"]: row for row in assigned.groupBy("cell").agg(
         F.max("reach").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}
-    cells = Cells(
-        pivots, keys,
-        np.array([stats[c]["radius"] if c in stats else -1.0 for c in range(len(pivots))]),
-        np.array([stats[c]["n"] if c in stats else 0 for c in range(len(pivots))]))
+    asked = {row["cell"]: row["n"] for row in asking.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    cells = Cells(pivots, keys, np.array([stats[c]["radius"] if c in stats else -1.0 for c in range(len(pivots))]))
+    sizes = [np.array([n.get(c, 0) for c in range(len(pivots))]) for n in (asked, {c: row["n"] for c, row in stats.items()})]
+    most = _chunk_rows(*(int(n.sum()) for n in sizes), pivots.shape[1], 4 * queries.sparkSession.sparkContext.defaultParallelism)
+    asking_chunks, chunks = (_chunks(n, r) for n, r in zip(sizes, most))
+    met_by = np.zeros((len(pivots), chunks[0][-1] + chunks[1][-1]), dtype=np.float32)
+    for cell, (first, parts) in enumerate(zip(*chunks)):
+        met_by[cell, first:first + parts] = 1.0
 
     def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            to_pivots = np.sqrt(_distances(_matrix(batch["vector"]), cells.pivots))
-            allowed = batch["key"].to_numpy(dtype=object)[:, None] != cells.keys[None, :]
-            reachable = np.sort(np.where(allowed, to_pivots, np.inf), axis=1)
-            # The k-th nearest pivot that counts is no nearer than the k-th nearest vector.
-            bound = reachable[:, k - 1] if k <= reachable.shape[1] else np.full(len(batch), np.inf)
-            open_cells = (to_pivots - cells.radii[None, :] <= bound[:, None] + SLACK) & (cells.radii >= 0)
-            at, cell = np.nonzero(open_cells)
-            yield batch.iloc[at].assign(cell=cell.astype("int32"))
+            if len(batch):
+                open_cells, bound = cells.open_to(_matrix(batch["vector"]), keys=batch["key"].to_numpy(dtype=object), k=k)
+                meets = open_cells.astype(np.float32) @ met_by > 0
+                yield batch.drop(columns="reach").assign(bound=bound, chunk=[np.flatnonzero(row).astype("int32") for row in meets])
 
     kind = queries.schema["id"].dataType.simpleString()
     key_kind = queries.schema["key"].dataType.simpleString()
-    probing = queries.mapInPandas(probes, f"id {kind}, key {key_kind}, vector array<double>, cell int")
-    asked = {row["cell"]: row["n"] for row in probing.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    query_blocks = _blocks(probing, np.array([asked.get(c, 0) for c in range(len(pivots))]))
-    store_blocks = _blocks(assigned, cells.sizes)
-    meeting = query_blocks.select("cell", F.col("rows").alias("asking")).join(
-        store_blocks.select("cell", F.col("rows").alias("stored")), "cell")
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for asking, stored in zip(batch["asking"], batch["stored"]):
-                distances = _distances(_matrix([r["vector"] for r in asking]),
-                                       _matrix([r["vector"] for r in stored])).round(DIGITS)
-                query_keys = np.array([r["key"] for r in asking], dtype=object)
-                stored_keys = np.array([r["key"] for r in stored], dtype=object)
-                stored_ids = np.array([r["id"] for r in stored])
-                distances[query_keys[:, None] == stored_keys[None, :]] = np.inf
-                by_id = np.argsort(stored_ids, kind="stable")
-                order = by_id[np.argsort(distances[:, by_id], axis=1, kind="stable")[:, :k]]
-                at = np.repeat(np.arange(len(asking)), order.shape[1])
-                found = pd.DataFrame({
-                    "id": [asking[i]["id"] for i in at],
-                    "neighbour": stored_ids[order.ravel()],
-                    "distance": distances[at, order.ravel()],
-                })
-                yield found[np.isfinite(found["distance"])]
-
-    store_kind = store.schema["id"].dataType.simpleString()
-    candidates = meeting.mapInPandas(best, f"id {kind}, neighbour {store_kind}, distance double")
+    probing = asking.mapInPandas(probes, f"id {kind}, key {key_kind}, vector array<double>, cell int, bound double, chunk array<int>")
+    probing = probing.withColumn("asking", _chunk(asking_chunks)).drop("cell").withColumn("chunk", F.explode("chunk"))
+    # As many rows as there are pairs of chunks.
+    meeting = F.broadcast(probing.select(F.col("asking").alias("by"), F.col("chunk").alias("at")).distinct())
+    stored = assigned.drop("reach").withColumn("at", _chunk(chunks)).join(meeting, "at").withColumnsRenamed({"by": "asking", "at": "chunk"})
+    tasks = int(min(MOST_TASKS, 4 * met_by.shape[1] * (asking_chunks[0][-1] + asking_chunks[1][-1])))
+    left, right = (df.repartition(tasks, "asking", "chunk").groupBy("asking", "chunk") for df in (probing, stored))
+    schema = T.StructType([T.StructField("id", queries.schema["id"].dataType), T.StructField("neighbour", store.schema["id"].dataType),
+                           T.StructField("distance", T.DoubleType())])
+    candidates = left.cogroup(right).applyInArrow(_best_of_chunks(cells, k, to_arrow_schema(schema)), schema)
     if k == 1:
         nearest = candidates.groupBy("id").agg(F.min(F.struct("distance", "neighbour")).alias("best"))
         return nearest.select("id", "best.neighbour", "best.distance", F.lit(1).alias("place"))

@@ -139,6 +139,32 @@ def test_nearest_history_edges(spark):
         N.nearest_history(other, store.filter("id = 'x'"))
 
 
+@pytest.mark.parametrize("k", [1, 3])
+def test_nearest_history_keeps_chunks_small(spark, monkeypatch, k):
+    """What a task holds of either side is bounded, also where one cell holds most of the vectors, and the results are exact."""
+    for name, rows in (("BLOCK_ROWS", 8), ("CHUNK_ROWS", 32), ("MAX_PIVOTS", 4)):
+        monkeypatch.setattr(N, name, rows)
+    whole = N._best_of_chunks
+
+    def bounded(*arguments):
+        best = whole(*arguments)
+
+        def checked(asking, stored):
+            assert max(len(asking), len(stored)) <= 64, "too many rows in a task"
+            return best(asking, stored)
+        return checked
+
+    monkeypatch.setattr(N, "_best_of_chunks", bounded)
+    vectors, keys = np.random.default_rng(3).normal(size=(400, 3)), np.arange(400) % 5
+    vectors[100:] *= 0.01
+    rows = spark.createDataFrame([(i, None if i == 7 else int(key), v.tolist()) for i, (v, key) in enumerate(zip(vectors, keys))], "id bigint, key int, vector array<double>")
+    found = {(r["id"], r["place"]): r["neighbour"] for r in N.nearest_history(rows, rows, k).collect()}
+    for i, vector in enumerate(vectors):
+        other = [j for j in range(400) if (None if j == 7 else keys[j]) != (None if i == 7 else keys[i])]
+        ranked = sorted(other, key=lambda j: (round(float(((vector - vectors[j]) ** 2).sum()), 9), j))
+        assert [found[i, place + 1] for place in range(k)] == ranked[:k]
+
+
 @pytest.mark.parametrize("k", [1, 3])
 def test_nearest_by_buckets_finds_far_neighbours(spark, data, k):
     """On the given embeddings neighbours are 60 degrees away: what a query meets by chance must not settle it."""
