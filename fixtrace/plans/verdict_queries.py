@@ -15,7 +15,7 @@ from fixtrace.operators import traces as R
 from fixtrace.operators import verdicts as V
 from fixtrace.plans import standins as T
 from fixtrace.plans.registry import query
-from fixtrace.session import reliable, run_folder, shared_folder, spread
+from fixtrace.session import reliable, run_folder, shared_folder
 from fixtrace.sources import files as IO
 from fixtrace.streaming import feeds as S
 from fixtrace.streaming import ledger as L
@@ -251,34 +251,42 @@ def traces_by_project(spark, sf):
 
 def _payloads(spark, sf):
     """An advisory record per order: scores, weaknesses, references and configurations from its few lines."""
-    line = spread(T.table(spark, sf, "lineitem"), "l_orderkey")
+    fields = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+    line = T.table(spark, sf, "lineitem").select("l_orderkey", *fields)
+
+    def ordered(entry, flag=None):
+        lines = F.col("lines") if flag is None else F.filter("lines", lambda line: line["l_returnflag"] == flag)
+        return F.sort_array(F.transform(lines, lambda line: F.struct(
+            line["l_linenumber"].alias("l_linenumber"), line["l_partkey"].alias("l_partkey"), line["l_suppkey"].alias("l_suppkey"), entry(line).alias("e")))).getField("e")
 
     def scores(flag, old=False):
-        base = F.concat(F.lit("S"), F.col("l_linenumber").cast("string"))
-        data = [F.lit(f"{flag}").alias("version"), F.concat(F.lit("AV:"), F.col("l_partkey").cast("string")).alias("vectorString"), F.col("l_quantity").alias("baseScore")]
-        severity = base.alias("baseSeverity")
-        entry = [F.lit("src").alias("source"), F.lit("Primary").alias("type"), F.col("l_discount").alias("exploitabilityScore"), F.col("l_tax").alias("impactScore")]
-        whole = F.struct(*entry, *([severity] if old else []), F.struct(*data, *([] if old else [severity])).alias("cvssData"))
-        return F.sort_array(F.collect_list(F.when(F.col("l_returnflag") == flag, F.struct("l_linenumber", "l_partkey", "l_suppkey", whole.alias("e"))))).getField("e")
-
-    weakness = F.struct(F.lit("src").alias("source"), F.lit("Secondary").alias("type"), F.array(
-        F.struct(F.lit("es").alias("lang"), F.lit("no").alias("value")),
-        F.struct(F.lit("en").alias("lang"), F.concat(F.lit("CWE-"), F.col("l_suppkey").cast("string")).alias("value"))).alias("description"))
-    reference = F.struct(F.concat(F.lit("https://r/"), F.col("l_partkey").cast("string")).alias("url"), F.lit("src").alias("source"),
-                         F.when(F.col("l_linestatus") == "O", F.array(F.lit("Patch"), F.lit("Vendor"))).alias("tags"))
-    product = F.struct(F.concat(F.lit("cpe:*:"), F.col("l_partkey").cast("string")).alias("criteria"),
-                       F.when(F.col("l_returnflag") == "A", F.col("l_linenumber").cast("string")).alias("versionStartIncluding"),
-                       F.when(F.col("l_returnflag") != "N", F.col("l_suppkey").cast("string")).alias("versionEndExcluding"))
-
-    def ordered(entry):
-        return F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", entry.alias("e")))).getField("e")
-
-    # An order has a handful of lines, whatever the size of the table.
-    grouped = line.groupBy("l_orderkey").agg(
-        scores("A").alias("cvssMetricV31"), scores("R").alias("cvssMetricV30"), scores("N", True).alias("cvssMetricV2"),
-        ordered(weakness).alias("weaknesses"), ordered(reference).alias("references"), ordered(product).alias("cpeMatch"))
+        def entry(line):
+            severity = F.concat(F.lit("S"), line["l_linenumber"].cast("string")).alias("baseSeverity")
+            data = [F.lit(f"{flag}").alias("version"), F.concat(F.lit("AV:"), line["l_partkey"].cast("string")).alias("vectorString"), line["l_quantity"].alias("baseScore")]
+            common = [F.lit("src").alias("source"), F.lit("Primary").alias("type"), line["l_discount"].alias("exploitabilityScore"), line["l_tax"].alias("impactScore")]
+            return F.struct(*common, *([severity] if old else []), F.struct(*data, *([] if old else [severity])).alias("cvssData"))
+        return ordered(entry, flag)
+
+    def weakness(line):
+        return F.struct(F.lit("src").alias("source"), F.lit("Secondary").alias("type"), F.array(
+            F.struct(F.lit("es").alias("lang"), F.lit("no").alias("value")),
+            F.struct(F.lit("en").alias("lang"), F.concat(F.lit("CWE-"), line["l_suppkey"].cast("string")).alias("value"))).alias("description"))
+
+    def reference(line):
+        return F.struct(F.concat(F.lit("https://r/"), line["l_partkey"].cast("string")).alias("url"), F.lit("src").alias("source"),
+                        F.when(line["l_linestatus"] == "O", F.array(F.lit("Patch"), F.lit("Vendor"))).alias("tags"))
+
+    def product(line):
+        return F.struct(F.concat(F.lit("cpe:*:"), line["l_partkey"].cast("string")).alias("criteria"),
+                        F.when(line["l_returnflag"] == "A", line["l_linenumber"].cast("string")).alias("versionStartIncluding"),
+                        F.when(line["l_returnflag"] != "N", line["l_suppkey"].cast("string")).alias("versionEndExcluding"))
+
+    # An order has a handful of lines, whatever the size of the table. Only their plain values move; records are made in the row.
+    grouped = line.groupBy("l_orderkey").agg(F.collect_list(F.struct(*fields)).alias("lines"))
     orders = T.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
-    joined = grouped.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    joined = grouped.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumns({
+        "cvssMetricV31": scores("A"), "cvssMetricV30": scores("R"), "cvssMetricV2": scores("N", True),
+        "weaknesses": ordered(weakness), "references": ordered(reference), "cpeMatch": ordered(product)})
     node = F.struct(F.lit("OR").alias("operator"), (F.col("l_orderkey") % 2 == 0).alias("negate"), "cpeMatch")
     cve = F.struct(
         F.col("l_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("sourceIdentifier"), F.lit("2024").alias("published"),

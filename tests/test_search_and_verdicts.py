@@ -355,3 +355,11 @@ def test_records(spark):
     flat = spark.createDataFrame([("A", "1", 1, "yes", 4), ("B", "2", 0, "True", 1)], "cve string, commit_id string, label int, answer string, confidence int")
     records = V.build_verdict_record(flat.withColumn("model", F.lit("m")), ["answer", "confidence"], ["model"])
     assert sorted(map(tuple, V.flatten_verdicts(records).collect())) == [("A", "1", True, True, 4, True), ("B", "2", True, False, 1, False)]
+
+
+def test_advisory_payloads_move_plain_lines(spark, data):
+    """Lines are shuffled once, as plain values in one list; the long texts of records are made behind the shuffle."""
+    from fixtrace.plans import verdict_queries
+
+    plan = verdict_queries._payloads(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("partial_collect_list(") == 1 and "https" not in plan[plan.index("partial_collect_list("):]
