@@ -13,12 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fixtrace import constants as K
-from fixtrace.operators.search import _answers, _hit
+from fixtrace.operators.search import AUTOMATON_CHARACTERS, _answers, _hit, _matches, _met, _small
 from fixtrace.session import run_folder, staged
 
 #: Characters of a piece, lines of a block, folders that blocks and pieces are dealt to.
 PIECE = 5
-BLOCK_LINES = 16
+BLOCK_LINES = 4096
 FOLDERS = 64
 #: Pieces of a text that have to be met, the rarest ones.
 ASKED_PIECES = 4
@@ -51,13 +51,15 @@ class LineIndex:
 def build_line_index(lines: DataFrame, folder: str) -> LineIndex:
     """Write lines (path, line_no, line) and the posting lists of their pieces to a folder of the shared storage.
 
-    A block is 16 lines of a file, named by a hash; blocks that share a name are searched together. A piece stands once
-    for each block that holds it. Lines are dealt to folders by block, postings by piece, so a search reads few of them.
+    A block is some thousand lines that follow each other as they are read, so that the many lines with a common piece cost one
+    posting. A piece stands once for each block that holds it; a block's lines lie in one file, so its pieces are made distinct
+    before they move. Lines are dealt to folders by block, postings by piece, so a search reads few of them.
     Null lines and paths hold nothing and are left out.
     """
     rows = lines.select("path", F.col("line_no").cast("bigint").alias("line_no"), "line").filter(
         "path IS NOT NULL AND line_no IS NOT NULL AND line IS NOT NULL")
-    blocked = rows.withColumn("block", F.xxhash64("path", F.expr(f"line_no div {BLOCK_LINES}")))
+    # Written once, and all else is made from what is written: the numbers are not the same in another run.
+    blocked = rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("block", F.expr(f"_at div {BLOCK_LINES}")).drop("_at")
     blocked.withColumn("part", _folder_of("block")).write.partitionBy("part").parquet(f"{folder}/lines")
     stored = LineIndex.table(lines.sparkSession, folder, "lines")
     pieces = stored.select("block", F.explode(_pieces("line")).alias("piece"))
@@ -83,28 +85,40 @@ def _candidates(index: LineIndex, texts: DataFrame) -> DataFrame:
             .filter("n = wanted").select("text", "block"))
 
 
-def _lines_of(index: LineIndex, blocks: DataFrame) -> DataFrame:
+def _lines_of(index: LineIndex, blocks: DataFrame, once: bool = False) -> DataFrame:
     """Lines with the texts whose blocks they stand in; only folders with such blocks are read."""
     blocks = staged(blocks.withColumn("part", _folder_of("block")), run_folder(blocks.sparkSession, "met"), "blocks")
     folders = [r[0] for r in blocks.select("part").distinct().collect()]
-    return index.lines.filter(F.col("part").isin(folders)).join(blocks, ["part", "block"])
+    return index.lines.filter(F.col("part").isin(folders)).join(F.broadcast(blocks) if once else blocks, ["part", "block"])
+
+
+def _lines_once(index: LineIndex, blocks: DataFrame, name: str) -> DataFrame:
+    """Lines of the blocks, each once, with all that is asked there (column ``name``) as a list. Lines do not move."""
+    return _lines_of(index, blocks.groupBy("block").agg(F.collect_set(name).alias("asked")), once=True)
 
 
 def indexed_search(index: LineIndex, queries: DataFrame, cap: int | None = None) -> DataFrame:
     """As ``code_search``, over a stored index.
 
-    Texts of five characters or more read only blocks that hold their rarest pieces; shorter ones read all lines.
+    Texts of five characters or more read only blocks that hold their rarest pieces; shorter ones read all lines. What is
+    read is searched by one automaton while the texts are few, else each text meets the lines of its blocks.
     """
     queries = queries.select("query", "path").filter("query <> ''").distinct()
     texts = queries.select(F.col("query").alias("text")).distinct()
     long = F.length("text") >= PIECE
-    found = _lines_of(index, _candidates(index, texts.filter(long))).select("path", "line_no", "line", "text")
-    short = texts.filter(~long).select("text", F.substring("text", 1, 1).alias("symbol"))
-    if not short.isEmpty():
+    candidates = _candidates(index, texts.filter(long))
+    few = (texts.agg(F.sum(F.length("text") + 1)).first()[0] or 0) <= AUTOMATON_CHARACTERS
+    if few:
+        own = {is_long: sorted(r[0] for r in texts.filter(long if is_long else ~long).collect()) for is_long in (True, False)}
+        read = [(_lines_once(index, candidates, "text"), own[True]), (index.lines, own[False])]
+        parts = [_met(lines, wanted).withColumnRenamed("query", "text") for lines, wanted in read if wanted]
+    else:
+        short = texts.filter(~long).select("text", F.substring("text", 1, 1).alias("symbol"))
         symbols = index.lines.select("path", "line_no", "line", F.explode(F.array_distinct(F.split("line", ""))).alias("symbol"))
-        found = found.unionByName(symbols.join(short, "symbol").drop("symbol"))
+        parts = [_lines_of(index, candidates).select("path", "line_no", "line", "text"), symbols.join(short, "symbol").drop("symbol")]
+    found = reduce(lambda a, b: a.unionByName(b), parts) if parts else index.lines.select("path", "line_no", "line", F.lit("").alias("text")).filter(F.lit(False))
     asked = queries.select(F.col("query").alias("text"), F.col("path").alias("only"))
-    hits = (found.filter(F.contains("line", F.col("text"))).join(asked, "text")
+    hits = (found.filter(F.contains("line", F.col("text"))).join(_small(asked, few), "text")
             .filter(F.col("only").isNull() | (F.col("only") == F.col("path"))).select(F.col("text").alias("query"), _hit()))
     return _answers(hits, queries.select("query").distinct(), cap, K.SEARCH_TOO_MANY, K.SEARCH_NONE)
 
@@ -191,11 +205,10 @@ def indexed_grep(index: LineIndex, queries: list[tuple[str, str | None]], cap: i
         total = table.groupBy("query", "way").agg(F.count(F.lit(1)).alias("texts"))
         met = _candidates(index, table.select("text").distinct()).join(table, "text").groupBy("query", "way", "block").agg(F.count(F.lit(1)).alias("n"))
         blocks = met.join(total, ["query", "way"]).filter("n = texts").select("query", "block").distinct()
-        near = _lines_of(index, blocks)
-        parts += [near.filter((F.col("query") == pattern) & F.col("line").rlike(pattern)) for pattern, ways in known.items() if ways]
-    parts += [index.lines.filter(F.col("line").rlike(pattern)).withColumn("query", F.lit(pattern)) for pattern, ways in known.items() if not ways]
+        parts.append(_matches(_lines_once(index, blocks, "query"), [(pattern,) for pattern, ways in known.items() if ways],
+                              lambda q: F.array_contains("asked", q[0]) & F.col("line").rlike(q[0])))
+    parts.append(_matches(index.lines, [(pattern,) for pattern, ways in known.items() if not ways], lambda q: F.col("line").rlike(q[0])))
     asked = spark.createDataFrame(queries, "query string, only string").distinct()
-    hits = reduce(lambda a, b: a.unionByName(b), [p.select("path", "line_no", "line", "query") for p in parts]) if parts else (
-        index.lines.select("path", "line_no", "line", F.lit("").alias("query")).filter(F.lit(False)))
-    hits = hits.join(asked, "query").filter(F.col("only").isNull() | (F.col("only") == F.col("path"))).select("query", _hit())
+    hits = reduce(lambda a, b: a.unionByName(b), [p.select("path", "line_no", "line", "query") for p in parts])
+    hits = hits.join(F.broadcast(asked), "query").filter(F.col("only").isNull() | (F.col("only") == F.col("path"))).select("query", _hit())
     return _answers(hits, asked.select("query").distinct(), cap, K.GREP_TOO_MANY, K.SEARCH_NONE)

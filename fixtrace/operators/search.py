@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from fixtrace import constants as K
 from fixtrace.functions.text import explode_once
 from fixtrace.operators.ordering import join_small, top_k
+from fixtrace.session import run_folder, staged
 
 BATCH = 256
 #: Lengths of the pieces of texts, longest first.
@@ -39,14 +40,15 @@ def _matches(corpus: DataFrame, queries: list[tuple], test: Callable[[Column, in
 def _answers(hits: DataFrame, queries: DataFrame, cap: int | None, too_many: str, none: str) -> DataFrame:
     """(query, answer): the hits of a search, or one line saying there are too many or none.
 
-    Without a cap all hits are given. With one, a hit over it is enough to know, so each task passes on at most
-    ``cap + 1`` per search.
+    Without a cap all hits are given; they are written down, as they also tell which searches have none, and are not
+    brought together by search, of which one may have most of them. With a cap, a hit over it is enough to know, so each task
+    passes on at most ``cap + 1`` per search.
     """
     before, after = none.split("%s")
     if cap is None:
-        found = queries.join(hits, "query", "left")
-        sorry = F.concat(F.lit(before), "query", F.lit(after))
-        return found.select("query", F.coalesce("answer", sorry).alias("answer"))
+        hits = staged(hits.select("query", "answer"), run_folder(hits.sparkSession, "hits"), "hits")
+        unmet = queries.join(hits.select("query").distinct(), "query", "left_anti")
+        return hits.unionByName(unmet.select("query", F.concat(F.lit(before), "query", F.lit(after)).alias("answer")))
     few = top_k(hits, ["query"], [F.col("answer")], cap + 1)
     lists = few.groupBy("query").agg(F.collect_list("answer").alias("answers"))
     shown = (
@@ -56,6 +58,11 @@ def _answers(hits: DataFrame, queries: DataFrame, cap: int | None, too_many: str
     return queries.join(lists, "query", "left").select("query", F.explode(shown).alias("answer"))
 
 
+def _small(asked: DataFrame, few: bool) -> DataFrame:
+    """Searches sent to all tasks where there are few, so that their hits need not move."""
+    return F.broadcast(asked) if few and asked.count() <= AUTOMATON_CHARACTERS else asked
+
+
 def _hit() -> Column:
     return F.concat_ws(":", "path", F.col("line_no").cast("string"), "line").alias("answer")
 
@@ -144,7 +151,7 @@ def _held(lines: DataFrame, queries: DataFrame) -> DataFrame:
         return _holding(lines, queries)
     met = _met(lines, sorted(r[0] for r in texts.collect()))
     asked = queries.select("query", F.col("path").alias("only"))
-    return (met.join(asked, "query").filter(F.col("only").isNull() | (F.col("only") == F.col("path")))
+    return (met.join(_small(asked, True), "query").filter(F.col("only").isNull() | (F.col("only") == F.col("path")))
             .select("query", _hit()))
 
 

@@ -363,3 +363,20 @@ def test_advisory_payloads_move_plain_lines(spark, data):
 
     plan = verdict_queries._payloads(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("partial_collect_list(") == 1 and "https" not in plan[plan.index("partial_collect_list("):]
+
+
+def test_index_postings_by_block(spark):
+    """Lines that follow each other share a posting for a common piece, in the file where they lie."""
+    lines = spark.range(3000, numPartitions=1).select(F.concat(F.lit("f"), F.expr("id div 10").cast("string")).alias("path"),
+                                                      (F.col("id") % 10).alias("line_no"), F.lit("common words").alias("line"))
+    index = X.build_line_index(lines, session.run_folder(spark, "index"))
+    assert index.postings.count() == 8 and index.lines.count() == 3000
+
+
+def test_all_hits_are_not_brought_together(spark):
+    """All hits of one search may be most of the corpus: they do not go to one task."""
+    lines = spark.range(50).select(F.lit("f").alias("path"), F.col("id").alias("line_no"), F.lit("the word").alias("line"))
+    asked = spark.createDataFrame([("the word", None), ("nowhere", None)], "query string, path string")
+    found = Q.code_search(lines, asked)
+    assert "LeftOuter" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 51 and found.filter("answer = 'No matches found for ''nowhere''.'").count() == 1
