@@ -242,11 +242,32 @@ def _bucket_codes(vectors: Column, tables: int, bits: int, seed: int) -> Column:
     return codes(vectors)
 
 
+def _by_buckets(queries: DataFrame, store: DataFrame, k: int, tables: int, bits: int, seed: int, recall: float,
+                folder: str) -> tuple[DataFrame, DataFrame]:
+    """What buckets of ``bits`` hyperplanes find for the queries that they settle, and the other queries."""
+    left = queries.select("id", "key", "vector", F.posexplode(_bucket_codes(F.col("vector"), tables, bits, seed)).alias("table", "bucket"))
+    right = store.select(F.col("id").alias("neighbour"), F.col("key").alias("_key"), F.col("vector").alias("_vector"),
+                         F.posexplode(_bucket_codes(F.col("vector"), tables, bits, seed)).alias("table", "bucket"))
+    gaps = F.zip_with("vector", "_vector", lambda a, b: (a - b) * (a - b))
+    pairs = left.join(right, ["table", "bucket"]).filter((F.col("key") != F.col("_key")) & (F.size("vector") == F.size("_vector")))
+    met = pairs.select("id", "neighbour", F.round(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x), DIGITS).alias("distance")).distinct()
+    near = staged(top_k(met, ["id"], [F.col("distance"), F.col("neighbour")], k, rank="place"), folder, "near")
+
+    # All within a distance r of a vector of length q lies within the angle whose sine is r / q.
+    angle = math.pi * (1 - (1 - (1 - recall) ** (1 / tables)) ** (1 / bits))
+    least = math.sin(min(angle, math.pi / 2)) ** 2
+    squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    last = near.filter(F.col("place") == k).select("id", "distance")
+    settled = staged(queries.join(last, "id").filter(F.col("distance") <= least * squares).select("id"), folder, "settled")
+    return near.join(settled, "id", "left_semi"), staged(queries.join(settled, "id", "left_anti"), folder, "rest")
+
+
 def nearest_by_buckets(queries: DataFrame, store: DataFrame, k: int = 1, tables: int = 12, bits: int = 12,
                        seed: int = 0, recall: float = 0.95) -> DataFrame:
     """(id, neighbour, distance, place): the k nearest stored vectors of other keys, each found with probability ``recall``.
 
-    A vector is met if it lies on the same side of all ``bits`` hyperplanes of one of ``tables`` tables. Two vectors
+    A vector is met if it lies on the same side of all ``bits`` hyperplanes of one of ``tables`` tables, at first of twice as
+    many, so that near copies meet few others. Two vectors
     at an angle of t degrees miss each other with probability (1 - (1 - t / 180) ** bits) ** tables: 0.0002 for 10
     degrees, 0.04 for 20, 0.94 for 65. So what a query meets settles it only if its k-th distance is so small that all that
     is as near lies within the angle which the tables miss with at most 1 - ``recall``. Every other query, whether it met
@@ -269,22 +290,13 @@ def nearest_by_buckets(queries: DataFrame, store: DataFrame, k: int = 1, tables:
     else:
         store = top_k(store, ["vector", "key"], [F.col("id")], k, rank="_place").select("id", "key", "vector")
 
-    left = queries.select("id", "key", "vector", F.posexplode(_bucket_codes(F.col("vector"), tables, bits, seed)).alias("table", "bucket"))
-    right = store.select(F.col("id").alias("neighbour"), F.col("key").alias("_key"), F.col("vector").alias("_vector"),
-                         F.posexplode(_bucket_codes(F.col("vector"), tables, bits, seed)).alias("table", "bucket"))
-    gaps = F.zip_with("vector", "_vector", lambda a, b: (a - b) * (a - b))
-    pairs = left.join(right, ["table", "bucket"]).filter((F.col("key") != F.col("_key")) & (F.size("vector") == F.size("_vector")))
-    met = pairs.select("id", "neighbour", F.round(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x), DIGITS).alias("distance")).distinct()
-    near = staged(top_k(met, ["id"], [F.col("distance"), F.col("neighbour")], k, rank="place"), folder, "near")
-
-    # All within a distance r of a vector of length q lies within the angle whose sine is r / q.
-    angle = math.pi * (1 - (1 - (1 - recall) ** (1 / tables)) ** (1 / bits))
-    least = math.sin(min(angle, math.pi / 2)) ** 2
-    squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    last = near.filter(F.col("place") == k).select("id", "distance")
-    settled = staged(queries.join(last, "id").filter(F.col("distance") <= least * squares).select("id"), folder, "settled")
-    rest = staged(queries.join(settled, "id", "left_anti"), folder, "rest")
-    found = near.join(settled, "id", "left_semi")
+    found, rest = None, staged(queries, folder, "asked")
+    # Fine buckets first, which hold few but near copies; the given ones for queries that these leave.
+    for size in sorted({max(bits, min(2 * bits, 60)), bits}, reverse=True):
+        if found is not None and rest.isEmpty():
+            break
+        near, rest = _by_buckets(rest, store, k, tables, size, seed, recall, f"{folder}/bits_{size}")
+        found = near if found is None else found.unionByName(near)
     for row in rest.groupBy(F.size("vector").alias("width")).count().orderBy("width").collect():
         alike = F.size("vector") == row["width"]
         stored = staged(store.filter(alike), folder, f"store_{row['width']}")

@@ -293,3 +293,14 @@ def test_classifier_heads(spark):
                          F.col("embedding").alias("desc_vector"), F.col("embedding").alias("commit_vector"))
     predicted = M.score_pairs(M.fit_pair_classifier(pairs), pairs).collect()
     assert all((r["prediction"] > 0.5) == (r["label"] == 1) for r in predicted)
+
+
+def test_nearest_by_buckets_settles_copies_in_fine_buckets(spark, monkeypatch):
+    """Near copies are settled by buckets that hold little else; only what these leave meets the coarser ones."""
+    used, whole = [], N._by_buckets
+    monkeypatch.setattr(N, "_by_buckets", lambda *a: (used.append(a[4]), whole(*a))[1])
+    vectors = np.random.default_rng(2).normal(size=(40, 16))
+    frame = lambda shift, some: spark.createDataFrame([(i + shift, i + shift, (v + shift * 1e-9).tolist()) for i, v in enumerate(some)], "id bigint, key bigint, vector array<double>")
+    rows = frame(0, vectors)
+    found = N.nearest_by_buckets(rows, rows.union(frame(1000, vectors))).collect()
+    assert {(r["id"], r["neighbour"]) for r in found} == {(i, i + 1000) for i in range(40)} and used == [24]
