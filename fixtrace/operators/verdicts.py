@@ -16,11 +16,14 @@ from fixtrace.session import reliable
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
+#: Rows that a scorer gets and gives back at once; rows may hold several long texts.
+SCORED_ROWS = 1000
+
 
 def score_with(df: DataFrame, scorer: Scorer, schema: str, on_error: str = "keep") -> DataFrame:
     """Add the columns of ``schema`` by calling a batch scorer, such as a model client.
 
-    If a batch fails it is tried in halves, so good rows are called again about log n times at most. A failing row
+    A batch has at most ``SCORED_ROWS`` rows. If one fails it is tried in halves, so good rows are called again about log n times at most. A failing row
     is kept with null results and the message in the column ``error`` (``keep``), or left out (``skip``).
     """
     if on_error not in ("skip", "keep"):
@@ -42,7 +45,7 @@ def score_with(df: DataFrame, scorer: Scorer, schema: str, on_error: str = "keep
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            todo = [batch]
+            todo = [batch.iloc[at:at + SCORED_ROWS] for at in reversed(range(0, len(batch), SCORED_ROWS))]
             while todo:
                 rows = todo.pop()
                 try:

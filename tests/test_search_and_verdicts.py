@@ -380,3 +380,12 @@ def test_all_hits_are_not_brought_together(spark):
     found = Q.code_search(lines, asked)
     assert "LeftOuter" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.count() == 51 and found.filter("answer = 'No matches found for ''nowhere''.'").count() == 1
+
+
+def test_score_with_bounded_batches(spark):
+    """A scorer gets and gives back few rows at once, however many Spark hands over."""
+    def model(rows):
+        return pd.DataFrame({"given": [len(rows)] * len(rows)})
+
+    scored = V.score_with(spark.range(2500, numPartitions=1), model, "given bigint", "skip").collect()
+    assert [r["id"] for r in scored] == list(range(2500)) and {r["given"] for r in scored} == {1000, 500}
