@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 from fixtrace import constants as K
 from fixtrace import schema as S
 from fixtrace.session import run_folder, staged
+from fixtrace.sources.shards import qualified, suits, write_small
+
+#: Bytes that a task writes as files of few bytes.
+TASK_BYTES = 8 << 20
 
 
 def clean_commits(raw: DataFrame, max_len: int | None = None) -> DataFrame:
@@ -104,27 +108,38 @@ def write_sharded(df: DataFrame, path: str, max_bytes: int = K.SHARD_BYTES, mode
     A record over half that size has a file of its own, as one over ``max_bytes`` must. The others are cut by their
     running sum of bytes, in their order of reading, into files of half to all of it, but for the last. Each row goes to
     exactly its file. The rows are written down with their sizes first; sums run within the pieces in which the rows come,
-    and are shifted by what the pieces before hold.
+    and are shifted by what the pieces before hold. Files of less than half of ``TASK_BYTES`` share a task, as far as pyarrow
+    knows the column types and the file system; all others have a task each.
     """
-    spark, half = df.sparkSession, max(1, max_bytes // 2)
+    spark, half, kind = df.sparkSession, max(1, max_bytes // 2), df.schema
     sized = staged(df.select(F.struct("*").alias("row"), F.octet_length(F.to_json(F.struct("*"))).cast("bigint").alias("size"),
                              F.spark_partition_id().alias("piece"), F.monotonically_increasing_id().alias("place")),
                    run_folder(spark, "sizes"), "rows")
     large = F.col("size") > half
-    small = F.when(large, 0).otherwise(F.col("size"))
-    totals = sized.groupBy("piece").agg(F.sum(small).alias("bytes"), F.sum(large.cast("bigint")).alias("alone"))
+    sums = {"bytes": F.when(large, 0).otherwise(F.col("size")), "alone": large.cast("bigint"),
+            "wide": F.when(large, F.col("size")).otherwise(0)}
+    totals = sized.groupBy("piece").agg(*[F.sum(value).alias(c) for c, value in sums.items()])
     before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = totals.select("piece", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("bytes", "alone")])
-    whole = totals.agg(F.sum("bytes"), F.sum("alone")).first()
-    shared = -(-(whole[0] or 0) // half)
-    files = shared + (whole[1] or 0)
+    shifts = totals.select("piece", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in sums])
+    whole = totals.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums]).first()
+    shared = -(-whole["bytes"] // half)
+    files = shared + whole["alone"]
     inside = Window.partitionBy("piece").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = sized.select("place", "piece", large.alias("large"), F.coalesce(F.sum(small).over(inside), F.lit(0)).alias("ahead"),
-                            F.coalesce(F.sum(large.cast("bigint")).over(inside), F.lit(0)).alias("ahead_alone")).join(shifts, "piece")
-    shard = F.when(F.col("large"), shared + F.col("alone_before") + F.col("ahead_alone")).otherwise(
-        F.floor((F.col("bytes_before") + F.col("ahead")) / half))
-    placed = sized.select("place", "row").join(numbered.select("place", shard.cast("int").alias("shard")), "place")
-    placed.repartitionById(max(1, files), "shard").select("row.*").write.mode(mode).parquet(path)
+    numbered = sized.select("place", "piece", large.alias("large"), *[
+        F.coalesce(F.sum(value).over(inside), F.lit(0)).alias(f"{c}_ahead") for c, value in sums.items()]).join(shifts, "piece")
+    ahead = {c: F.col(f"{c}_before") + F.col(f"{c}_ahead") for c in sums}
+    shard = F.when(F.col("large"), shared + ahead["alone"]).otherwise(F.floor(ahead["bytes"] / half))
+    target, there = qualified(spark, path)
+    together = TASK_BYTES // max(1, max_bytes)
+    if together < 2 or not files or not suits(kind, target) or (there and mode not in ("append", "overwrite")):
+        placed = sized.select("place", "row").join(numbered.select("place", shard.cast("int").alias("shard")), "place")
+        placed.repartitionById(max(1, files), "shard").select("row.*").write.mode(mode).parquet(path)
+        return files
+    narrow = -(-shared // together)
+    task = F.when(F.col("large"), narrow + F.floor(ahead["wide"] / TASK_BYTES)).otherwise(F.floor(shard / together))
+    placed = sized.select("place", "row").join(numbered.select("place", shard.cast("int").alias("shard"), task.cast("int").alias("task")), "place")
+    dealt = placed.repartitionById(narrow + whole["wide"] // TASK_BYTES + 1, "task").sortWithinPartitions("shard", "place")
+    write_small(dealt, target, mode == "overwrite")
     return files
 
 

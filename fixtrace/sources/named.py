@@ -22,6 +22,7 @@ from pyspark.sql.datasource import (
     StringStartsWith, WriterCommitMessage)
 
 from fixtrace.sources.files import with_file_parts
+from fixtrace.sources.shards import located as _place
 
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 #: Bytes that a task reads; larger files are cut at line ends, smaller ones share a task.
@@ -31,12 +32,6 @@ BATCH_BYTES = 4 << 20
 _LINES = pa.schema([("file", pa.string()), ("value", pa.string())])
 
 
-def _place(path: str) -> tuple[fs.FileSystem, str]:
-    if path.startswith("file:/") and not path.startswith("file://"):
-        path = "file://" + path.removeprefix("file:")
-    return fs.FileSystem.from_uri(path)
-
-
 @dataclass
 class Ranges(InputPartition):
     """Byte ranges (path, start, end); a line belongs to the range in which it begins."""

@@ -5,6 +5,7 @@ import json
 import random
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,6 +98,42 @@ def test_one_wide_row_does_not_split_the_others(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "none")).count() == 0
 
 
+def test_small_shards_share_tasks(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    rows = spark.range(4000).select(F.col("id").alias("i"), F.repeat(F.lit("x"), F.when(F.col("id") % 500 == 0, 3000).otherwise(80).cast("int")).alias("t"))
+    spark.sparkContext.setJobGroup("shards", "shards")
+    try:
+        files = IO.write_sharded(rows.repartition(3), path, max_bytes=2000)
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for job in tracker.getJobIdsForGroup("shards") for s in tracker.getJobInfo(job).stageIds}
+        most = max(info.numTasks for info in map(tracker.getStageInfo, stages) if info)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    sizes = shard_sizes(spark, path)
+    assert most < 20 < 300 < len(sizes) <= files
+    assert all(b <= 2000 or n == 1 for b, n in sizes) and sum(n for _, n in sizes) == 4000
+    IO.write_sharded(rows.limit(10), path, max_bytes=2000, mode="append")
+    assert spark.read.parquet(path).count() == 4010
+    IO.write_sharded(rows.limit(10), path, max_bytes=2000)
+    assert sorted(p.name for p in (tmp_path / "shards").iterdir() if not p.name.startswith(("part-", "."))) == ["_SUCCESS"]
+    assert spark.read.parquet(path).count() == 10
+    IO.write_sharded(rows, path, max_bytes=2000, mode="ignore")
+    assert spark.read.parquet(path).count() == 10
+    with pytest.raises(AnalysisException):
+        IO.write_sharded(rows, path, max_bytes=2000, mode="error")
+
+
+def test_small_shards_keep_types(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    rows = spark.sql("""SELECT CAST(id AS TINYINT) a, TIMESTAMP'2020-01-01 00:00:00' b, TIMESTAMP_NTZ'1900-01-01 00:00:00' c, DATE'0999-01-01' d,
+        CAST(id AS DECIMAL(20, 3)) e, map('k', array(id, NULL)) f, named_struct('x', X'00ff', 'y', IF(id = 1, NULL, 'e')) g, id > 2 h, float(id) i
+        FROM range(50)""")
+    IO.write_sharded(rows, path, max_bytes=500)
+    found = spark.read.parquet(path)
+    assert found.schema.simpleString() == rows.schema.simpleString()
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, rows.collect()))
+
+
 def test_commits_with_invalid_bytes(spark, tmp_path):
     path = tmp_path / "c.jsonl"
     path.write_bytes(b'{"commit_id": "1", "owner": "o", "repo": "r", "commit_message": "m", "diff": "a\xffb\xc3"}\n\n{"commit_id": "2"}\nno json\n')
