@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fixtrace.functions.text import as_col, let
@@ -20,6 +20,9 @@ WORD = r"[\p{L}\p{N}_]{2,}"
 BLOCK_TOKENS = 256
 # Candidates of one advisory that may share a term in one task.
 GROUP_SHARE = 100_000
+# Sets of terms into which those of an advisory are dealt at least, and candidates for each further set.
+TERM_SETS = 8
+SET_CANDIDATES = 1024
 
 
 def term_counts(text: Column | str) -> Column:
@@ -51,45 +54,79 @@ def tfidf_similarity(mapping: DataFrame, advisory: DataFrame, commits: DataFrame
     candidates' vocabulary. No common term gives 0.
 
     ``mapping`` has (cve, commit_id, ...) once per pair, ``advisory`` (cve, desc), ``commits``
-    (commit_id, text). Work is spread by (cve, term): a whole advisory never meets in one task, and an
-    advisory with more than ``GROUP_SHARE`` candidates has each of its terms spread further.
+    (commit_id, text). Texts move once, to their pairs, which have numbers from then on. Work is spread by advisory and sets
+    of terms: a whole advisory never meets in one task, and an advisory with more than ``GROUP_SHARE`` candidates has each of
+    its terms spread further. Pairs and their sums are written down.
     """
+    folder = run_folder(mapping.sparkSession, "tfidf")
     sizes = mapping.groupBy("cve").agg(F.count(F.lit(1)).alias("n"))
-    pairs = join_small(mapping.select("cve", "commit_id"), sizes, ["cve"])
+    once = mapping.groupBy("cve", "commit_id").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    pairs = staged(join_small(once, sizes, ["cve"]).withColumn("pair", F.monotonically_increasing_id()), folder, "pairs")
+    # Words are counted behind the shuffle, as counts take several times the room of the text, once for each commit.
+    # The pairs of a task are hashed, so that no counts are sorted.
+    vectors = commits.select("commit_id", as_col(text).alias("text")).repartition("commit_id").select(
+        "commit_id", term_counts("text").alias("terms"))
+    copies = pairs.select("cve", "commit_id", "n", F.explode(F.array_repeat("pair", F.col("times"))).alias("pair"))
+    # The outer form: the plain one would compute the array once more to test that it holds anything.
+    postings = (vectors.join(copies.hint("shuffle_hash"), "commit_id").select("cve", "n", "pair", F.inline_outer("terms"))
+                .filter("term is not null"))
+    asked = advisory.select("cve", F.inline_outer(term_counts(desc))).filter("term is not null").withColumnRenamed("tf", "asked_tf")
+    asked = join_small(asked, sizes, ["cve"])
+    hot = F.col("n") > GROUP_SHARE
+    weights = _weights(postings.filter(~hot), asked.filter(~hot))
+    if not pairs.filter(hot).isEmpty():
+        weights = weights.unionByName(_weights_of_hot(postings.filter(hot), asked.filter(hot)))
+    weights = staged(weights, folder, "weights")
+    cosine = F.try_divide(F.col("dot"), F.sqrt("norm2") * F.sqrt("asked_norm2"))
+    scored = weights.filter("pair is not null").drop("asked_norm2")
+    similar = join_small(scored, weights.filter("pair is null").select("cve", "asked_norm2"), ["cve"]).select(
+        "pair", cosine.alias("similarity"))
+    named = pairs.select("cve", "commit_id", "pair").join(similar, "pair").drop("pair")
+    return mapping.join(named, ["cve", "commit_id"], "left").withColumn(
+        "similarity", F.coalesce("similarity", F.lit(0.0)))
+
+
+def _weights(postings: DataFrame, asked: DataFrame) -> DataFrame:
+    """(cve, pair, norm2, dot, asked_norm2): sums over terms of each pair, and of each description, whose pair is null.
+
+    ``postings`` has (cve, n, pair, term, tf), ``asked`` (cve, n, term, asked_tf). Both move once, by advisory and set of
+    terms; there the rows of a term are counted by a window, and a pair has one sum for each set.
+    """
+    sets = F.pmod(F.xxhash64("term"), F.lit(TERM_SETS) + F.floor(F.col("n") / SET_CANDIDATES)).cast("int").alias("terms")
+    met = (postings.select("cve", sets, "n", "pair", "term", "tf", F.lit(None).cast("int").alias("asked_tf"))
+           .unionByName(asked.select("cve", sets, "n", F.lit(None).cast("bigint").alias("pair"), "term",
+                                     F.lit(None).cast("int").alias("tf"), "asked_tf"))
+           .repartition("cve", "terms"))
+    # The hash makes rows quick to sort.
+    same = Window.partitionBy("key", "cve", "terms", "term")
+    counted = met.withColumn("key", F.xxhash64("cve", "term")).select(
+        "cve", "pair", "n", "tf", "asked_tf", F.count("pair").over(same).alias("df"),
+        F.count("asked_tf").over(same).alias("copies"), F.sum("asked_tf").over(same).alias("asked"))
+    idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
+    of_pair, of_asked = F.col("tf") * F.col("idf"), F.col("asked_tf") * F.col("idf")
+    return counted.filter("df > 0").withColumn("idf", idf).groupBy("cve", "pair").agg(
+        F.sum(of_pair * of_pair * F.greatest("copies", F.lit(1))).alias("norm2"),
+        F.sum(of_pair * F.coalesce("asked", F.lit(0)) * F.col("idf")).alias("dot"),
+        F.sum(of_asked * of_asked).alias("asked_norm2"))
+
+
+def _weights_of_hot(postings: DataFrame, asked: DataFrame) -> DataFrame:
+    """The same for advisories with more than ``GROUP_SHARE`` candidates, the rows of a term spread over several tasks."""
     shares = F.ceil(F.col("n") / GROUP_SHARE)
-    # Vectors are as large as the texts they come from: never broadcast, whatever the file sizes suggest.
-    vectors = commits.select("commit_id", term_counts(text).alias("terms")).hint("merge")
-    postings = pairs.join(vectors, "commit_id").select(
-        "cve", "commit_id", F.pmod(F.xxhash64("commit_id"), shares).alias("share"),
-        # The outer form: the plain one would compute the array once more to test that it holds anything.
-        F.inline_outer("terms"))
-
-    postings = postings.filter("term is not null")
-    frequencies = postings.groupBy("cve", "term").agg(F.count(F.lit(1)).alias("df"))
-    asked = advisory.select("cve", F.inline_outer(term_counts(desc))).withColumnRenamed("tf", "asked_tf")
     idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
-    vocabulary = (
-        join_small(frequencies, sizes, ["cve"]).join(asked, ["cve", "term"], "left")
-        .select("cve", "term", idf.alias("idf"),
-                (F.coalesce("asked_tf", F.lit(0)) * idf).alias("asked_weight"), shares.alias("shares"))
-    )
-    spread = vocabulary.select(
-        "cve", "term", "idf", "asked_weight",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)).alias("share"))
+    vocabulary = (postings.groupBy("cve", "n", "term").agg(F.count(F.lit(1)).alias("df"))
+                  .join(asked.drop("n"), ["cve", "term"], "left")
+                  .select("cve", "term", idf.alias("idf"), (F.coalesce("asked_tf", F.lit(0)) * idf).alias("asked_weight"),
+                          F.explode(F.sequence(F.lit(0).cast("bigint"), shares - 1)).alias("share")))
     weight = F.col("tf") * F.col("idf")
-    scored = (
-        postings.join(spread, ["cve", "term", "share"])
-        .groupBy("cve", "commit_id")
-        .agg(F.sum(weight * weight).alias("norm2"),
-             F.sum(weight * F.col("asked_weight")).alias("dot"))
-    )
-    asked_norms = vocabulary.groupBy("cve").agg(
+    scored = (postings.select("cve", "pair", "term", "tf", F.pmod(F.xxhash64("pair"), shares).alias("share"))
+              .join(vocabulary, ["cve", "term", "share"]).groupBy("cve", "pair")
+              .agg(F.sum(weight * weight).alias("norm2"), F.sum(weight * F.col("asked_weight")).alias("dot")))
+    norms = vocabulary.filter("share = 0").groupBy("cve").agg(
         F.sum(F.col("asked_weight") * F.col("asked_weight")).alias("asked_norm2"))
-    cosine = F.try_divide(F.col("dot"), F.sqrt("norm2") * F.sqrt("asked_norm2"))
-    similar = join_small(scored, asked_norms, ["cve"]).select(
-        "cve", "commit_id", cosine.alias("similarity"))
-    return mapping.join(similar, ["cve", "commit_id"], "left").withColumn(
-        "similarity", F.coalesce("similarity", F.lit(0.0)))
+    return scored.withColumn("asked_norm2", F.lit(None).cast("double")).unionByName(
+        norms.select("cve", F.lit(None).cast("bigint").alias("pair"), F.lit(None).cast("double").alias("norm2"),
+                     F.lit(None).cast("double").alias("dot"), "asked_norm2"))
 
 
 def greedy_match(df: DataFrame, candidate: str, reference: str) -> DataFrame:

@@ -59,6 +59,53 @@ def test_tfidf_similarity(spark, monkeypatch, share):
         assert 0 <= rows[key] <= 1 + 1e-9
 
 
+def shuffled(df):
+    """Bytes that the shuffles of a plan wrote."""
+    def walk(plan):
+        kind = plan.getClass().getSimpleName()
+        own = plan.metrics().apply("shuffleBytesWritten").value() if kind == "ShuffleExchangeExec" else 0
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        return own + sum(walk(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_tfidf_moves_postings_once(spark, monkeypatch, tmp_path):
+    """What moves is little more than the texts and one short row for each word of a pair."""
+    moved = []
+
+    def watched(df, folder, name):
+        moved.append(shuffled(df))
+        return staged(df, folder, name)
+
+    staged = S.staged
+    monkeypatch.setattr(S, "staged", watched)
+    rows = spark.range(2000).select(
+        (F.col("id") % 4).cast("string").alias("cve"), F.sha1(F.col("id").cast("string")).alias("commit_id"),
+        F.array_join(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.concat(F.lit("word"), F.pmod(F.col("id") * 7 + i * i, F.lit(997)))), " ").alias("text"))
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    advisory = spark.createDataFrame([(str(i), "word1 word2 word30") for i in range(4)], "cve string, desc string")
+    found = S.tfidf_similarity(rows.select("cve", "commit_id"), advisory, rows.select("commit_id", "text"))
+    assert sum(moved) + shuffled(found) < 2000 * 70 * 24
+
+
+def test_tfidf_repeated_rows(spark, monkeypatch):
+    """A pair, a commit or an advisory that comes twice weighs the same with few and with many candidates."""
+    mapping = spark.createDataFrame([("A", "1"), ("A", "1"), ("A", "2"), ("A", "3"), ("A", None), (None, "1")], "cve string, commit_id string")
+    advisory = spark.createDataFrame([("A", "red red"), ("A", "blue"), ("B", "red"), (None, "red")], "cve string, desc string")
+    commits = spark.createDataFrame([("1", "red blue"), ("2", "blue green"), ("2", "red"), ("3", "green"), (None, "red")], "commit_id string, text string")
+    found = []
+    for share in (S.GROUP_SHARE, 2):
+        monkeypatch.setattr(S, "GROUP_SHARE", share)
+        found.append(sorted((str(r["cve"]), str(r["commit_id"]), round(r["similarity"], 9)) for r in S.tfidf_similarity(mapping, advisory, commits).collect()))
+    assert found[0] == found[1] and len(found[0]) == 6
+
+
 def test_tfidf_same_commit_for_two_advisories(spark):
     mapping = spark.createDataFrame([("A", "1", 1), ("A", "2", 0), ("B", "1", 0)], "cve string, commit_id string, label int")
     advisory = spark.createDataFrame([("A", "red"), ("B", "red")], "cve string, desc string")
