@@ -22,8 +22,8 @@ from fixtrace.session import run_folder, staged
 
 #: Texts whose chance of being good is below this are rejected.
 LEAST_QUALITY = 0.3
-#: Classes of ids by which documents are told that cannot have been dropped.
-ID_CLASSES = 1 << 20
+#: Classes of ids, a power of two, by which documents are told that cannot have been dropped. Their bits are at most 2^18 rows, some 12 MB.
+ID_CLASSES = 1 << 24
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,17 +87,21 @@ def _dropped(docs: DataFrame, marked: DataFrame) -> DataFrame:
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """Documents that do not have both id and text of a dropped row.
 
-    Only documents whose id falls into a class of a dropped one are joined; the classes, at most 2^20 integers, are
-    broadcast, so that the texts of the others are not moved.
+    Only documents whose id falls into a class of a dropped one are joined; the bits of the 2^24 classes are broadcast, so
+    that the texts of the others are not moved, whatever the number of rows to drop. That join is an outer one, as an anti-join
+    would be moved below the broadcast by the optimizer, where it meets all texts.
     """
-    key, digest, group, hit = (_free(docs, n) for n in ("dropped_id", "dropped_digest", "dropped_class", "dropped_hit"))
-    named = dropped.select(F.col("id").alias(key), F.col("digest").alias(digest))
-    classes = named.select(_id_class(key).alias(group)).distinct().withColumn(hit, F.lit(True))
-    marked = docs.withColumn(group, _id_class("doc_id")).join(F.broadcast(classes), group, "left").drop(group)
+    key, digest, word, bits, hit = (_free(docs, n) for n in ("dropped_id", "dropped_digest", "dropped_word", "dropped_bits", "dropped_hit"))
+    named = dropped.select(F.col("id").alias(key), F.col("digest").alias(digest), F.lit(True).alias(hit))
+    place = _id_class(key)
+    words = (named.select(F.shiftright(place, 6).alias(word), place.bitwiseAND(63).alias(bits)).distinct()
+             .groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(bits))).alias(bits)))
+    own, at = [F.col(f"`{c}`") for c in docs.columns], _id_class("doc_id")
+    marked = docs.withColumn(word, F.shiftright(at, 6)).join(F.broadcast(words), word, "left")
+    met = F.coalesce(F.getbit(bits, at.bitwiseAND(63)) == 1, F.lit(False))
     same = F.col("doc_id").eqNullSafe(F.col(key)) & (_digest() == F.col(digest))
-    sure = marked.filter(F.col(hit).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
-    rest = marked.filter(F.col(hit)).select(*[F.col(f"`{c}`") for c in docs.columns]).join(named, same, "left_anti")
-    return sure.unionByName(rest)
+    rest = marked.filter(met).select(*own).join(named, same, "left").filter(F.col(hit).isNull())
+    return marked.filter(~met).select(*own).unionByName(rest.select(*own))
 
 
 def _id_class(doc_id: str) -> Column:
