@@ -429,7 +429,8 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
 
     Counts cover all texts, and are exact in 64 bits; products have 38 digits. A null text counts as empty, a null
     language as ``und``; rows that repeat count each; an empty table gives an empty result. Other columns are not
-    read. Hot words and languages are salted in joins and cut before the last sort.
+    read. Hot words and languages are salted in joins and cut before the last sort. No table is broadcast, as all grow with the
+    texts; tasks get the filters only.
     """
     folder = run_folder(docs.sparkSession, "phrases")
     counts, words = phrase_counts(docs, folder, least, lang, text)
@@ -440,7 +441,8 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
 
     cuts = phrases.select("lang", "phrase", "f", "size", "parts", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     cuts = cuts.select("lang", "phrase", "f", "k", run_of(F.lit(1), F.col("k")).alias("head"), run_of(F.col("k") + 1, F.col("size") - F.col("k")).alias("rest"))
-    sizes = counts.select("lang", "phrase", "f")
+    # Spark sizes tables by their files and sees neither the repeats of a join nor the rows of an explode, so these joins are told to merge.
+    sizes = counts.select("lang", "phrase", "f").hint("merge")
     cuts = join_small(cuts, sizes.withColumnsRenamed({"phrase": "head", "f": "l"}), ["lang", "head"], spread_by=["phrase", "k"])
     cuts = join_small(cuts, sizes.withColumnsRenamed({"phrase": "rest", "f": "r"}), ["lang", "rest"], spread_by=["phrase", "k"])
     score = F.expr("(CAST(2000000 AS DECIMAL(7,0)) * CAST(f AS DECIMAL(20,0))) div (CAST(l AS DECIMAL(20,0)) + CAST(r AS DECIMAL(20,0)))")
@@ -452,7 +454,7 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
             F.sequence(F.lit(2), F.col("size") - 1),
             lambda s: F.transform(F.sequence(F.lit(1), F.col("size") - s + 1), lambda at: F.array_join(F.slice("parts", at, s), " "))))).alias("phrase"))
     inside = longer.groupBy("lang", "phrase").agg(F.max("f").alias("most"))
-    left = (scored.join(inside, ["lang", "phrase"], "left")
+    left = (scored.join(inside.hint("merge"), ["lang", "phrase"], "left")
             .filter(F.col("most").isNull() | (_exact("most") * 100 < _exact("a") * covered)).drop("most"))
     best = top_k(left, ["lang"], [F.desc("score"), F.desc("a"), F.asc("phrase")], first)
-    return best.join(F.broadcast(staged(words, folder, "words")), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return best.join(staged(words, folder, "words").hint("merge"), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

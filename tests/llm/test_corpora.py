@@ -143,6 +143,19 @@ def test_phrases_of_odd_rows(spark):
     assert collocations(docs.limit(0)).count() == 0
 
 
+def test_phrases_broadcast_no_table(spark):
+    """Their files are far below the threshold here, as they are at sizes where the repeated rows no longer fit into the driver."""
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true" and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    rows = invented(3, 200)
+    found = collocations(spark.createDataFrame(rows, "lang string, text string"), least=4)
+    planned = found._jdf.queryExecution().executedPlan().toString()
+    counted = sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in found.collect())
+    ended = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in ended and counted and counted == brute_phrases(rows, 4, 2000)
+    for plan in (planned, ended):
+        assert plan.count("SortMergeJoin") >= 4 and "Broadcast" not in plan
+
+
 def test_full_filter_changes_nothing(spark, monkeypatch):
     """Filters only leave out what cannot be frequent, so one that lets everything pass gives the same rows."""
     monkeypatch.setattr(phrases, "FILTER_BITS", 1 << 10)
